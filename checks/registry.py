@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.config import PairPattern
+from eventloom.config import PairPattern, Params
+from eventloom.functions import relative_time as relative
+from eventloom.operators import areas as A
 from eventloom.operators import detectors as D
 from eventloom.operators import normalize as N
 from eventloom.operators import saturation as S
-from eventloom.sources.sample import sample_log, table
+from eventloom.operators.transaction import transaction as transaction_operator
+from eventloom.plans import findings as P
+from eventloom.plans import history as H
+from eventloom.session import scratch_root
+from eventloom.sources import catalog, readers, tables
+from eventloom.sources.sample import log_columns, sample_log, table
+from eventloom.streaming import alerts as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -237,3 +248,455 @@ def append_events(spark, sf):
     slow = log.where("duration_ms > 100").select("seq", "time", "host", "duration_ms")
     http = log.where("status >= 400").select("seq", "time", "host", "status", "uri")
     return N.append_events(slow, http)
+
+
+# --- follow-up areas --------------------------------------------------------
+
+ASK = A.FollowUp(
+    hosts=("web-01", "web-04", "web-07"), error_codes=("E1", "E2", "E3"), sourcetype="app:error",
+    spike_start=datetime(2024, 1, 10, 6, 0, tzinfo=timezone.utc),
+)
+
+
+@query
+def area_api_errors(spark, sf):
+    return A.area_api_errors(sample_log(spark, sf), ASK)
+
+
+@query
+def area_database_slowdown(spark, sf):
+    return A.area_database_slowdown(sample_log(spark, sf), replace(ASK, sourcetype="*"), 50)
+
+
+@query
+def area_cascading_failure(spark, sf):
+    return A.area_cascading_failure(sample_log(spark, sf), ASK)
+
+
+@query
+def transaction(spark, sf):
+    return transaction_operator(sample_log(spark, sf), "host", 3600)
+
+
+@query
+def area_host_isolation(spark, sf):
+    return A.area_host_isolation(sample_log(spark, sf), ASK)
+
+
+@query
+def area_timeline(spark, sf):
+    return A.area_timeline(sample_log(spark, sf), ASK)
+
+
+@query
+def timeline_chart(spark, sf):
+    return A.timeline_chart(sample_log(spark, sf), ASK)
+
+
+@query
+def area_first_occurrence(spark, sf):
+    return A.area_first_occurrence(sample_log(spark, sf), ASK)
+
+
+@query
+def area_dispatch(spark, sf):
+    found = A.area_dispatch(sample_log(spark, sf), ["host_isolation", "nowhere", "first_occurrence"], ASK)
+    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("area"), "n") for name, df in found.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def error_filter(spark, sf):
+    log = sample_log(spark, sf)
+    return log.where(A.error_filter(log, ("E1", "E2"))).select("seq", "error_code")
+
+
+# --- findings ---------------------------------------------------------------
+
+PARAMS = Params(spike_window_seconds=3600, spike_threshold=25, slow_threshold_ms=100,
+                pair_patterns=(PairPattern("host", "ocsp", "handshake failed", 86400),))
+
+
+def bundle(spark, sf):
+    log = sample_log(spark, sf)
+    found = P.build_findings(log, PARAMS)
+    found["event_pairs"] = D.detect_event_pair_patterns(log, PARAMS.pair_patterns)
+    return found
+
+
+@query
+def event_count(spark, sf):
+    return P.event_count(sample_log(spark, sf))
+
+
+@query
+def build_findings(spark, sf):
+    found = P.findings_json(P.build_findings(sample_log(spark, sf), PARAMS))
+    return found.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def findings_counts(spark, sf):
+    return P.findings_counts(bundle(spark, sf))
+
+
+@query
+def findings_long(spark, sf):
+    found = P.findings_long(bundle(spark, sf))
+    return found.groupBy("type", "severity", "host").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def findings_json(spark, sf):
+    found = P.findings_json({k: v for k, v in bundle(spark, sf).items() if k in ("host_ranking", "severity", "patterns")})
+    field = lambda name: F.get_json_object("body_json", f"$.{name}")
+    return found.select("type", F.coalesce(field("host"), field("level"), field("error_code"), field("prefix")).alias("name"),
+                        F.coalesce(field("error_count"), field("count")).cast("bigint").alias("n"))
+
+
+@query
+def run_summary(spark, sf):
+    return P.run_summary(bundle(spark, sf))
+
+
+@query
+def findings_digest(spark, sf):
+    return P.findings_digest(bundle(spark, sf))
+
+
+@query
+def findings_report(spark, sf):
+    return P.findings_report(bundle(spark, sf)).select("section", "part", "line")
+
+
+@query
+def analyze_events(spark, sf):
+    found, _ = P.analyze_events(text_times(spark, sf), PARAMS)
+    return P.findings_counts(found)
+
+
+@query
+def grow_investigation(spark, sf):
+    log = text_times(spark, sf)
+    start = N.prepare_events(log.where("seq % 2 = 0"))
+    _, grown, found = P.grow_investigation(start, log.where("seq % 2 = 1"), PARAMS)
+    return P.findings_counts({k: found[k] for k in ("cert_anomalies", "host_ranking", "slow_queries", "patterns")})
+
+
+# --- history ----------------------------------------------------------------
+
+def past_queries(spark, sf) -> DataFrame:
+    """Orders as the table of past queries."""
+    o = table(spark, sf, "orders")
+    area = F.lower(F.regexp_extract("o_orderpriority", r"-(\w+)", 1))
+    return o.select(
+        F.col("o_orderkey").alias("id"),
+        F.concat(F.lit("run-"), F.col("o_custkey").cast("string")).alias("run_id"),
+        (F.col("o_orderkey") % 3 + 1).cast("int").alias("iteration"),
+        area.alias("area"),
+        F.concat(F.lit("index=main status="), "o_orderstatus").alias("spl"),
+        (F.col("o_orderstatus") != "P").alias("executed"),
+        F.when(F.col("o_orderstatus") == "F", F.floor("o_totalprice").cast("bigint")).alias("result_rows"),
+        F.col("o_orderdate").cast("timestamp").alias("created_at"),
+    )
+
+
+def reports(spark, sf) -> DataFrame:
+    """Conversations as reports; every turn is a report of the run, with or without a confidence."""
+    level = F.element_at(F.array(*[F.lit(x) for x in ("High", "medium", "LOW", "none")]),
+                         ((F.col("conv_id") + F.col("turn")) % 4 + 1).cast("int"))
+    return table(spark, sf, "conversations").select(
+        F.concat(F.lit("run-"), F.col("conv_id").cast("string")).alias("run_id"),
+        (F.col("conv_id") * 100 + F.col("turn")).alias("id"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("turn") * 3600 + F.col("conv_id") % 5).alias("created_at"),
+        F.when(F.col("role") == "user", F.lit("")).otherwise(F.col("role")).alias("source_file"),
+        F.concat(F.lit("## Report\n**Confidence:** "), level, F.lit("\n"), F.col("text")).alias("report_md"),
+        F.lit("index=main").alias("spl"), F.lit("-24h").alias("earliest"), F.lit("now").alias("latest"),
+    )
+
+
+@query
+def query_examples_recent(spark, sf):
+    return H.query_examples_recent(past_queries(spark, sf), "urgent")
+
+
+@query
+def query_examples_effective(spark, sf):
+    return H.query_examples_effective(past_queries(spark, sf))
+
+
+@query
+def query_area_stats(spark, sf):
+    return H.query_area_stats(past_queries(spark, sf))
+
+
+@query
+def run_queries(spark, sf):
+    return H.run_queries(past_queries(spark, sf), "run-7")
+
+
+@query
+def parse_query_blocks(spark, sf):
+    blocks = past_queries(spark, sf).select(
+        "id", F.when(F.col("id") % 4 == 0, F.col("spl")).otherwise(
+            F.concat(F.lit("\n-- "), "area", F.lit("\n"), "spl", F.lit("\n"))).alias("block"))
+    return H.parse_query_blocks(blocks).select("id", "area", "spl")
+
+
+@query
+def run_history(spark, sf):
+    return H.run_history(reports(spark, sf))
+
+
+@query
+def run_detail(spark, sf):
+    return H.run_detail(reports(spark, sf), past_queries(spark, sf))
+
+
+@query
+def confidence_flag(spark, sf):
+    return reports(spark, sf).select("id", H.confidence_flag(F.col("report_md")).alias("confidence"))
+
+
+def alert_history(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """HTTP errors as stored alerts; every third one is acknowledged."""
+    errors = sample_log(spark, sf).where("status >= 400")
+    alerts = errors.select(
+        F.col("seq").cast("string").alias("alert_id"), F.lit("watch").alias("run_id"), F.col("time").alias("ts"),
+        F.when(F.col("status") >= 500, "critical").otherwise("warning").alias("severity"),
+        F.concat(F.lit("HTTP "), F.col("status").cast("string")).alias("summary"), F.lit("{}").alias("detail_json"))
+    return alerts, errors.where("seq % 3 = 0").select(F.col("seq").cast("string").alias("alert_id"))
+
+
+@query
+def alerts_open(spark, sf):
+    return H.alerts_open(*alert_history(spark, sf), severity="critical")
+
+
+@query
+def alerts_ack(spark, sf):
+    return H.alerts_open(*alert_history(spark, sf), acked=True)
+
+
+def run_log(spark, sf) -> DataFrame:
+    """Orders as the log of run updates; each row updates only some fields, some rows clear the run."""
+    k = F.col("o_orderkey")
+    return table(spark, sf, "orders").select(
+        F.concat(F.lit("run-"), (F.col("o_custkey") % 50).cast("string")).alias("run_id"),
+        k.alias("id"), F.col("o_orderdate").cast("timestamp").alias("updated_at"), (k % 97 == 0).alias("cleared"),
+        F.when(k % 5 == 0, F.col("o_orderpriority")).alias("source"),
+        F.when(k % 2 == 0, (k % 4).cast("int")).alias("iteration"),
+        F.when(k % 3 == 0, F.col("o_orderstatus")).alias("confidence"),
+        F.when(k % 7 == 0, k).alias("events"),
+    )
+
+
+@query
+def latest_run_status(spark, sf):
+    return H.latest_run_status(run_log(spark, sf))
+
+
+@query
+def latest_run_status_by_id(spark, sf):
+    return H.latest_run_status(run_log(spark, sf), "run-7")
+
+
+@query
+def investigation_status(spark, sf):
+    steps = reports(spark, sf).select(
+        "id", F.col("report_md").alias("report"), (F.col("id") % 100 % 4 + 1).cast("int").alias("iteration"),
+        (F.col("id") % 3).alias("n_queries"), (F.col("id") % 7).alias("n_new"))
+    return H.investigation_status(steps).select("id", "confidence", "status")
+
+
+# --- sources and sinks ------------------------------------------------------
+
+def scratch(spark) -> str:
+    return f"{scratch_root(spark)}/check-{uuid.uuid4().hex}"
+
+
+@query
+def read_events_json(spark, sf):
+    """JSON lines written from the log and read back."""
+    path = scratch(spark)
+    sample_log(spark, sf).select("seq", "host", "_raw", "duration_ms").write.json(path)
+    return readers.read_events_json(spark, path, lines=True).select("seq", "host", "_raw", "duration_ms")
+
+
+@query
+def read_events_csv(spark, sf):
+    path = scratch(spark)
+    sample_log(spark, sf).select("seq", "host", "_raw").write.option("header", True).option("escape", '"').csv(path)
+    return readers.read_events_csv(spark, path)
+
+
+@query
+def read_events(spark, sf):
+    path = scratch(spark)
+    sample_log(spark, sf).select("seq", "sourcetype", "uri").write.option("header", True).csv(path)
+    return readers.read_events(spark, path)
+
+
+@query
+def read_records(spark, sf):
+    path = f"{scratch(spark)}.csv"
+    log = sample_log(spark, sf).select("seq", F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("time"), "host",
+                                       "active_threads", "duration_ms")
+    log.write.option("header", True).csv(path)
+    return readers.read_records(spark, path)
+
+
+@query
+def scan_events(spark, sf):
+    path = scratch(spark)
+    readers.write_event_table(sample_log(spark, sf), path)
+    return readers.scan_events(spark, path, datetime(2024, 1, 12, 12, tzinfo=timezone.utc), "-36h", "-6h",
+                               sourcetypes=["app:error"]).select("seq", "time", "host", "status")
+
+
+@query
+def relative_time(spark, sf):
+    """Events per look-back window before a fixed moment."""
+    now = datetime(2024, 1, 12, 12, tzinfo=timezone.utc)
+    time = F.col("time")
+    counts = [
+        F.count_if((time >= F.lit(relative(m, now))) & (time < F.lit(now))).alias(name)
+        for m, name in (("-24h", "day"), ("-15m", "quarter"), ("2024-01-02T00:00:00Z", "since"))
+    ]
+    return sample_log(spark, sf).agg(*counts)
+
+
+@query
+def write_events(spark, sf):
+    root = scratch(spark)
+    tables.write_events(sample_log(spark, sf).withColumn("_time", F.col("seq").cast("string")), root, "run-1")
+    stored = spark.read.parquet(f"{root}/events")
+    return stored.select("run_id", "_time", "host", "app", F.get_json_object("extra_json", "$.uri").alias("uri"),
+                         F.get_json_object("extra_json", "$.status").cast("int").alias("status"))
+
+
+@query
+def load_run_events(spark, sf):
+    root = scratch(spark)
+    log = sample_log(spark, sf).withColumn("_time", F.col("seq").cast("string"))
+    tables.write_events(log, root, "run-1")
+    tables.write_events(log.where("seq < 10"), root, "run-2")
+    return tables.load_run_events(spark, root, "run-1", "seq bigint, duration_ms double, error_code string").select(
+        "_time", "host", "_raw", "seq", "duration_ms", "error_code")
+
+
+@query
+def write_findings(spark, sf):
+    root = scratch(spark)
+    found = {"host_ranking": D.host_error_ranking(sample_log(spark, sf)), "patterns": D.detect_patterns(sample_log(spark, sf))}
+    tables.write_findings(found, root, "run-1")
+    stored = spark.read.parquet(f"{root}/findings")
+    return stored.groupBy("run_id", "type", "severity", "host").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def write_alerts(spark, sf):
+    root = scratch(spark)
+    hits = W.tag_http(D.http_rows(sample_log(spark, sf)))
+    tables.write_alerts(hits, root, "watch")
+    return tables.read_alerts(spark, root).groupBy("run_id", "severity", "summary").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- schema catalogue -------------------------------------------------------
+
+def observed(spark, sf) -> DataFrame:
+    """JSON bodies whose value is a number, a text, a list or absent, by event."""
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+    events = table(spark, sf, "events").withColumn("k", k)
+    body = F.when(F.col("k") % 50 == 0, F.concat(F.lit('{"k": ["'), F.col("k"), F.lit('"], "tag": "x"}'))).when(
+        F.col("k") % 9 == 0, F.concat(F.lit('{"k": "'), F.col("k"), F.lit('", "ratio": 0.5e0}'))).otherwise(F.col("props"))
+    return catalog.observe_json(events.withColumn("body", body), "body", "event_type", "ts")
+
+
+@query
+def schema_catalog_upsert(spark, sf):
+    early, late = observed(spark, sf), catalog.observe_columns(
+        table(spark, sf, "events").withColumnRenamed("event_type", "sourcetype"), "ts")
+    return catalog.schema_catalog_upsert(early, late)
+
+
+@query
+def schema_catalog_reset(spark, sf):
+    seen = catalog.schema_catalog_upsert(None, observed(spark, sf))
+    fresh = catalog.observe_columns(table(spark, sf, "events").withColumnRenamed("event_type", "sourcetype"), "ts")
+    return catalog.schema_catalog_reset(seen, fresh, ["click", "view"])
+
+
+@query
+def schema_catalog_load(spark, sf):
+    path = scratch(spark)
+    log = sample_log(spark, sf)
+    catalog.write_catalog(catalog.schema_catalog_upsert(None, catalog.observe_columns(log)), path)
+    schema = catalog.schema_catalog_load(catalog.read_catalog(spark, path), "app:error")
+    lines = f"{path}-lines"
+    log.where("sourcetype = 'app:error'").write.json(lines)
+    return readers.read_events_json(spark, lines, schema, lines=True).select("seq", "host", "status", "duration_ms")
+
+
+@query
+def schema_drift(spark, sf):
+    return catalog.schema_drift(observed(spark, sf))
+
+
+# --- streaming --------------------------------------------------------------
+
+def log_stream(spark, sf) -> DataFrame:
+    schema = table(spark, sf, "events").schema
+    return log_columns(W.stream_source(spark, sf, schema, time_column="ts", pathGlobFilter="events.parquet"))
+
+
+def drained(spark, stream, mode="append") -> DataFrame:
+    path = scratch(spark)
+    W.run_to_table(stream, path, mode).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+@query
+def tag_alerts(spark, sf):
+    return W.tag_alerts(sample_log(spark, sf), PARAMS).select("detector", "severity", "summary")
+
+
+@query
+def stream_row_alerts(spark, sf):
+    return drained(spark, W.stream_row_alerts(log_stream(spark, sf), PARAMS)).select("detector", "severity", "summary")
+
+
+@query
+def stream_source(spark, sf):
+    schema = table(spark, sf, "events").schema
+    stream = W.stream_source(spark, sf, schema, time_column="ts", pathGlobFilter="events.parquet",
+                             started=datetime(2024, 1, 20, tzinfo=timezone.utc), lookback="-15m")
+    return drained(spark, stream).select("event_id", "ts", "event_type")
+
+
+@query
+def stream_spikes(spark, sf):
+    return drained(spark, W.stream_spikes(log_stream(spark, sf), 3600, 20), "complete")
+
+
+@query
+def stream_patterns(spark, sf):
+    return drained(spark, W.stream_patterns(log_stream(spark, sf), 86400), "complete")
+
+
+@query
+def stream_sessions(spark, sf):
+    return drained(spark, W.stream_sessions(log_stream(spark, sf)), "complete")
+
+
+@query
+def stream_overlap(spark, sf):
+    stream = W.without_repeats(log_stream(spark, sf), ["host", "error_code"], 3600)
+    return drained(spark, stream).agg(F.countDistinct("host", "error_code").alias("pairs"))
+
+
+@query
+def stream_cycle_guard(spark, sf):
+    root = scratch(spark)
+    W.start_watch(log_stream(spark, sf), root, "watch", PARAMS, once=True).awaitTermination()
+    return tables.read_alerts(spark, root).groupBy("severity", "summary").agg(F.count(F.lit(1)).alias("n"))
