@@ -253,8 +253,8 @@ def append_events(spark, sf):
 # --- follow-up areas --------------------------------------------------------
 
 ASK = A.FollowUp(
-    hosts=("web-01", "web-04", "web-07"), error_codes=("E1", "E2", "E3"), sourcetype="app:error",
-    spike_start=datetime(2024, 1, 10, 6, 0, tzinfo=timezone.utc),
+    hosts=tuple(f"web-{i:02d}" for i in range(9)), error_codes=("E1", "E2", "E3"), sourcetype="app:error",
+    spike_start=datetime(2024, 1, 10, 6, 30, tzinfo=timezone.utc),
 )
 
 

@@ -213,3 +213,318 @@ ORACLE: dict[str, str] = {
     "append_events": _log("""select seq, time, host, duration_ms, null as status, null as uri from log where duration_ms > 100
       union all select seq, time, host, null, status, uri from log where status >= 400"""),
 }
+
+# --- follow-up areas: nine hosts, three codes, one sourcetype, a spike start ---
+
+HOSTS = ", ".join(f"'web-{i:02d}'" for i in range(9))
+SPIKE = "timestamp '2024-01-10 06:30:00'"
+CODES = "error_code in ('E1', 'E2', 'E3')"
+
+
+def _between(before: str, after: str) -> str:
+    return f"time >= {SPIKE} - interval {before} and time < {SPIKE} + interval {after}"
+
+
+def _transaction(source: str) -> str:
+    """Anchored groups of at most an hour per host, one start after the other."""
+    return f"""src as ({source}),
+      starts as (
+       select host, min(time) as s from src group by host
+       union all
+       select t.host, min(l.time) from starts t join src l on l.host = t.host and l.time > t.s + interval 1 hour
+       group by t.host, t.s),
+      spans as (select host, s, lead(s) over (partition by host order by s) as next_s from starts),
+      groups as (
+       select host, s as start_time, max(l.time) as end_time, count(*) as event_count
+       from spans join src l using (host) where l.time >= s and (next_s is null or l.time < next_s)
+       group by host, s)"""
+
+
+ORACLE |= {
+    "area_api_errors": _log(f"""select host, cast(status as bigint) as status, uri, count(*) as "count" from log
+      where host in ({HOSTS}) and sourcetype = 'app:error' and status >= 400 and {_between('0 hour', '1 hour')}
+      group by all"""),
+    "area_database_slowdown": _log(f"""select host, round(avg(duration_ms), 6) as avg_ms, max(duration_ms) as max_ms,
+      count(*) as "count" from log where host in ({HOSTS}) and duration_ms > 50 and {_between('0 hour', '1 hour')}
+      group by host"""),
+    "area_cascading_failure": _log(f""", {_transaction(
+        f"select host, time from log where host in ({HOSTS}) and {_between('5 minute', '30 minute')}")}
+      select start_time as time, host, round((epoch_us(end_time) - epoch_us(start_time)) / 1e6, 6) as duration,
+        event_count as eventcount from groups"""),
+    "transaction": _log(f""", {_transaction('select host, time from log')}
+      select host, start_time, end_time, round((epoch_us(end_time) - epoch_us(start_time)) / 1e6, 6) as duration,
+        event_count from groups"""),
+    "area_host_isolation": _log(f"""select host, sourcetype, error_code, count(*) as "count" from log
+      where host in ({HOSTS}) and {_between('0 hour', '2 hour')} group by all"""),
+    "area_timeline": _log(f"""select date_trunc('minute', time) as minute, host, count(*) as "count" from log
+      where sourcetype = 'app:error' and {CODES} group by all"""),
+    "timeline_chart": _log("select date_trunc('minute', time) as minute, " + ", ".join(
+        f"count(*) filter (host = 'web-{i:02d}') as \"web-{i:02d}\"" for i in range(9))
+        + f" from log where sourcetype = 'app:error' and {CODES} group by 1"),
+    "area_first_occurrence": _log(f"""select time, host, sourcetype, null as message from log
+      where sourcetype = 'app:error' and {CODES} order by time, seq limit 1"""),
+    "area_dispatch": _log(f"""select 'host_isolation' as area, count(*) as n from (
+        select distinct host, sourcetype, error_code from log where host in ({HOSTS}) and {_between('0 hour', '2 hour')})
+      union all select 'first_occurrence', count(*) from (
+        select 1 from log where sourcetype = 'app:error' and {CODES} limit 1)"""),
+    "error_filter": _log("select seq, error_code from log where error_code = 'E1' or error_code = 'E2'"),
+    "event_count": "select count(*) as event_count from events",
+}
+
+# --- findings -----------------------------------------------------------------
+
+BUNDLE = {
+    "spikes": "detect_spikes", "patterns": "detect_patterns", "cert_anomalies": "detect_cert_anomalies",
+    "correlations": "correlate_events", "host_ranking": "host_error_ranking", "slow_queries": "detect_slow_queries",
+    "numeric_anomalies": "detect_numeric_anomalies", "event_pairs": "detect_event_pairs",
+}
+
+
+def _found(name: str) -> str:
+    return f"({ORACLE[BUNDLE.get(name, name)]})"
+
+
+def _counts(names) -> str:
+    return " union all ".join(f"select '{n}' as type, count(*) as n from {_found(n)}" for n in names)
+
+
+_ISO = ("concat(strftime({0}, '%Y-%m-%dT%H:%M:%S'), "
+        "case when epoch_us({0}) % 1000000 <> 0 then strftime({0}, '.%f') else '' end, '+00:00')")
+
+_WITH_HOST = {"cert_anomalies", "host_ranking", "slow_queries", "numeric_anomalies"}
+_WITH_TYPE = {"patterns", "cert_anomalies"}
+
+
+def _long(names, run: str = "") -> str:
+    parts = []
+    for n in names:
+        severity = "type" if n in _WITH_TYPE else "''"
+        host = "host" if n in _WITH_HOST else "''"
+        parts.append(f"select '{n}' as kind, {severity} as severity, {host} as host from {_found(n)}")
+    lead = f"'{run}' as run_id, " if run else ""
+    return f"select {lead}kind as type, severity, host, count(*) as n from ({' union all '.join(parts)}) group by all"
+
+
+_LEVELS = f"(select coalesce(max(\"count\") filter (level = '{{0}}'), 0) from ({ORACLE['severity_summary']}))"
+
+_CERT_LINE = "concat('[', host, '] ', replace(matched_keywords, ',', ', '), ' at ', " + _ISO.format("time") + ")"
+
+ORACLE |= {
+    "build_findings": f"""select * from ({_counts([n for n in BUNDLE if n != 'event_pairs'])}) where n > 0
+      union all select 'severity', count(*) from {_found('severity_summary')} union all select 'event_count', 1""",
+    "findings_counts": _counts(BUNDLE),
+    "findings_long": _long(BUNDLE),
+    "findings_json": f"""select 'host_ranking' as type, host as name, error_count as n from {_found('host_ranking')}
+      union all select 'severity', level, "count" from {_found('severity_summary')}
+      union all select 'patterns', coalesce(error_code, prefix), "count" from {_found('patterns')}""",
+    "run_summary": f"""select cast((select sum(n) from ({_counts(
+        ['spikes', 'cert_anomalies', 'patterns', 'slow_queries', 'numeric_anomalies', 'event_pairs'])})) as bigint)
+        as n_findings, {_LEVELS.format('CRITICAL')} as critical, {_LEVELS.format('ERROR')} as error,
+      coalesce((select host from {_found('host_ranking')} order by error_count desc, host limit 1), 'n/a')
+        as top_error_host""",
+    "findings_digest": f"""
+      select 'spikes' as type, row_number() over (order by window_start) as place,
+        concat({_ISO.format('window_start')}, ' — ', event_count, ' events in ', window_seconds, 's on hosts: ',
+          replace(hosts, ',', ', ')) as line from {_found('spikes')} qualify place <= 3
+      union all select 'patterns', row_number() over (order by "count" desc, sourcetype, error_code) as place,
+        concat(sourcetype, ' / error ', error_code, ' — ', "count", 'x') from {_found('patterns')}
+        where type = 'repeated_error' qualify place <= 3
+      union all select 'cert_anomalies', row_number() over (order by time, host, raw_excerpt) as place, {_CERT_LINE}
+        from {_found('cert_anomalies')} qualify place <= 3
+      union all select 'host_ranking', row_number() over (order by error_count desc, host) as place,
+        concat(host, '(', error_count, ')') from {_found('host_ranking')} qualify place <= 3""",
+    "findings_report": f"""
+      select 0 as section, 0 as part, '# Findings' as line
+      union all select 0, 1, concat('**Severity** ', level, ': ', "count") from {_found('severity_summary')}
+      union all select 1, 0, '## Events analysed' union all select 1, 1, cast(count(*) as varchar) from events
+      union all select 2, 0, concat('## Spikes (', count(*), ')') from {_found('spikes')}
+      union all select 2, 1, concat('- ', {_ISO.format('window_start')}, ' — ', event_count, ' events on ',
+        replace(hosts, ',', ', ')) from {_found('spikes')}
+      union all select 3, 0, concat('## Cert Anomalies (', count(*), ')') from {_found('cert_anomalies')}
+      union all select 3, 1, concat('- ', {_CERT_LINE}) from {_found('cert_anomalies')}
+      union all select 4, 0, '## Top Error Hosts'
+      union all select * from (select 4, 1, concat('- ', host, ': ', error_count, ' errors') from {_found('host_ranking')}
+        order by error_count desc, host limit 5)
+      union all select 5, 0, concat('## Slow Queries (', count(*), ')') from {_found('slow_queries')}
+      union all select * from (select 5, 1, concat('- ', cast(round_even(duration_ms, 0) as bigint), 'ms [', host, '] — ',
+        query) from {_found('slow_queries')} order by duration_ms desc, time, host limit 10)
+      union all select 6, 0, concat('## Event Pairs (', count(*), ')') from {_found('event_pairs')}
+      union all select 6, 1, concat('- [', entity, '] ''', first_pattern, ''' at ', {_ISO.format('first_time')}, ' -> ''',
+        second_pattern, ''' at ', {_ISO.format('second_time')}, ' (+', cast(round_even(span_seconds, 0) as bigint), 's)')
+        from {_found('event_pairs')}
+      union all select 7, 0, concat('## Numeric Anomalies (', count(*), ')') from {_found('numeric_anomalies')}
+      union all select * from (select 7, 1, concat('- ', field, '=', printf('%.2f', value), ' [', host, '] — z=',
+        printf('%.2f', z_score), ' (mean=', printf('%.2f', rolling_mean), ', std=', printf('%.2f', rolling_std), ') at ',
+        {_ISO.format('time')}, case when window_contaminated then ' (likely window-contamination artifact)' else '' end)
+        from {_found('numeric_anomalies')} order by abs(z_score) desc limit 10)""",
+}
+
+# The same detectors over the log whose times are text: lines without a readable time drop out of
+# every detector that needs the order, and whole seconds replace fractions for some.
+_TEXT_LOG = f"{LOG} {TEXT_TIMES}".replace("log as (", "plain as (", 1).replace("from log)", "from plain)", 1) + """,
+  log as (select p.* replace (t.time as time) from plain p join times t using (seq))"""
+
+
+_NEED_TIME = {"spikes", "correlations", "event_pairs", "numeric_anomalies"}
+
+
+def _on_text(name: str) -> str:
+    log = _TEXT_LOG
+    if name in _NEED_TIME:
+        log = log.replace("join times t using (seq))", "join times t using (seq) where t.time is not null)")
+    return ORACLE[BUNDLE[name]].replace(LOG, log, 1)
+
+
+def _text_counts(names) -> str:
+    return " union all ".join(f"select '{n}' as type, count(*) as n from ({_on_text(n)})" for n in names)
+
+
+# --- history ------------------------------------------------------------------
+
+PAST = """past as (
+  select o_orderkey as id, concat('run-', o_custkey) as run_id, cast(o_orderkey % 3 + 1 as int) as iteration,
+    lower(regexp_extract(o_orderpriority, '-(\\w+)', 1)) as area, concat('index=main status=', o_orderstatus) as spl,
+    o_orderstatus <> 'P' as executed,
+    case when o_orderstatus = 'F' then cast(floor(o_totalprice) as bigint) end as result_rows, o_orderdate as created_at
+  from orders)"""
+
+REPORTS = """reports as (
+  select concat('run-', conv_id) as run_id, conv_id * 100 + turn as id,
+    make_timestamp((1704067200 + turn * 3600 + conv_id % 5) * 1000000) as created_at,
+    case when role = 'user' then '' else role end as source_file,
+    concat('## Report\n**Confidence:** ', case (conv_id + turn) % 4 when 0 then 'High' when 1 then 'medium'
+      when 2 then 'LOW' else 'none' end, '\n', text) as report_md,
+    'index=main' as spl, '-24h' as earliest, 'now' as latest,
+    (conv_id + turn) % 4 as c from conversations)"""
+
+RUNLOG = """runlog as (
+  select concat('run-', o_custkey % 50) as run_id, o_orderkey as k, o_orderdate as updated_at, o_orderkey % 97 = 0 as cleared,
+    case when o_orderkey % 5 = 0 then o_orderpriority end as source,
+    case when o_orderkey % 2 = 0 then cast(o_orderkey % 4 as int) end as iteration,
+    case when o_orderkey % 3 = 0 then o_orderstatus end as confidence,
+    case when o_orderkey % 7 = 0 then o_orderkey end as events from orders),
+  cuts as (select run_id, max((updated_at, k)) as cut from runlog where cleared group by run_id),
+  live as (select r.*, (updated_at, k) as moment from runlog r left join cuts c using (run_id)
+    where not cleared and (c.cut is null or (updated_at, k) > c.cut)),
+  state as (select run_id, arg_max(source, moment) filter (source is not null) as source,
+    arg_max(iteration, moment) filter (iteration is not null) as iteration,
+    arg_max(confidence, moment) filter (confidence is not null) as confidence,
+    arg_max(events, moment) filter (events is not null) as events, max(moment) as moment, max(updated_at) as updated_at
+    from live group by run_id)"""
+
+ALERTS = """alerts as (
+  select cast(seq as varchar) as alert_id, 'watch' as run_id, time as ts,
+    case when status >= 500 then 'critical' else 'warning' end as severity, concat('HTTP ', status) as summary,
+    '{}' as detail_json, seq % 3 = 0 as acked from log where status >= 400)"""
+
+_EXAMPLE = "area, spl, result_rows, run_id, iteration"
+
+ORACLE |= {
+    "query_examples_recent": f"with {PAST} select {_EXAMPLE} from past where area = 'urgent' order by id desc limit 20",
+    "query_examples_effective": f"""with {PAST} select {_EXAMPLE} from past
+      order by result_rows desc nulls last, id desc limit 20""",
+    "query_area_stats": f"""with {PAST} select area, count(*) as executed_count,
+      round(avg(result_rows), 6) as avg_result_rows, median(result_rows) as median_result_rows from past
+      where executed and result_rows is not null group by area""",
+    "run_queries": f"""with {PAST} select iteration, area, spl, executed, result_rows, created_at from past
+      where run_id = 'run-7'""",
+    "parse_query_blocks": f"""with {PAST} select id, case when id % 4 = 0 then '' else area end as area, spl from past""",
+    "run_history": f"""with {REPORTS} select run_id, coalesce(nullif(source_file, ''), '—') as source,
+      strftime(created_at, '%Y-%m-%d %H:%M') as created_at,
+      case c when 0 then 'High' when 1 then 'medium' when 2 then 'LOW' else '—' end as confidence from reports""",
+    "run_detail": f"""with {REPORTS}, {PAST}, newest as (
+       select * from reports qualify row_number() over (partition by run_id order by created_at desc, id desc) = 1)
+      select n.run_id, coalesce(nullif(source_file, ''), '—') as source, report_md, n.spl as report_spl, earliest, latest,
+        iteration, area, p.spl, executed, result_rows from newest n left join past p on p.run_id = n.run_id""",
+    "confidence_flag": f"with {REPORTS} select id, case when c = 0 then 'High' else 'Medium' end as confidence from reports",
+    "alerts_open": _log(f", {ALERTS} select * from alerts where severity = 'critical' and not acked"),
+    "alerts_ack": _log(f", {ALERTS} select * from alerts where acked"),
+    "latest_run_status": f"""with {RUNLOG} select run_id, source, iteration, confidence, events, updated_at from state
+      order by moment desc limit 1""",
+    "latest_run_status_by_id": f"""with {RUNLOG} select run_id, source, iteration, confidence, events, updated_at from state
+      where run_id = 'run-7'""",
+    "investigation_status": f"""with {REPORTS} select id, case when c = 0 then 'High' else 'Medium' end as confidence,
+      case when c = 0 or id % 100 % 4 + 1 >= 3 or id % 3 = 0 or id % 7 = 0 then 'done' else 'continue' end as status
+      from reports""",
+    "analyze_events": _text_counts(BUNDLE),
+    "grow_investigation": _text_counts(["cert_anomalies", "host_ranking", "slow_queries", "patterns"]),
+}
+
+# --- sources, sinks, catalogue --------------------------------------------------
+
+_KINDS = """body as (
+  select event_type as sourcetype, ts, cast(regexp_extract(props, '([0-9]+)', 1) as int) as k from events),
+ typed as (
+  select sourcetype, 'k' as field_name, case when k % 50 = 0 then 'List' when k % 9 = 0 then 'String' else 'Int64' end
+    as dtype, ts from body
+  union all select sourcetype, 'tag', 'String', ts from body where k % 50 = 0
+  union all select sourcetype, 'ratio', 'Float64', ts from body where k % 9 = 0 and k % 50 <> 0),
+ seen as (select sourcetype, field_name, dtype, min(ts) as first_seen, max(ts) as last_seen from typed group by all),
+ cols as (
+  select event_type as sourcetype, f.field_name, f.dtype, min(ts) as first_seen, max(ts) as last_seen
+  from events cross join (values ('event_id', 'Int64'), ('user_id', 'Int64'), ('sourcetype', 'String'),
+    ('value', 'Float64'), ('props', 'String')) f(field_name, dtype) group by all)"""
+
+_MERGED = """select sourcetype, field_name, arg_max(dtype, (last_seen, dtype)) as dtype, min(first_seen) as first_seen,
+  max(last_seen) as last_seen from {0} group by sourcetype, field_name"""
+
+ORACLE |= {
+    "read_events_json": _log("select seq, host, _raw, duration_ms from log"),
+    "read_events_csv": _log("select cast(seq as varchar) as seq, host, _raw from log"),
+    "read_events": _log("select cast(seq as varchar) as seq, sourcetype, uri from log"),
+    "read_records": _log("select seq, date_trunc('second', time) as time, host, active_threads, duration_ms from log"),
+    "scan_events": _log("""select seq, time, host, status from log where sourcetype = 'app:error'
+      and time >= timestamp '2024-01-11 00:00:00' and time < timestamp '2024-01-12 06:00:00'"""),
+    "relative_time": _log("""select count(*) filter (time >= timestamp '2024-01-11 12:00:00') as day,
+      count(*) filter (time >= timestamp '2024-01-12 11:45:00') as quarter,
+      count(*) filter (time >= timestamp '2024-01-02 00:00:00') as since
+      from log where time < timestamp '2024-01-12 12:00:00'"""),
+    "write_events": _log("select 'run-1' as run_id, cast(seq as varchar) as _time, host, app, uri, status from log"),
+    "load_run_events": _log("""select cast(seq as varchar) as _time, host, _raw, seq, duration_ms, error_code from log"""),
+    "write_findings": _long(["host_ranking", "patterns"], run="run-1"),
+    "write_alerts": _log("""select 'watch' as run_id, case when status >= 500 then 'critical' else 'warning' end as severity,
+      concat('HTTP ', status, ' on ', host, ' ', uri) as summary, count(*) as n from log where status >= 400 group by all"""),
+    "schema_catalog_upsert": f"with {_KINDS} " + _MERGED.format("(select * from seen union all select * from cols)"),
+    "schema_catalog_reset": f"""with {_KINDS} select * from ({_MERGED.format('seen')})
+      where sourcetype not in ('click', 'view')
+      union all select * from cols where sourcetype in ('click', 'view')""",
+    "schema_catalog_load": _log("select seq, host, status, duration_ms from log where sourcetype = 'app:error'"),
+    "schema_drift": f"""with {_KINDS} select sourcetype, field_name, string_agg(dtype, ',' order by dtype) as dtypes
+      from seen group by 1, 2 having count(*) > 1""",
+}
+
+# --- streaming ------------------------------------------------------------------
+
+_ROW_ALERTS = f"""
+  select 'slow_query' as detector, case when duration_ms >= 300 then 'critical' else 'warning' end as severity,
+    concat('Slow query: ', cast(round_even(duration_ms, 0) as bigint), 'ms on ', host) as summary from log
+  where duration_ms > 100
+  union all select 'cert_anomaly', 'warning', concat('Cert anomaly on ', host, ': ', replace({_keywords(CERT)}, ',', ', '))
+    from log where {_keywords(CERT)} <> ''
+  union all select 'http_error', case when status >= 500 then 'critical' else 'warning' end,
+    concat('HTTP ', status, ' on ', host, ' ', uri) from log where status >= 400"""
+
+_ALL_ALERTS = f"""{_ROW_ALERTS}
+  union all select 'spike', 'warning', concat('Spike: ', event_count, ' events in 3600s starting ',
+    {_ISO.format('window_start')}) from {_found('spikes')}
+  union all select 'pattern', 'info', concat('Repeated ', type, ': count=', "count") from {_found('patterns')}"""
+
+ORACLE |= {
+    "tag_alerts": _log(_ALL_ALERTS),
+    "stream_row_alerts": _log(_ROW_ALERTS),
+    "stream_source": "select event_id, ts, event_type from events where ts >= timestamp '2024-01-19 23:45:00'",
+    "stream_spikes": _log("""select date_trunc('hour', time) as window_start, 3600 as window_seconds,
+      count(*) as event_count, 20 as threshold, string_agg(distinct host, ',' order by host) as hosts
+      from log group by 1 having count(*) >= 20"""),
+    "stream_patterns": _log("""select date_trunc('day', time) as slice_start, sourcetype, error_code, count(*) as "count"
+      from log group by all having count(*) > 1"""),
+    "stream_sessions": _log(""", steps as (select *, case when time - lag(time) over (partition by app order by time, seq)
+        <= interval 60 seconds then 0 else 1 end as opens from log),
+      numbered as (select *, sum(opens) over (partition by app order by time, seq) as sid from steps)
+      select app, min(time) as group_start, max(time) as group_end, count(*) as event_count,
+        string_agg(distinct host, ',' order by host) as hosts,
+        string_agg(distinct sourcetype, ',' order by sourcetype) as sourcetypes
+      from numbered group by app, sid having count(*) > 1"""),
+    "stream_overlap": _log("select count(*) as pairs from (select distinct host, error_code from log)"),
+    "stream_cycle_guard": _log(f"""select severity, summary, count(*) as n from ({_ALL_ALERTS}) group by all"""),
+}

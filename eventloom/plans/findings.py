@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.config import DEFAULTS, Params
-from eventloom.functions.text import iso_text
+from eventloom.functions.text import iso_text, two_decimals
 from eventloom.operators import detectors as D
 from eventloom.operators.normalize import append_events, prepare_events
 
@@ -213,9 +213,9 @@ def findings_report(findings: Findings) -> DataFrame:
              F.lit("s)")))
     lines += section(
         7, findings["numeric_anomalies"], titled("Numeric Anomalies"), -F.abs("z_score"), F.col("time"),
-        text(F.lit("- "), "field", F.lit("="), F.format_string("%.2f", "value"), bracket_host, F.lit(" — z="),
-             F.format_string("%.2f", "z_score"), F.lit(" (mean="), F.format_string("%.2f", "rolling_mean"),
-             F.lit(", std="), F.format_string("%.2f", "rolling_std"), F.lit(") at "), iso_text(F.col("time")),
+        text(F.lit("- "), "field", F.lit("="), two_decimals(F.col("value")), bracket_host, F.lit(" — z="),
+             two_decimals(F.col("z_score")), F.lit(" (mean="), two_decimals(F.col("rolling_mean")),
+             F.lit(", std="), two_decimals(F.col("rolling_std")), F.lit(") at "), iso_text(F.col("time")),
              F.when(F.col("window_contaminated"), F.lit(" (likely window-contamination artifact)"))
              .otherwise(F.lit(""))), top=10)
     out = lines[0]
