@@ -77,8 +77,7 @@ def contains_any(text: Column, keywords: Sequence[str]) -> Column:
 
 def matched_keywords(text: Column, keywords: Sequence[str]) -> Column:
     """Keywords found in ``text`` as literal substrings, in list order."""
-    words = F.array(*[F.lit(k) for k in keywords])
-    return F.filter(words, lambda k: F.contains(text, k))
+    return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(k)), F.lit(k)) for k in keywords]))
 
 
 def error_line(raw: Column) -> Column:

@@ -106,9 +106,8 @@ def detect_spikes(events: DataFrame, window_seconds: int = 60, threshold: int =
         .agg(F.min("us").alias("us"), F.min_by("event_count", "us").alias("event_count"))
         .drop("minute")
     )
-    hosts = _window_hosts(timed, anchors.select("us"), window_seconds * US)
     return (
-        anchors.join(hosts, "us")
+        _with_window_hosts(timed, anchors, window_seconds * US)
         .select(
             F.timestamp_micros("us").alias("window_start"),
             F.lit(window_seconds).alias("window_seconds"),
@@ -120,8 +119,8 @@ def detect_spikes(events: DataFrame, window_seconds: int = 60, threshold: int =
     )
 
 
-def _window_hosts(timed: DataFrame, anchors: DataFrame, span_us: int) -> DataFrame:
-    """Hosts seen within ``span_us`` after each anchor.
+def _with_window_hosts(timed: DataFrame, anchors: DataFrame, span_us: int) -> DataFrame:
+    """Add the hosts seen within ``span_us`` after each anchor.
 
     On cells as wide as the window, a window covers the end of one cell and the start of the
     next. So first and last sighting of a host per cell decide, and events never meet anchors.
@@ -137,13 +136,13 @@ def _window_hosts(timed: DataFrame, anchors: DataFrame, span_us: int) -> DataFra
         "visit",
         F.explode(F.array(F.struct(cell.alias("cell"), F.lit(True).alias("opening")),
                           F.struct((cell + 1).alias("cell"), F.lit(False).alias("opening")))),
-    ).select("us", F.col("visit.cell").alias("cell"), F.col("visit.opening").alias("opening"))
+    ).select(*anchors.columns, "visit.cell", "visit.opening")
     seen = F.when(F.col("opening"), F.col("last_us") >= F.col("us")).otherwise(
         F.col("first_us") <= F.col("us") + span_us
     )
     return (
         visits.join(sightings, "cell", "left")
-        .groupBy("us")
+        .groupBy(*anchors.columns)
         .agg(F.array_sort(F.collect_set(F.when(seen, F.col("host")))).alias("hosts"))
     )
 
@@ -214,24 +213,22 @@ def correlate_events(events: DataFrame, window_seconds: int = 60) -> DataFrame:
         .groupBy(floor_div(F.col("us"), max(gap_us, 1)).alias("cell"), "host", "sourcetype")
         .agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count(F.lit(1)).alias("n"))
     )
-    axis = cells.groupBy("cell").agg(
-        F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.sum("n").alias("n")
-    )
+    axis = cells.groupBy("cell").agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
     numbered = gap_sessions(axis, gap_us).select("cell", "session")
     groups = (
-        axis.join(numbered, "cell")
+        cells.join(numbered, "cell")
         .groupBy("session")
-        .agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"),
-             F.sum("n").alias("event_count"))
+        .agg(
+            F.min("first_us").alias("first_us"),
+            F.max("last_us").alias("last_us"),
+            F.sum("n").alias("event_count"),
+            F.array_sort(F.collect_set("host")).alias("hosts"),
+            F.array_sort(F.collect_set("sourcetype")).alias("sourcetypes"),
+        )
         .where(F.col("event_count") > 1)
     )
-    members = cells.join(numbered, "cell").groupBy("session").agg(
-        F.array_sort(F.collect_set("host")).alias("hosts"),
-        F.array_sort(F.collect_set("sourcetype")).alias("sourcetypes"),
-    )
     return (
-        groups.join(members, "session")
-        .select(
+        groups.select(
             F.timestamp_micros("first_us").alias("group_start"),
             F.timestamp_micros("last_us").alias("group_end"),
             ((F.col("last_us") - F.col("first_us")) / F.lit(1e6)).alias("span_seconds"),
@@ -329,16 +326,13 @@ def keyword_scan(events: DataFrame, kind: str, keywords: Sequence[str], excerpt:
     words = [k.lower() for k in keywords]
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("_raw", *also) if c in events.columns]
     text = F.lower(F.concat_ws(" ", *parts))
-    return (
-        events.select(
-            F.lit(kind).alias("type"),
-            or_unknown(optional(events, "host")).alias("host"),
-            optional(events, "time", "timestamp").alias("time"),
-            matched_keywords(text, words).alias("matched_keywords"),
-            or_unknown(optional(events, "sourcetype")).alias("sourcetype"),
-            F.substring(F.coalesce(F.col("_raw").cast("string"), F.lit("")), 1, excerpt).alias("raw_excerpt"),
-        )
-        .where(F.size("matched_keywords") > 0)
+    return events.where(contains_any(text, words)).select(
+        F.lit(kind).alias("type"),
+        or_unknown(optional(events, "host")).alias("host"),
+        optional(events, "time", "timestamp").alias("time"),
+        matched_keywords(text, words).alias("matched_keywords"),
+        or_unknown(optional(events, "sourcetype")).alias("sourcetype"),
+        F.substring(F.coalesce(F.col("_raw").cast("string"), F.lit("")), 1, excerpt).alias("raw_excerpt"),
     )
 
 

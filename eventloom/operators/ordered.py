@@ -4,7 +4,8 @@ Three ideas carry this module:
 
 * A prefix over the whole time axis is computed in levels: rows inside a block, blocks inside a
   block of blocks, and so on. A block covers a fixed range of the key, so with one row per key
-  no group exceeds ``2**BLOCK_BITS`` rows, however the events are spread.
+  no group exceeds ``2**BLOCK_BITS`` rows, however the events are spread; the last level is one
+  group of blocks, whose number the length of the calendar bounds.
 * Before anything is ordered, events collapse to one row per timestamp (or per time cell), with
   map-side combine. A hot instant, host or hour is a number by the time it is shuffled.
 * Where single rows matter (rolling windows of n rows), Spark's sampled range sort balances
@@ -21,8 +22,8 @@ from eventloom.functions import floor_div
 from eventloom.session import materialize
 
 US = 1_000_000
-BLOCK_BITS = 14
-LEVELS = 3  # keys below 2**42: seconds until the year 9999, row numbers up to 4e12
+BLOCK_BITS = 17
+LEVELS = 2  # seconds until the year 9999 then fill at most 2**21 blocks, 4e12 row numbers 2**25
 BLOCK_ROWS = 1 << 16
 
 
@@ -106,7 +107,7 @@ def forward_counts(times: DataFrame, window_seconds: int, threshold: int) -> Dat
 
 def _second_sums(seconds: DataFrame, w: int) -> DataFrame:
     """Per second: events of seconds ``sec .. sec+w`` and of those strictly between the two ends."""
-    size = max(w, 1 << BLOCK_BITS)
+    size = max(w, 1 << 14)
     offset = F.pmod(F.col("sec"), F.lit(size))
     block = floor_div(F.col("sec"), size)
     # seconds at the start of a block also serve the windows that begin in the block before it
@@ -148,7 +149,7 @@ def gap_sessions(cells: DataFrame, gap_us: int) -> DataFrame:
         )
     )
     # cells as narrow as a microsecond need more levels than cells of a second or more
-    levels = LEVELS if gap_us >= US else 5
+    levels = LEVELS if gap_us >= US else 3
     numbered = prefix(linked, "cell", "opens", "opened_before", level=levels)
     return numbered.withColumn("session", F.col("opened_before") + F.col("opens")).drop("opens", "opened_before", "prev_us")
 

@@ -12,7 +12,7 @@ from eventloom.config import (
     THREAD_COUNT_FIELDS,
     THREAD_EXHAUSTION_KEYWORDS,
 )
-from eventloom.functions import contains_any, first_present, floor_div, micros, or_unknown, to_double
+from eventloom.functions import contains_any, first_present, floor_div, matched_keywords, micros, or_unknown, to_double
 from eventloom.functions.columns import host_column
 from eventloom.operators.detectors import CERT_SCHEMA, keyword_scan
 from eventloom.operators.ordered import US, prefix
@@ -47,10 +47,9 @@ def detect_socket_backlog(events: DataFrame, min_count: int = 5) -> DataFrame:
     if "_raw" not in events.columns:
         return _empty(events, BACKLOG_SCHEMA)
     text = F.lower(F.col("_raw").cast("string"))
-    states = F.filter(F.array(*[F.lit(s) for s in SOCKET_STATES]), lambda s: F.contains(text, s))
     return (
         events.where(contains_any(text, SOCKET_STATES))
-        .select(or_unknown(host_column(events)).alias("host"), F.explode(states).alias("state"))
+        .select(or_unknown(host_column(events)).alias("host"), F.explode(matched_keywords(text, SOCKET_STATES)).alias("state"))
         .groupBy("host", "state")
         .agg(F.count(F.lit(1)).alias("count"))
         .where(F.col("count") >= min_count)
