@@ -42,9 +42,10 @@ def micros(col: Column) -> Column:
     return F.unix_micros(col.cast("timestamp"))
 
 
-def floor_div(col: Column, n: int) -> Column:
+def floor_div(col: Column, n: int | Column) -> Column:
     """Exact floor division of a long, also for times before 1970."""
-    return F.call_function("div", col - F.pmod(col, F.lit(n)), F.lit(n))
+    n = n if isinstance(n, Column) else F.lit(n)
+    return F.call_function("div", col - F.pmod(col, n), n)
 
 
 _NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"

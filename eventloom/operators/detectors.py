@@ -290,14 +290,28 @@ def detect_event_pair_patterns(events: DataFrame, patterns: Sequence[PairPattern
         table = F.create_map(*[x for i, p in wanted for x in (F.lit(i), F.lit(value(p)))])
         return F.element_at(table, F.col(rule))
 
-    first = hits("first_pattern").groupBy("rule", "entity").agg(F.min("line").alias("first"))
-    later = hits("second_pattern").alias("b").join(
-        first.alias("a"),
-        (F.col("a.rule") == F.col("b.rule"))
-        & F.col("a.entity").eqNullSafe(F.col("b.entity"))
-        & (F.struct("b.line.us", "b.line.seq") > F.struct("a.first.us", "a.first.seq"))
-        & (F.col("b.line.us") - F.col("a.first.us") <= of_rule(lambda p: p.maxspan_seconds * US, "a.rule")),
-    ).select("a.rule", "a.entity", "a.first", "b.line")
+    # A second line lies in the cell of its first line or in the next one when cells are just wider
+    # than the span. With the cell in the key, the lines of a hot entity spread over many tasks, and
+    # all but two cells per entity find no partner.
+    def cell(us: str):
+        return floor_div(F.col(us), of_rule(lambda p: p.maxspan_seconds * US + 1))
+
+    first = (
+        hits("first_pattern").groupBy("rule", "entity").agg(F.min("line").alias("first"))
+        .withColumn("cell", F.explode(F.array(cell("first.us"), cell("first.us") + 1)))
+    )
+    later = (
+        hits("second_pattern").withColumn("cell", cell("line.us")).alias("b")
+        .join(
+            first.alias("a"),
+            (F.col("a.rule") == F.col("b.rule"))
+            & F.col("a.entity").eqNullSafe(F.col("b.entity"))
+            & (F.col("a.cell") == F.col("b.cell"))
+            & (F.struct("b.line.us", "b.line.seq") > F.struct("a.first.us", "a.first.seq"))
+            & (F.col("b.line.us") - F.col("a.first.us") <= of_rule(lambda p: p.maxspan_seconds * US, "a.rule")),
+        )
+        .select("a.rule", "a.entity", "a.first", "b.line")
+    )
     pairs = later.groupBy("rule", "entity").agg(F.min("first").alias("first"), F.min("line").alias("second"))
 
     return (

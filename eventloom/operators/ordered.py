@@ -28,13 +28,14 @@ BLOCK_ROWS = 1 << 16
 
 
 def prefix(df: DataFrame, key: str, value: str, out: str, how: str = "sum", level: int = LEVELS,
-           bits: int = BLOCK_BITS) -> DataFrame:
+           bits: int = BLOCK_BITS, by: tuple[str, ...] = ()) -> DataFrame:
     """Add ``out``: the sum (or last non-null value) of ``value`` over all rows of smaller ``key``.
 
-    ``key`` is a long, unique in ``df``.
+    ``key`` is a long, unique in ``df``; with ``by`` (columns without nulls) the prefix is taken, and
+    the key unique, per combination of these.
     """
     block, subtotal, earlier = f"__block{level}", f"__total{level}", f"__earlier{level}"
-    before = Window.partitionBy(block).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by, block).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     blocked = df.withColumn(block, F.shiftright(F.col(key), bits))
     inside = F.sum(value) if how == "sum" else F.last(value, ignorenulls=True)
     local = blocked.withColumn(out, inside.over(before))
@@ -45,9 +46,9 @@ def prefix(df: DataFrame, key: str, value: str, out: str, how: str = "sum", leve
         total = F.sum(value)
     else:
         total = F.max_by(value, F.when(F.col(value).isNotNull(), F.col(key)))
-    blocks = blocked.groupBy(block).agg(total.alias(subtotal))
-    offsets = prefix(blocks, block, subtotal, earlier, how, level - 1, bits)
-    joined = local.join(offsets.select(block, earlier), block, "left")
+    blocks = blocked.groupBy(*by, block).agg(total.alias(subtotal))
+    offsets = prefix(blocks, block, subtotal, earlier, how, level - 1, bits, by)
+    joined = local.join(offsets.select(*by, block, earlier), [*by, block], "left")
     if how == "sum":
         combined = F.coalesce(F.col(out), F.lit(0)) + F.coalesce(F.col(earlier), F.lit(0))
     else:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.config import DEFAULTS
+from eventloom.operators.ordered import prefix
 
 # Text forms of a report's confidence line and of a query block.
 CONFIDENCE = r"(?i)\*\*Confidence:\*\*\s*(High|Medium|Low)"
@@ -48,19 +49,27 @@ def query_examples_effective(queries: DataFrame, area: str = "", limit: int = 20
 def query_area_stats(queries: DataFrame, area: str = "") -> DataFrame:
     """Per area over all executed queries: how many, mean and exact median of the rows returned.
 
-    The median works on counts per distinct value: the input of the exact percentile is then one
-    row per (area, value) whatever the history's size, weighted by its count.
+    The median is read off running counts over the distinct values of an area, which are computed in
+    blocks of values: no area is gathered in one place. An even number of values has two middle ones.
     """
     chosen = queries.where(F.col("area") == area) if area else queries
     values = (
         chosen.where(F.col("executed").cast("boolean") & F.col("result_rows").isNotNull())
-        .groupBy(F.coalesce("area", F.lit("")).alias("area"), "result_rows")
+        .groupBy(F.coalesce("area", F.lit("")).alias("area"), F.col("result_rows").cast("bigint").alias("rows"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return values.groupBy("area").agg(
+    totals = values.groupBy("area").agg(
         F.sum("n").alias("executed_count"),
-        (F.sum(F.col("result_rows") * F.col("n")) / F.sum("n")).alias("avg_result_rows"),
-        F.percentile("result_rows", 0.5, F.col("n")).alias("median_result_rows"),
+        (F.sum(F.col("rows") * F.col("n")) / F.sum("n")).alias("avg_result_rows"),
+    )
+    holds_middle = (2 * F.col("before") <= F.col("executed_count")) & (
+        2 * (F.col("before") + F.col("n")) >= F.col("executed_count"))
+    return (
+        prefix(values, "rows", "n", "before", by=("area",))
+        .join(totals, "area")
+        .where(holds_middle)
+        .groupBy("area", "executed_count", "avg_result_rows")
+        .agg(((F.min("rows") + F.max("rows")) / F.lit(2)).alias("median_result_rows"))
     )
 
 

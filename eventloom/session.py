@@ -25,6 +25,17 @@ def build_session(app_name: str = "eventloom", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+def sizing_conf(input_bytes: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Partition settings for an input size: shuffles start with about one partition per
+    ``partition_bytes`` and are merged at run time where less data arrives."""
+    partitions = str(max(200, -(-input_bytes // partition_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": partitions,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+    }
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
 
