@@ -70,10 +70,18 @@ def to_bigint(df: DataFrame, name: str) -> Column:
 
 
 def contains_any(text: Column, keywords: Sequence[str]) -> Column:
-    hit = F.lit(False)
-    for keyword in keywords:
-        hit = hit | F.contains(text, F.lit(keyword))
-    return hit
+    """Whether any keyword is a literal substring of ``text``.
+
+    As a predicate on a one-element array the text is built once per row; a plain chain of
+    ``contains`` in a filter builds it (with its ``lower``) again for every keyword.
+    """
+    def hit(t: Column) -> Column:
+        found = F.contains(t, F.lit(keywords[0]))
+        for keyword in keywords[1:]:
+            found = found | F.contains(t, F.lit(keyword))
+        return found
+
+    return F.exists(F.array(text), hit)
 
 
 def matched_keywords(text: Column, keywords: Sequence[str]) -> Column:
@@ -82,8 +90,7 @@ def matched_keywords(text: Column, keywords: Sequence[str]) -> Column:
 
 
 def error_line(raw: Column) -> Column:
-    upper = F.upper(raw.cast("string"))
-    return F.contains(upper, F.lit("ERROR")) | F.contains(upper, F.lit("CRITICAL"))
+    return contains_any(F.upper(raw.cast("string")), ("ERROR", "CRITICAL"))
 
 
 def row_order(df: DataFrame) -> Column:

@@ -77,8 +77,8 @@ def forward_counts(times: DataFrame, window_seconds: int, threshold: int) -> Dat
     seconds = times.groupBy("sec").agg(F.sum("n").alias("n"))
     heads = (
         _second_sums(seconds, window_seconds)
-        .where(F.col("at_most") >= threshold)
-        .select(F.col("sec").alias("head_sec"), "between")
+        .where(F.col("in_second") + F.col("between") + F.col("in_last") >= threshold)
+        .select(F.col("sec").alias("head_sec"), (F.col("in_second") + F.col("between")).alias("from_start"))
     )
     span_us = window_seconds * US
     parts = times.select(
@@ -89,38 +89,54 @@ def forward_counts(times: DataFrame, window_seconds: int, threshold: int) -> Dat
         )).alias("part"),
         "n",
     ).select("part.*", "n").join(heads, "head_sec")
-    in_second = Window.partitionBy("head_sec").orderBy("at")
-    head_n = F.when(F.col("is_head"), F.col("n"))
-    tail_n = F.when(~F.col("is_head"), F.col("n"))
-    counted = parts.select(
-        "at",
-        "is_head",
-        (
-            F.coalesce(F.sum(head_n).over(in_second.rangeBetween(0, Window.unboundedFollowing)), F.lit(0))
-            + F.coalesce(F.sum(tail_n).over(in_second.rangeBetween(Window.unboundedPreceding, 0)), F.lit(0))
-            + F.col("between")
-        ).alias("event_count"),
-    )
+    # from the start of the first second: minus what lies before the head, plus what the window
+    # reaches of its last second. Running sums only: frames open to the future cost a pass per row.
+    so_far = Window.partitionBy("head_sec").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    moved = F.sum(F.when(F.col("is_head"), -F.col("n")).otherwise(F.col("n"))).over(so_far)
+    counted = parts.select("at", "is_head", (F.col("from_start") + F.col("n") + moved).alias("event_count"))
     return counted.where("is_head").where(F.col("event_count") >= threshold).select(
         F.col("at").alias("us"), "event_count"
     )
 
 
 def _second_sums(seconds: DataFrame, w: int) -> DataFrame:
-    """Per second: events of seconds ``sec .. sec+w`` and of those strictly between the two ends."""
-    size = max(w, 1 << 14)
+    """Events per second (``in_second``), in the second ``w`` later (``in_last``), and ``between`` them.
+
+    Blocks of seconds with the first ``w`` seconds of the next block. Every second puts markers where
+    its window ends, and running counts at the markers give the sums.
+    """
+    size = max(w + 1, 1 << 14)
     offset = F.pmod(F.col("sec"), F.lit(size))
     block = floor_div(F.col("sec"), size)
-    # seconds at the start of a block also serve the windows that begin in the block before it
-    homes = F.when(offset <= w, F.array(block, block - 1)).otherwise(F.array(block))
-    spread = seconds.withColumn("home", block).withColumn("block", F.explode(homes))
-    order = Window.partitionBy("block").orderBy("sec")
-    between = F.sum("n").over(order.rangeBetween(1, w - 1)) if w > 1 else F.lit(0)
+
+    def point(block, at, kind: str, n):
+        return F.struct(block.alias("block"), at.alias("at"), F.lit(kind).alias("kind"), n.alias("n"))
+
+    none = F.lit(0).cast("bigint")
+    own = [
+        point(block, F.col("sec"), "own", F.col("n")),
+        point(block, F.col("sec") + (w - 1), "before_last", none),
+        point(block, F.col("sec") + w, "last", none),
+    ]
+    halo = [point(block - 1, F.col("sec"), "halo", F.col("n"))]
+    points = seconds.select(
+        "sec", F.explode(F.when(offset <= w, F.array(*own, *halo)).otherwise(F.array(*own))).alias("p")
+    ).select("sec", "p.*")
+    so_far = Window.partitionBy("block").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    running = points.withColumn("running", F.sum("n").over(so_far))
+
+    def at(kind: str):
+        return F.max(F.when(F.col("kind") == kind, F.col("running")))
+
     return (
-        spread.withColumn("at_most", F.sum("n").over(order.rangeBetween(0, w)))
-        .withColumn("between", F.coalesce(between, F.lit(0)).cast("bigint"))
-        .where(F.col("block") == F.col("home"))
-        .select("sec", "at_most", "between")
+        running.where(F.col("kind") != "halo")
+        .groupBy("block", "sec")
+        .agg(
+            F.max("n").alias("in_second"),
+            (at("before_last") - at("own")).alias("between"),
+            (at("last") - at("before_last")).alias("in_last"),
+        )
+        .drop("block")
     )
 
 
