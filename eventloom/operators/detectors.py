@@ -46,6 +46,7 @@ from eventloom.operators.ordered import (
     forward_counts,
     gap_sessions,
     group_numbers,
+    near_bursts,
     number_rows,
     with_halo,
 )
@@ -99,6 +100,7 @@ def detect_spikes(events: DataFrame, window_seconds: int = 60, threshold: int =
         micros(F.col("time")).alias("us"),
         (F.col("host").cast("string") if "host" in events.columns else F.lit("unknown")).alias("host"),
     )
+    timed = near_bursts(timed, window_seconds, threshold)
     times = timed.groupBy("us").agg(F.count(F.lit(1)).alias("n"))
     anchors = (
         forward_counts(times, window_seconds, threshold)
@@ -261,29 +263,32 @@ def detect_event_pair_patterns(events: DataFrame, patterns: Sequence[PairPattern
     if not wanted or not {"time", "_raw"} <= set(events.columns):
         return _empty(events, PAIR_SCHEMA)
 
-    lines = _timed(events).withColumn("__text", F.lower(F.coalesce(F.col("_raw").cast("string"), F.lit(""))))
-
-    def hits(which: str) -> DataFrame:
-        """Lines with the first (or second) pattern of some rule, once per rule."""
-        matching = F.array_compact(F.array(*[
-            F.when(
-                F.contains(F.col("__text"), F.lit(getattr(p, which).lower())),
-                F.struct(F.lit(i).alias("rule"), F.col(f"`{p.entity_field}`").cast("string").alias("entity")),
-            )
-            for i, p in wanted
-        ]))
-        return (
-            lines.where(contains_any(F.col("__text"), [getattr(p, which).lower() for _, p in wanted]))
-            .select(
-                F.explode(matching).alias("hit"),
-                F.struct(
-                    micros(F.col("time")).alias("us"),
-                    row_order(events).alias("seq"),
-                    F.substring(F.coalesce(F.col("_raw").cast("string"), F.lit("")), 1, 120).alias("excerpt"),
-                ).alias("line"),
-            )
-            .select("hit.rule", "hit.entity", "line")
+    # Lines with the first or second pattern of some rule, once per rule and pattern. Both sides below
+    # are made of these few rows, so the raw text is read and searched only once.
+    text = F.lower(F.coalesce(F.col("_raw").cast("string"), F.lit("")))
+    matching = F.array_compact(F.array(*[
+        F.when(
+            F.contains(text, F.lit(pattern.lower())),
+            F.struct(F.lit(i).alias("rule"), F.lit(opens).alias("opens"),
+                     F.col(f"`{p.entity_field}`").cast("string").alias("entity")),
+        )
+        for i, p in wanted
+        for pattern, opens in ((p.first_pattern, True), (p.second_pattern, False))
+    ]))
+    hits = materialize(
+        _timed(events)
+        .where(contains_any(text, [w.lower() for _, p in wanted for w in (p.first_pattern, p.second_pattern)]))
+        .select(
+            F.explode(matching).alias("hit"),
+            F.struct(
+                micros(F.col("time")).alias("us"),
+                row_order(events).alias("seq"),
+                F.substring(F.coalesce(F.col("_raw").cast("string"), F.lit("")), 1, 120).alias("excerpt"),
+            ).alias("line"),
         )
+        .select("hit.*", "line"),
+        "pair-hits",
+    )
 
     def of_rule(value, rule: str = "rule"):
         """Per-rule constant, looked up by rule number."""
@@ -297,11 +302,11 @@ def detect_event_pair_patterns(events: DataFrame, patterns: Sequence[PairPattern
         return floor_div(F.col(us), of_rule(lambda p: p.maxspan_seconds * US + 1))
 
     first = (
-        hits("first_pattern").groupBy("rule", "entity").agg(F.min("line").alias("first"))
+        hits.where("opens").groupBy("rule", "entity").agg(F.min("line").alias("first"))
         .withColumn("cell", F.explode(F.array(cell("first.us"), cell("first.us") + 1)))
     )
     later = (
-        hits("second_pattern").withColumn("cell", cell("line.us")).alias("b")
+        hits.where("not opens").withColumn("cell", cell("line.us")).alias("b")
         .join(
             first.alias("a"),
             (F.col("a.rule") == F.col("b.rule"))

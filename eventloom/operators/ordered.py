@@ -60,6 +60,39 @@ def _default_zero(df: DataFrame, out: str, how: str) -> DataFrame:
     return df.withColumn(out, F.coalesce(F.col(out), F.lit(0))) if how == "sum" else df
 
 
+# A candidate list is broadcast only up to this many cells (8 bytes each); beyond it nothing is filtered.
+MAX_BROADCAST_CELLS = 500_000
+
+
+def near_bursts(timed: DataFrame, window_seconds: int, threshold: int) -> DataFrame:
+    """Only those rows of ``timed`` (with ``us``) that a window of ``threshold`` events can touch.
+
+    On cells as wide as the window a window lies in two neighbouring cells, so their counts bound it.
+    The counts come from one map-side combined pass over the time column. Where bursts are rare this
+    saves the shuffle of nearly all timestamps; where they are not, all rows are passed on.
+    """
+    if window_seconds == 0:
+        return timed
+    width = window_seconds * US
+    cell = floor_div(F.col("us"), width)
+    counts = materialize(timed.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")), "cells")
+    spread = counts.select("cell", "n", F.lit(0).cast("bigint").alias("next_n")).unionByName(
+        counts.select((F.col("cell") - 1).alias("cell"), F.lit(0).cast("bigint").alias("n"), F.col("n").alias("next_n"))
+    )
+    needed = (
+        spread.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("next_n").alias("next_n"))
+        .where((F.col("n") > 0) & (F.col("n") + F.col("next_n") >= threshold))
+        .select(F.explode(F.array("cell", F.col("cell") + 1)).alias("cell"))
+        .distinct()
+    )
+    kept = counts.join(needed, "cell", "left_semi").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if kept[0] > MAX_BROADCAST_CELLS or 2 * kept[1] > total:
+        return timed
+    chosen = timed.withColumn("__cell", cell).join(F.broadcast(needed), F.col("__cell") == needed["cell"], "left_semi")
+    return chosen.drop("__cell")
+
+
 def forward_counts(times: DataFrame, window_seconds: int, threshold: int) -> DataFrame:
     """Timestamps followed by at least ``threshold`` events within the window, with that count.
 
