@@ -335,6 +335,13 @@ def build_findings(spark, sf):
     return found.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def shared_findings(spark, sf):
+    """The long form from one pass through the text."""
+    found = P.findings_long(P.shared_findings(sample_log(spark, sf), PARAMS))
+    return found.groupBy("type", "severity", "host").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def findings_counts(spark, sf):
     return P.findings_counts(bundle(spark, sf))

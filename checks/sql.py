@@ -314,6 +314,7 @@ ORACLE |= {
       union all select 'severity', count(*) from {_found('severity_summary')} union all select 'event_count', 1""",
     "findings_counts": _counts(BUNDLE),
     "findings_long": _long(BUNDLE),
+    "shared_findings": _long(BUNDLE),
     "findings_json": f"""select 'host_ranking' as type, host as name, error_count as n from {_found('host_ranking')}
       union all select 'severity', level, "count" from {_found('severity_summary')}
       union all select 'patterns', coalesce(error_code, prefix), "count" from {_found('patterns')}""",

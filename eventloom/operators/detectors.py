@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -257,16 +257,31 @@ def detect_event_pairs(events: DataFrame, entity_field: str, first_pattern: str,
 
 def detect_event_pair_patterns(events: DataFrame, patterns: Sequence[PairPattern] | None = None) -> DataFrame:
     """All pair rules in one pass: two aggregations around one join on (rule, entity)."""
-    wanted = [
-        (i, p) for i, p in enumerate(patterns or PAIR_PATTERNS) if p.entity_field in events.columns
-    ]
-    if not wanted or not {"time", "_raw"} <= set(events.columns):
+    wanted = usable_pairs(events, patterns)
+    if not wanted:
         return _empty(events, PAIR_SCHEMA)
+    # Both sides below are made of these few rows, so the raw text is read and searched only once.
+    text = F.lower(F.col("_raw").cast("string"))
+    hits = (
+        _timed(events)
+        .where(contains_any(text, [w.lower() for _, p in wanted for w in (p.first_pattern, p.second_pattern)]))
+        .select(F.explode(pair_hits(events, wanted)).alias("hit"), pair_line(events).alias("line"))
+        .select("hit.*", "line")
+    )
+    return pairs_from_hits(materialize(hits, "pair-hits"), wanted)
+
 
-    # Lines with the first or second pattern of some rule, once per rule and pattern. Both sides below
-    # are made of these few rows, so the raw text is read and searched only once.
+def usable_pairs(events: DataFrame, patterns: Sequence[PairPattern] | None) -> list[tuple[int, PairPattern]]:
+    """Numbered rules whose entity field the frame has."""
+    if not {"time", "_raw"} <= set(events.columns):
+        return []
+    return [(i, p) for i, p in enumerate(patterns or PAIR_PATTERNS) if p.entity_field in events.columns]
+
+
+def pair_hits(events: DataFrame, wanted: Sequence[tuple[int, PairPattern]]) -> Column:
+    """What a line means to the rules: ``rule, opens, entity`` per first or second pattern it holds."""
     text = F.lower(F.coalesce(F.col("_raw").cast("string"), F.lit("")))
-    matching = F.array_compact(F.array(*[
+    return F.array_compact(F.array(*[
         F.when(
             F.contains(text, F.lit(pattern.lower())),
             F.struct(F.lit(i).alias("rule"), F.lit(opens).alias("opens"),
@@ -275,21 +290,19 @@ def detect_event_pair_patterns(events: DataFrame, patterns: Sequence[PairPattern
         for i, p in wanted
         for pattern, opens in ((p.first_pattern, True), (p.second_pattern, False))
     ]))
-    hits = materialize(
-        _timed(events)
-        .where(contains_any(text, [w.lower() for _, p in wanted for w in (p.first_pattern, p.second_pattern)]))
-        .select(
-            F.explode(matching).alias("hit"),
-            F.struct(
-                micros(F.col("time")).alias("us"),
-                row_order(events).alias("seq"),
-                F.substring(F.coalesce(F.col("_raw").cast("string"), F.lit("")), 1, 120).alias("excerpt"),
-            ).alias("line"),
-        )
-        .select("hit.*", "line"),
-        "pair-hits",
+
+
+def pair_line(events: DataFrame) -> Column:
+    return F.struct(
+        micros(F.col("time")).alias("us"),
+        row_order(events).alias("seq"),
+        F.substring(F.coalesce(F.col("_raw").cast("string"), F.lit("")), 1, 120).alias("excerpt"),
     )
 
+
+def pairs_from_hits(hits: DataFrame, wanted: Sequence[tuple[int, PairPattern]]) -> DataFrame:
+    """Pairs from a table of hits (``rule, opens, entity, line``)."""
+
     def of_rule(value, rule: str = "rule"):
         """Per-rule constant, looked up by rule number."""
         table = F.create_map(*[x for i, p in wanted for x in (F.lit(i), F.lit(value(p)))])
@@ -339,12 +352,16 @@ def detect_event_pair_patterns(events: DataFrame, patterns: Sequence[PairPattern
 # Keyword scans
 # ---------------------------------------------------------------------------
 
+def _haystack(events: DataFrame, also: Sequence[str]) -> Column:
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("_raw", *also) if c in events.columns]
+    return F.lower(F.concat_ws(" ", *parts))
+
+
 def keyword_scan(events: DataFrame, kind: str, keywords: Sequence[str], excerpt: int,
                  also: Sequence[str] = ()) -> DataFrame:
     """Lines whose text (with the optional further fields) holds any keyword; map-only."""
     words = [k.lower() for k in keywords]
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("_raw", *also) if c in events.columns]
-    text = F.lower(F.concat_ws(" ", *parts))
+    text = _haystack(events, also)
     return events.where(contains_any(text, words)).select(
         F.lit(kind).alias("type"),
         or_unknown(optional(events, "host")).alias("host"),
@@ -355,33 +372,46 @@ def keyword_scan(events: DataFrame, kind: str, keywords: Sequence[str], excerpt:
     )
 
 
+CERT_TEXT = ("tls_error", "ocsp_status")
+
+
+def cert_keywords_in(events: DataFrame, keywords: Sequence[str] | None = None) -> Column:
+    return matched_keywords(_haystack(events, CERT_TEXT), [k.lower() for k in keywords or CERT_KEYWORDS])
+
+
 def detect_cert_anomalies(events: DataFrame, keywords: Sequence[str] | None = None) -> DataFrame:
     if "_raw" not in events.columns:
         return _empty(events, CERT_SCHEMA)
-    return keyword_scan(events, "cert_anomaly", keywords or CERT_KEYWORDS, 120, ("tls_error", "ocsp_status"))
+    return keyword_scan(events, "cert_anomaly", keywords or CERT_KEYWORDS, 120, CERT_TEXT)
 
 
 # ---------------------------------------------------------------------------
 # Severity and hosts
 # ---------------------------------------------------------------------------
 
-def severity_summary(events: DataFrame) -> DataFrame:
+def level_tests(raw: Column) -> list[Column]:
+    """One test per severity level: whether its word occurs in the text."""
+    text = F.upper(raw.cast("string"))
+    return [F.contains(text, F.lit(name)) for name in SEVERITY_LEVELS]
+
+
+def severity_summary(events: DataFrame, tests: Sequence[Column] | None = None) -> DataFrame:
     """Events per level. Without a level column the level words are counted in the raw text.
 
     The counted words are not exclusive: a WARNING line is also a WARN line, and UNKNOWN is the
-    number of events minus all counts, so it can be negative.
+    number of events minus all counts, so it can be negative. ``tests`` replace the search of the
+    text where it was done before.
     """
     level = first_present(events, LEVEL_FIELDS)
     if level is not None:
         return events.groupBy(F.upper(F.col(level).cast("string")).alias("level")).agg(
             F.count(F.lit(1)).alias("count")
         )
-    if "_raw" not in events.columns:
+    if tests is None and "_raw" not in events.columns:
         return _empty(events, SEVERITY_SCHEMA)
-    text = F.upper(F.col("_raw").cast("string"))
     totals = events.agg(
         F.count(F.lit(1)).alias("total"),
-        *[F.count_if(F.contains(text, F.lit(name))).alias(name) for name in SEVERITY_LEVELS],
+        *[F.count_if(test).alias(name) for name, test in zip(SEVERITY_LEVELS, tests or level_tests(F.col("_raw")))],
     )
     unknown = F.col("total") - sum((F.col(name) for name in SEVERITY_LEVELS[1:]), F.col(SEVERITY_LEVELS[0]))
     pairs = [F.struct(F.lit(name).alias("level"), F.col(name).alias("count")) for name in SEVERITY_LEVELS]
@@ -389,12 +419,14 @@ def severity_summary(events: DataFrame) -> DataFrame:
     return totals.select(F.explode(F.array(*pairs)).alias("entry")).select("entry.*").where(F.col("count") != 0)
 
 
-def host_error_ranking(events: DataFrame) -> DataFrame:
-    """Hosts by number of ERROR or CRITICAL lines."""
-    if "_raw" not in events.columns or first_present(events, HOST_FIELDS) is None:
+def host_error_ranking(events: DataFrame, is_error: Column | None = None) -> DataFrame:
+    """Hosts by number of ERROR or CRITICAL lines (or of those that ``is_error`` names)."""
+    if is_error is None and "_raw" in events.columns:
+        is_error = error_line(F.col("_raw"))
+    if is_error is None or first_present(events, HOST_FIELDS) is None:
         return _empty(events, RANKING_SCHEMA)
     return (
-        events.where(error_line(F.col("_raw")))
+        events.where(is_error)
         .groupBy(host_column(events).alias("host"))
         .agg(F.count(F.lit(1)).alias("error_count"))
         .orderBy(F.desc("error_count"), "host")

@@ -1,7 +1,8 @@
 """Assembly of findings: the bundle of detector results and everything derived from it.
 
-A bundle is a dict of lazy frames. The prepared events are not cached: every detector reads a few
-columns, so a columnar scan per detector costs less than holding the whole table on executors.
+A bundle is a dict of frames. The prepared events are not cached: every detector reads a few
+columns, so a columnar scan per detector costs less than holding the whole table on executors. The
+raw text, by far the widest column, can be read once for all detectors (``share``).
 """
 
 from __future__ import annotations
@@ -9,10 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.config import DEFAULTS, Params
+from eventloom.config import (
+    DEFAULTS,
+    DURATION_FIELDS,
+    ERROR_CODE_FIELDS,
+    HOST_FIELDS,
+    LEVEL_FIELDS,
+    NUMERIC_FIELDS,
+    QUERY_FIELDS,
+    SEVERITY_LEVELS,
+    Params,
+)
+from eventloom.functions import first_present, micros, optional, or_unknown, row_order, to_double
 from eventloom.functions.text import iso_text, two_decimals
 from eventloom.operators import detectors as D
 from eventloom.operators.normalize import append_events, prepare_events
+from eventloom.session import materialize
 
 Findings = dict[str, DataFrame]
 
@@ -24,8 +37,10 @@ def event_count(events: DataFrame) -> DataFrame:
     return events.agg(F.count(F.lit(1)).alias("event_count"))
 
 
-def build_findings(events: DataFrame, params: Params = DEFAULTS) -> Findings:
+def build_findings(events: DataFrame, params: Params = DEFAULTS, share: bool = False) -> Findings:
     """The detectors of one investigation step over prepared events."""
+    if share and "_raw" in events.columns:
+        return shared_findings(events, params, with_pairs=False)
     return {
         "spikes": D.detect_spikes(events, params.spike_window_seconds, params.spike_threshold),
         "patterns": D.detect_patterns(events),
@@ -40,14 +55,81 @@ def build_findings(events: DataFrame, params: Params = DEFAULTS) -> Findings:
     }
 
 
-def analyze_events(raw_events: DataFrame, params: Params = DEFAULTS) -> tuple[Findings, DataFrame]:
+def analyze_events(raw_events: DataFrame, params: Params = DEFAULTS, share: bool = False
+                   ) -> tuple[Findings, DataFrame]:
     """Normalise raw events, run all detectors including event pairs, and lay out the report."""
     events = prepare_events(raw_events)
-    findings = build_findings(events, params)
-    findings["event_pairs"] = D.detect_event_pair_patterns(events, params.pair_patterns)
+    if share and "_raw" in events.columns:
+        findings = shared_findings(events, params)
+    else:
+        findings = build_findings(events, params)
+        findings["event_pairs"] = D.detect_event_pair_patterns(events, params.pair_patterns)
     return findings, findings_report(findings)
 
 
+def text_facts(events: DataFrame, params: Params) -> DataFrame:
+    """Narrow rows in place of the raw text: what each detector wants to know of it.
+
+    Long pieces of text are kept only for the lines that will show them.
+    """
+    keep = ("time", "sourcetype", *HOST_FIELDS, *ERROR_CODE_FIELDS, *LEVEL_FIELDS, *DURATION_FIELDS, *NUMERIC_FIELDS)
+    columns = [F.col(f"`{c}`") for c in dict.fromkeys(keep) if c in events.columns]
+    raw = F.col("_raw").cast("string")
+    cert = D.cert_keywords_in(events, params.cert_keywords)
+    wanted = D.usable_pairs(events, params.pair_patterns)
+    duration = first_present(events, DURATION_FIELDS)
+    slow = to_double(events, duration) > params.slow_threshold_ms if duration else F.lit(False)
+    shown = optional(events, first_present(events, QUERY_FIELDS)).cast("string")
+    pair_type = "array<struct<rule:int,opens:boolean,entity:string>>"
+    return events.select(
+        *columns,
+        row_order(events).alias("seq"),
+        F.substring(raw, 1, 60).alias("line_start"),
+        F.array(*D.level_tests(raw)).alias("level_words"),
+        cert.alias("cert_words"),
+        F.when(F.size(cert) > 0, F.substring(F.coalesce(raw, F.lit("")), 1, 120)).alias("cert_excerpt"),
+        (D.pair_hits(events, wanted) if wanted else F.lit(None).cast(pair_type)).alias("pair_hits"),
+        F.when(F.size(D.pair_hits(events, wanted)) > 0, F.substring(raw, 1, 120)).alias("pair_excerpt")
+        if wanted else F.lit(None).cast("string").alias("pair_excerpt"),
+        F.when(slow, F.substring(shown, 1, 200)).alias("query"),
+    )
+
+
+def shared_findings(events: DataFrame, params: Params = DEFAULTS, with_pairs: bool = True) -> Findings:
+    """All detectors over one pass through the raw text.
+
+    The pass writes the narrow facts as a table; the detectors read their columns of it.
+    """
+    facts = materialize(text_facts(events, params), "facts")
+    words = [F.get("level_words", i) for i in range(len(SEVERITY_LEVELS))]
+    is_error = words[SEVERITY_LEVELS.index("ERROR")] | words[SEVERITY_LEVELS.index("CRITICAL")]
+    findings = {
+        "spikes": D.detect_spikes(facts, params.spike_window_seconds, params.spike_threshold),
+        "patterns": D.detect_patterns(facts.withColumnRenamed("line_start", "_raw")),
+        "cert_anomalies": facts.where(F.size("cert_words") > 0).select(
+            F.lit("cert_anomaly").alias("type"), or_unknown(optional(facts, "host")).alias("host"),
+            optional(facts, "time", "timestamp").alias("time"), F.col("cert_words").alias("matched_keywords"),
+            or_unknown(optional(facts, "sourcetype")).alias("sourcetype"), F.col("cert_excerpt").alias("raw_excerpt")),
+        "correlations": D.correlate_events(facts, params.correlate_window_seconds),
+        "severity": D.severity_summary(facts, words),
+        "host_ranking": D.host_error_ranking(facts, is_error),
+        "slow_queries": D.detect_slow_queries(facts, params.slow_threshold_ms),
+        "numeric_anomalies": D.detect_numeric_anomalies(
+            facts, window=params.anomaly_window, z_threshold=params.anomaly_z_threshold),
+        "event_count": event_count(facts),
+    }
+    wanted = D.usable_pairs(events, params.pair_patterns) if with_pairs else []
+    if wanted:
+        hits = facts.where(F.col("time").isNotNull() & (F.size("pair_hits") > 0)).select(
+            F.explode("pair_hits").alias("hit"),
+            F.struct(micros(F.col("time")).alias("us"), "seq", F.col("pair_excerpt").alias("excerpt")).alias("line"),
+        ).select("hit.*", "line")
+        findings["event_pairs"] = D.pairs_from_hits(hits, wanted)
+    elif with_pairs:
+        findings["event_pairs"] = D.detect_event_pair_patterns(facts, params.pair_patterns)
+    return findings
+
+
 def findings_long(findings: Findings) -> DataFrame:
     """One row per finding: type, severity (or the finding's own type), host, JSON body."""
     parts = [
@@ -224,10 +306,10 @@ def findings_report(findings: Findings) -> DataFrame:
     return out.orderBy("section", "part", "rank", "tie", "line")
 
 
-def grow_investigation(events: DataFrame, more: DataFrame | None, params: Params = DEFAULTS
+def grow_investigation(events: DataFrame, more: DataFrame | None, params: Params = DEFAULTS, share: bool = False
                        ) -> tuple[str, DataFrame, Findings | None]:
     """Add follow-up events and look again; ``done`` when there are none."""
     if more is None or more.isEmpty():
         return "done", events, None
     grown = append_events(events, prepare_events(more))
-    return "continue", grown, build_findings(grown, params)
+    return "continue", grown, build_findings(grown, params, share)

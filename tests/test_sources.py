@@ -88,6 +88,26 @@ def test_whole_analysis_of_an_export(spark, tmp_path):
     assert spark.read.text(path).count() == len(lines)
 
 
+@pytest.mark.parametrize("drop", [(), ("time", "_time"), ("host",), ("sourcetype", "error_code"), ("_raw",)])
+def test_one_pass_gives_the_same_findings(spark, drop):
+    rows = [(i, str(1000 + i // 2), "ab"[i % 2], "st", f"E{i % 3}", (i % 7) * 500.0 if i != 25 else 90000.0,
+             ("OCSP error", "TLS handshake failed", "WARNING crl", None)[i % 4], "timeout" if i % 5 == 0 else None)
+            for i in range(40)]
+    events = prepare_events(spark.createDataFrame(
+        rows, "seq bigint, _time string, host string, sourcetype string, error_code string, duration_ms double, "
+              "_raw string, tls_error string")).drop(*drop)
+    apart = P.build_findings(events)
+    apart["event_pairs"] = D.detect_event_pair_patterns(events)
+    if "_raw" in drop:
+        once = P.build_findings(events, share=True) | {"event_pairs": apart["event_pairs"]}
+    else:
+        once = P.shared_findings(events)
+    assert set(once) == set(apart)
+    for kind, found in apart.items():
+        assert once[kind].columns == found.columns, kind
+        assert sorted(map(str, once[kind].collect())) == sorted(map(str, found.collect())), kind
+
+
 def test_scan_prunes_and_is_half_open(spark, tmp_path):
     base = datetime(2026, 3, 1, tzinfo=timezone.utc)
     rows = [(base + timedelta(hours=h), "s" if h % 2 else "t", f"h{h % 3}") for h in range(96)]
