@@ -15,7 +15,7 @@ from eventloom.config import DEFAULTS, ERROR_CODE_FIELDS, Params
 from eventloom.functions import first_present, relative_time
 from eventloom.functions.text import iso_text
 from eventloom.operators import detectors as D
-from eventloom.session import materialize
+from eventloom.session import materialize, remove_path, scratch_scope
 from eventloom.sources.tables import alert_rows
 
 logger = logging.getLogger(__name__)
@@ -184,8 +184,15 @@ def watch_cycle(batch: DataFrame, batch_id: int, root: str, run_id: str, params:
     writes is named by its batch id and overwritten, so a repeated batch changes nothing.
 
     A detector that fails is logged and skipped; a failing write stops the query, which then
-    resumes from its checkpoint.
+    resumes from its checkpoint. Intermediate tables and those of the cycle before last are removed.
     """
+    with scratch_scope(batch.sparkSession):
+        _run_cycle(batch, batch_id, root, run_id, params)
+    if batch_id > 1:
+        remove_path(batch.sparkSession, f"{root}/watch/{batch_id - 2}")
+
+
+def _run_cycle(batch: DataFrame, batch_id: int, root: str, run_id: str, params: Params) -> None:
     spark = batch.sparkSession
     here, before = f"{root}/watch/{batch_id}", f"{root}/watch/{batch_id - 1}"
     events = batch

@@ -1,5 +1,6 @@
 import uuid
 from datetime import datetime, timedelta, timezone
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -103,7 +104,8 @@ def test_watch_sees_spikes_across_cycles_and_raises_hits_once(spark, tmp_path):
         [event(4, 55, status=503), event(5, 58)],  # with the 30 s kept: 40, 45, 55, 58
         [event(6, 70, ms=1500.0)],
     ]
-    alerts, _ = watch(spark, tmp_path, files)
+    alerts, root = watch(spark, tmp_path, files)
+    assert sorted(p.name for p in Path(f"{root}/watch").iterdir() if not p.name.startswith(".")) == ["1", "2"]
     got = [r["summary"] for r in alerts.collect()]
     # the third cycle still holds the burst, which has grown by one: a new finding
     assert sorted(s for s in got if s.startswith("Spike")) == [
