@@ -208,11 +208,13 @@ def number_rows(rows: DataFrame, *order: str) -> tuple[DataFrame, int]:
     """Rows with ``idx``, their exact 0-based position in the global order, and the row count.
 
     The sort is Spark's sampled range sort, so partitions are even for any distribution of the
-    order columns. Positions are handed out on the written result: the count per partition and
+    order columns; a last key that differs between equal rows lets it also split copies. Positions are handed out on the written result: the count per partition and
     the rows then come from the very same partitioning, whatever is recomputed later.
     """
     placed = materialize(
-        rows.orderBy(*order)
+        rows.withColumn("__spread", F.monotonically_increasing_id())
+        .orderBy(*order, "__spread")
+        .drop("__spread")
         .withColumn("__place", F.monotonically_increasing_id())
         .withColumn("__part", F.shiftright("__place", 33))
         .withColumn("__row", F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)))

@@ -116,8 +116,10 @@ def run_detail(reports: DataFrame, queries: DataFrame) -> DataFrame:
             F.struct("created_at", "id"),
         ).alias("report")
     ).select("run_id", "report.*")
-    return latest.join(queries.select("run_id", "iteration", "area", "spl", "executed", "result_rows"),
-                       "run_id", "left")
+    asked = queries.select("run_id", "iteration", "area", "spl", "executed", "result_rows")
+    # an inner join can be split where one run has most queries, an outer one cannot
+    silent = latest.join(asked.select("run_id").distinct(), "run_id", "left_anti")
+    return latest.join(asked, "run_id").unionByName(silent, allowMissingColumns=True)
 
 
 # --- alerts -----------------------------------------------------------------
@@ -145,16 +147,15 @@ def latest_run_status(log: DataFrame, run_id: str | None = None) -> DataFrame:
     """
     chosen = log.where(F.col("run_id") == run_id) if run_id else log
     moment = F.struct("updated_at", "id")
-    cleared = chosen.where("cleared").groupBy("run_id").agg(F.max(moment).alias("cleared_at"))
-    live = chosen.where(~F.col("cleared")).join(cleared, "run_id", "left").where(
-        F.col("cleared_at").isNull() | (moment > F.col("cleared_at"))
-    )
-    state = live.groupBy("run_id").agg(
-        *[F.max_by(name, F.when(F.col(name).isNotNull(), moment)).alias(name)
+    cleared = F.col("cleared")
+    # a clearing row counts as the newest value of every field, namely none
+    state = chosen.groupBy("run_id").agg(
+        *[F.max_by(F.when(~cleared, F.col(name)), F.when(cleared | F.col(name).isNotNull(), moment)).alias(name)
           for name in RUN_FIELDS if name in log.columns],
-        F.max(moment).alias("moment"),
-    )
-    out = state.withColumn("updated_at", F.col("moment.updated_at"))
+        F.max(F.when(~cleared, moment)).alias("moment"),
+        F.max(F.when(cleared, moment)).alias("cleared_at"),
+    ).where(F.col("moment").isNotNull() & (F.col("cleared_at").isNull() | (F.col("moment") > F.col("cleared_at"))))
+    out = state.withColumn("updated_at", F.col("moment.updated_at")).drop("cleared_at")
     if run_id is None:
         out = out.orderBy(F.desc("moment")).limit(1)
     return out.drop("moment")

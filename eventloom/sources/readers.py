@@ -91,13 +91,15 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def write_event_table(events: DataFrame, path: str, files: int | None = None, mode: str = "append") -> None:
     """Event table partitioned by ``date``.
 
-    Ranges of (date, time) rather than a hash of the date: a hot day is split over many tasks, and
-    narrow time ranges per file let a time filter skip files and row groups.
+    Ranges of (date, sourcetype, time) rather than a hash of the date: a hot day is split over many
+    tasks, and narrow time ranges per file let a time filter skip files and row groups. The last
+    range key differs between equal rows, so that even one instant can be split.
     """
-    dated = events.withColumn("date", F.to_date("time"))
     order = ["date", "sourcetype", "time"] if "sourcetype" in events.columns else ["date", "time"]
-    spread = dated.repartitionByRange(files, *order) if files else dated.repartitionByRange(*order)
-    spread.sortWithinPartitions(*order).write.mode(mode).partitionBy("date").parquet(path)
+    dated = events.withColumn("date", F.to_date("time")).withColumn("__spread", F.monotonically_increasing_id())
+    keys = [*order, "__spread"]
+    spread = dated.repartitionByRange(files, *keys) if files else dated.repartitionByRange(*keys)
+    spread.sortWithinPartitions(*order).drop("__spread").write.mode(mode).partitionBy("date").parquet(path)
 
 
 def scan_events(spark: SparkSession, path: str, now: datetime, earliest: str = "-24h", latest: str = "now",
