@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 # Rows of one Arrow batch are worked on in slices of about this many bytes of text.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import mixing
+from eventloom.llm import mixing, pii
 from eventloom.llm.frames import read
 from eventloom.llm.oracle import ORACLE
 
@@ -20,6 +20,11 @@ def query(fn):
     return fn
 
 
+@query
+def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(read(spark, sf_dir, "documents")))
+
+
 @query
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
