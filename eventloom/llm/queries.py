@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import hilbert_packing, mixing, pii
+from eventloom.llm import hilbert_packing, mixing, pii, toxicity_pu
 from eventloom.llm.frames import read
 from eventloom.llm.oracle import ORACLE
 
@@ -25,6 +25,11 @@ def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(read(spark, sf_dir, "documents")))
 
 
+@query
+def op3_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_pu.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query
 def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_packing.pack(read(spark, sf_dir, "documents"))
