@@ -43,3 +43,25 @@ select s.doc_id, s.size, t.source_size, t.target,
        cast(t.epochs * s.size + greatest(0, least(s.size, t.rest - s.before)) as bigint) as taken
 from summed s join split t on s.source is not distinct from t.source
 """
+
+ORACLE["op8_line_spread"] = r"""
+with raw as (
+  select doc_id, source, unnest(string_split(text, chr(10))) as line,
+         generate_subscripts(string_split(text, chr(10)), 1) as pos
+  from documents where text is not null
+), trimmed as (
+  select *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) as bare from raw
+), wide as (
+  select bare, min(row(doc_id, pos)) as head from trimmed where bare <> ''
+  group by bare having count(distinct coalesce(source, chr(0) || 'none')) >= 5
+), marked as (
+  select t.*, w.bare is not null and row(t.doc_id, t.pos) <> w.head as gone
+  from trimmed t left join wide w on t.bare = w.bare
+), cleaned as (
+  select doc_id, coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '') as text,
+         count(*) filter (where bare <> '') as n_lines, count(*) filter (where gone) as n_removed
+  from marked group by doc_id
+)
+select d.doc_id, c.text, coalesce(c.n_lines, 0) as n_lines, coalesce(c.n_removed, 0) as n_removed
+from documents d left join cleaned c on d.doc_id = c.doc_id
+"""

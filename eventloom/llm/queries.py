@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import hilbert_packing, mixing, pii, toxicity_pu
+from eventloom.llm import hilbert_packing, line_spread, mixing, pii, toxicity_pu
 from eventloom.llm.frames import read
 from eventloom.llm.oracle import ORACLE
 
@@ -35,6 +35,12 @@ def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_packing.pack(read(spark, sf_dir, "documents"))
 
 
+@query
+def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_spread.without_boilerplate(read(spark, sf_dir, "documents"), counts=True)
+    return cleaned.select("doc_id", "text", "n_lines", "n_removed")
+
+
 @query
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
