@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import hilbert_packing, line_spread, mixing, pii, toxicity_pu
+from eventloom.llm import hilbert_packing, line_spread, mixing, pii, probminhash, toxicity_pu
 from eventloom.llm.frames import read
 from eventloom.llm.oracle import ORACLE
 
@@ -41,6 +41,11 @@ def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "text", "n_lines", "n_removed")
 
 
+@query
+def op9_probminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 @query
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
