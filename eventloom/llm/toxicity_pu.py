@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventloom.llm.frames import held_out, pick, slices
 from eventloom.llm.hashing import chosen
@@ -212,5 +213,5 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     # the score rides along with the whole row: nothing is joined back
     text = docs.columns.index("text")
     wide = docs.toDF(*("text" if i == text else f"__c{i}" for i in range(len(docs.columns))))
-    scored = wide.mapInArrow(_score(model, True), wide.schema.add("score", "double"))
+    scored = wide.mapInArrow(_score(model, True), T.StructType([*wide.schema.fields, T.StructField("score", T.DoubleType())]))
     return scored.where(F.col("score") < threshold).drop("score").toDF(*docs.columns)
