@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import hilbert_packing, line_spread, mixing, pii, probminhash, toxicity_pu
+from eventloom.llm import hilbert_packing, line_spread, mixing, pii, probminhash, quality_rules, toxicity_pu
 from eventloom.llm.frames import read
 from eventloom.llm.oracle import ORACLE
 
@@ -35,6 +35,11 @@ def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_packing.pack(read(spark, sf_dir, "documents"))
 
 
+@query
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query
 def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_spread.without_boilerplate(read(spark, sf_dir, "documents"), counts=True)
