@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import hilbert_packing, line_spread, mixing, pii, probminhash, quality_rules, toxicity_pu
+from eventloom.llm import hilbert_packing, language_crf, line_spread, mixing, pii, probminhash, quality_rules, toxicity_pu
 from eventloom.llm.frames import read
 from eventloom.llm.oracle import ORACLE
 
@@ -20,6 +20,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_crf.identify(read(spark, sf_dir, "documents"))
+
+
 @query
 def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(read(spark, sf_dir, "documents")))
