@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eventloom.llm import hilbert_packing, language_crf, line_spread, mixing, pii, probminhash, quality_rules, toxicity_pu
+from eventloom.llm import hilbert_packing, language_crf, line_spread, mixing, pii, pivot_search, probminhash, quality_rules, toxicity_pu
 from eventloom.llm.frames import read
 from eventloom.llm.oracle import ORACLE
 
@@ -35,6 +36,11 @@ def op3_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_pu.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@query
+def op4_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query
 def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_packing.pack(read(spark, sf_dir, "documents"))
