@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import hilbert_packing, language_crf, line_spread, mixing, pii, pivot_search, probminhash, quality_rules, toxicity_pu
+from eventloom.llm import hilbert_packing, language_crf, license_zstd, line_spread, mixing, pii, pivot_search, probminhash, quality_rules, toxicity_pu
 from eventloom.llm.frames import read
 from eventloom.llm.oracle import ORACLE
 
@@ -46,6 +46,11 @@ def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_packing.pack(read(spark, sf_dir, "documents"))
 
 
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_zstd.digest(license_zstd.scan_licenses(read(spark, sf_dir, "documents")))
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
