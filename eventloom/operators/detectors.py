@@ -215,10 +215,15 @@ def correlate_events(events: DataFrame, window_seconds: int = 60) -> DataFrame:
         .groupBy(floor_div(F.col("us"), max(gap_us, 1)).alias("cell"), "host", "sourcetype")
         .agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count(F.lit(1)).alias("n"))
     )
+    # used by the axis, its prefix and the join back: written once instead of read from the events each time
+    cells = materialize(cells, "session-cells")
     axis = cells.groupBy("cell").agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
     numbered = gap_sessions(axis, gap_us).select("cell", "session")
     groups = (
         cells.join(numbered, "cell")
+        # a session may span the whole input: reduced to its distinct sources before anything is collected
+        .groupBy("session", "host", "sourcetype")
+        .agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.sum("n").alias("n"))
         .groupBy("session")
         .agg(
             F.min("first_us").alias("first_us"),

@@ -5,7 +5,7 @@ Three ideas carry this module:
 * A prefix over the whole time axis is computed in levels: rows inside a block, blocks inside a
   block of blocks, and so on. A block covers a fixed range of the key, so with one row per key
   no group exceeds ``2**BLOCK_BITS`` rows, however the events are spread; the last level is one
-  group of blocks, whose number the length of the calendar bounds.
+  group of all blocks that are left, one row per ``2**(BLOCK_BITS * (levels - 1))`` keys at most.
 * Before anything is ordered, events collapse to one row per timestamp (or per time cell), with
   map-side combine. A hot instant, host or hour is a number by the time it is shuffled.
 * Where single rows matter (rolling windows of n rows), Spark's sampled range sort balances
@@ -22,8 +22,9 @@ from eventloom.functions import floor_div
 from eventloom.session import materialize
 
 US = 1_000_000
-BLOCK_BITS = 17
-LEVELS = 2  # seconds until the year 9999 then fill at most 2**21 blocks, 4e12 row numbers 2**25
+BLOCK_BITS = 20
+LEVELS = 2  # the seconds of the years 1 to 9999 then fill at most 3e5 blocks, 1e12 row numbers 1e6
+KEY_LIMIT = 1 << 62
 BLOCK_ROWS = 1 << 16
 
 
@@ -31,16 +32,17 @@ def prefix(df: DataFrame, key: str, value: str, out: str, how: str = "sum", leve
            bits: int = BLOCK_BITS, by: tuple[str, ...] = ()) -> DataFrame:
     """Add ``out``: the sum (or last non-null value) of ``value`` over all rows of smaller ``key``.
 
-    ``key`` is a long, unique in ``df``; with ``by`` (columns without nulls) the prefix is taken, and
-    the key unique, per combination of these.
+    ``key`` is a long from ``-KEY_LIMIT`` to below ``KEY_LIMIT`` (others raise an overflow), unique in ``df``; with
+    ``by`` (columns without nulls) the prefix is taken, and the key unique, per combination of these.
     """
     block, subtotal, earlier = f"__block{level}", f"__total{level}", f"__earlier{level}"
     before = Window.partitionBy(*by, block).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    blocked = df.withColumn(block, F.shiftright(F.col(key), bits))
+    # the last level has no block but the whole range of keys, to which this shift gives the number 0
+    number = F.shiftright(F.col(key), bits) if level > 1 else F.shiftright(F.col(key) + F.lit(KEY_LIMIT), 63)
+    blocked = df.withColumn(block, number)
     inside = F.sum(value) if how == "sum" else F.last(value, ignorenulls=True)
     local = blocked.withColumn(out, inside.over(before))
     if level <= 1:
-        # one block spans all keys here
         return _default_zero(local, out, how).drop(block)
     if how == "sum":
         total = F.sum(value)
@@ -60,16 +62,12 @@ def _default_zero(df: DataFrame, out: str, how: str) -> DataFrame:
     return df.withColumn(out, F.coalesce(F.col(out), F.lit(0))) if how == "sum" else df
 
 
-# A candidate list is broadcast only up to this many cells (8 bytes each); beyond it nothing is filtered.
-MAX_BROADCAST_CELLS = 500_000
-
-
 def near_bursts(timed: DataFrame, window_seconds: int, threshold: int) -> DataFrame:
     """Only those rows of ``timed`` (with ``us``) that a window of ``threshold`` events can touch.
 
     On cells as wide as the window a window lies in two neighbouring cells, so their counts bound it.
-    The counts come from one map-side combined pass over the time column. Where bursts are rare this
-    saves the shuffle of nearly all timestamps; where they are not, all rows are passed on.
+    The counts come from one map-side combined pass over the time column. They are written, so Spark knows
+    their size when it picks the join: a broadcast where cells are few, else a shuffle that may be split.
     """
     if window_seconds == 0:
         return timed
@@ -85,11 +83,8 @@ def near_bursts(timed: DataFrame, window_seconds: int, threshold: int) -> DataFr
         .select(F.explode(F.array("cell", F.col("cell") + 1)).alias("cell"))
         .distinct()
     )
-    kept = counts.join(needed, "cell", "left_semi").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    if kept[0] > MAX_BROADCAST_CELLS or 2 * kept[1] > total:
-        return timed
-    chosen = timed.withColumn("__cell", cell).join(F.broadcast(needed), F.col("__cell") == needed["cell"], "left_semi")
+    needed = materialize(needed, "burst-cells")
+    chosen = timed.withColumn("__cell", cell).join(needed, F.col("__cell") == needed["cell"], "left_semi")
     return chosen.drop("__cell")
 
 

@@ -1,4 +1,5 @@
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,6 +30,33 @@ def test_prefix_equals_running_value(spark, how, bits, level):
         last = value if value is not None else last
 
 
+@pytest.mark.parametrize("how", ["sum", "last"])
+@pytest.mark.parametrize("keys", [
+    [-9, -5, 5, 9], [5, 9, 2**34 + 5, 2**34 + 9], [-(2**51) - 1, -(2**51), -1, 0, 2**51, 2**51 + 1], [-(2**62), 0, 2**62 - 1],
+], ids=["signs", "2^34", "2^51", "ends"])
+def test_prefix_goes_on_across_blocks(spark, how, keys):
+    df = spark.createDataFrame([(k, i + 1) for i, k in enumerate(keys)], "key bigint, value bigint")
+    got = {r["key"]: r["before"] for r in ordered.prefix(df, "key", "value", "before", how).collect()}
+    for i, k in enumerate(sorted(keys)):
+        assert got[k] == (sum(range(1, i + 1)) if how == "sum" else i or None)
+
+
+def test_sessions_apart_by_decades_stay_apart(spark):
+    """Before and after 1970, where the cells of the axis change sign, and far beyond 2**34 microseconds."""
+    moments = [datetime(1969, 3, 1, 12, 0, s) for s in (0, 30)] + [datetime(2024, 3, 1, 12, 0, s) for s in (0, 30)]
+    df = spark.createDataFrame([(t, f"h{i}", "log") for i, t in enumerate(moments)], "time timestamp, host string, sourcetype string")
+    got = [(r["event_count"], r["span_seconds"]) for r in D.correlate_events(df, 60).collect()]
+    assert got == [(2, 30.0), (2, 30.0)]
+
+
+def test_one_dense_session_holds_each_source_once(spark):
+    df = spark.range(5000).select(
+        F.timestamp_micros(F.col("id") * US).alias("time"), F.concat(F.lit("h"), F.col("id") % 7).alias("host"),
+        F.lit("log").alias("sourcetype"))
+    (only,) = D.correlate_events(df, 2).collect()
+    assert only["event_count"] == 5000 and len(only["hosts"]) == 7
+
+
 def test_number_rows_is_the_global_position(spark):
     events = random_events(5, 300, 50, null_times=False)
     df = as_frame(spark, events).select(micros("time").alias("us"), "seq")
