@@ -114,15 +114,22 @@ def area_timeline(events: DataFrame, ask: FollowUp) -> DataFrame:
     )
 
 
-def timeline_chart(events: DataFrame, ask: FollowUp) -> DataFrame:
-    """The timeline with one column per asked host (an explicit list, so one aggregation)."""
-    return (
+def timeline_chart(events: DataFrame, ask: FollowUp, filled: bool = False) -> DataFrame:
+    """The timeline with one column per asked host (an explicit list, so one aggregation).
+
+    ``filled`` adds the minutes without events between the first and the last, with zeros.
+    """
+    chart = (
         _select(events, ask, hosts=False)
         .where(error_filter(events, ask.error_codes) & F.col("time").isNotNull())
         .groupBy(F.date_trunc("minute", "time").alias("minute"))
         .agg(*[F.count_if(F.col("host") == h).alias(h) for h in ask.hosts])
-        .orderBy("minute")
     )
+    if filled:
+        ends = chart.agg(F.min("minute").alias("a"), F.max("minute").alias("b")).where(F.col("a").isNotNull())
+        minutes = ends.select(F.explode(F.sequence("a", "b", F.expr("interval 1 minute"))).alias("minute"))
+        chart = minutes.join(chart, "minute", "left").fillna(0)
+    return chart.orderBy("minute")
 
 
 def area_first_occurrence(events: DataFrame, ask: FollowUp) -> DataFrame:

@@ -400,11 +400,12 @@ def level_tests(raw: Column) -> list[Column]:
     return [F.contains(text, F.lit(name)) for name in SEVERITY_LEVELS]
 
 
-def severity_summary(events: DataFrame, tests: Sequence[Column] | None = None) -> DataFrame:
+def severity_summary(events: DataFrame, tests: Sequence[Column] | None = None, exclusive: bool = False) -> DataFrame:
     """Events per level. Without a level column the level words are counted in the raw text.
 
     The counted words are not exclusive: a WARNING line is also a WARN line, and UNKNOWN is the
-    number of events minus all counts, so it can be negative. ``tests`` replace the search of the
+    number of events minus all counts, so it can be negative. With ``exclusive`` a line counts once, under the first
+    level in the order of ``SEVERITY_LEVELS`` that it names, WARNING before WARN. ``tests`` replace the search of the
     text where it was done before.
     """
     level = first_present(events, LEVEL_FIELDS)
@@ -414,10 +415,13 @@ def severity_summary(events: DataFrame, tests: Sequence[Column] | None = None) -
         )
     if tests is None and "_raw" not in events.columns:
         return _empty(events, SEVERITY_SCHEMA)
-    totals = events.agg(
-        F.count(F.lit(1)).alias("total"),
-        *[F.count_if(test).alias(name) for name, test in zip(SEVERITY_LEVELS, tests or level_tests(F.col("_raw")))],
-    )
+    named = dict(zip(SEVERITY_LEVELS, tests or level_tests(F.col("_raw"))))
+    if exclusive:
+        # the longer word first: each WARNING line also holds WARN
+        order = sorted(named, key=lambda name: (SEVERITY_LEVELS.index(name.removesuffix("ING")), -len(name)))
+        first = F.coalesce(*(F.when(named[name], F.lit(name)) for name in order))
+        named = {name: first == name for name in SEVERITY_LEVELS}
+    totals = events.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(test).alias(name) for name, test in named.items()])
     unknown = F.col("total") - sum((F.col(name) for name in SEVERITY_LEVELS[1:]), F.col(SEVERITY_LEVELS[0]))
     pairs = [F.struct(F.lit(name).alias("level"), F.col(name).alias("count")) for name in SEVERITY_LEVELS]
     pairs.append(F.struct(F.lit("UNKNOWN").alias("level"), unknown.alias("count")))

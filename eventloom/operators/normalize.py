@@ -84,12 +84,21 @@ def group_by_host(events: DataFrame) -> DataFrame:
 def append_events(events: DataFrame, more: DataFrame) -> DataFrame:
     """Union by column name; columns that one side lacks become null.
 
-    Where both sides have a column of different types (a scalar in one, a list in the
-    other), both turn into text: lists as JSON.
+    Different numbers widen: whole ones to bigint, otherwise to double. Where the types of a column really conflict
+    (a scalar in one, a list in the other), both turn into text: lists as JSON.
     """
     left, right = events, more
     for field in events.schema.fields:
-        if field.name in more.columns and more.schema[field.name].dataType != field.dataType:
+        if field.name not in more.columns:
+            continue
+        types = (field.dataType, more.schema[field.name].dataType)
+        if types[0] == types[1]:
+            continue
+        if all(isinstance(t, T.NumericType) for t in types):
+            wide = "bigint" if all(isinstance(t, T.IntegralType) for t in types) else "double"
+            left = left.withColumn(field.name, F.col(f"`{field.name}`").cast(wide))
+            right = right.withColumn(field.name, F.col(f"`{field.name}`").cast(wide))
+        else:
             left = left.withColumn(field.name, _as_text(events, field.name))
             right = right.withColumn(field.name, _as_text(more, field.name))
     return left.unionByName(right, allowMissingColumns=True)

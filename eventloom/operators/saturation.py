@@ -111,6 +111,12 @@ def correlate_latency_load(events: DataFrame, window_seconds: int = 300) -> Data
     )
 
 
+def latency_load_correlation(events: DataFrame, window_seconds: int = 300) -> DataFrame:
+    """Pearson correlation of mean thread count and mean latency over the buckets, with their number."""
+    return correlate_latency_load(events, window_seconds).agg(
+        F.corr("avg_threads", "avg_latency_ms").alias("correlation"), F.count(F.lit(1)).alias("windows"))
+
+
 def saturation_host_ranking(events: DataFrame) -> DataFrame:
     """Hosts by number of exhaustion lines."""
     return (

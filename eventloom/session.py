@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,9 +11,11 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Correctness needs UTC; the rest lets Spark re-plan joins and split skewed partitions at run time.
+# Correctness needs UTC and exact names; the rest lets Spark re-plan joins and split skewed partitions at run time.
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
+    # exports hold fields that differ only by case (Source and source), which must stay apart
+    "spark.sql.caseSensitive": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -42,11 +45,14 @@ def sizing_conf(input_bytes: int, partition_bytes: int = 256 << 20) -> dict[str,
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
 
-    Only where that is unset (a single machine, as in tests) a temporary folder is used
-    and remembered in the session.
+    Only where that is unset and everything runs on one machine (a ``local`` master, as in tests) a temporary
+    folder is used and remembered in the session. On a cluster executors would not see it, so it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("eventloom.scratch.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local($|\[)", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         root = tempfile.mkdtemp(prefix="eventloom-")
         spark.conf.set("eventloom.scratch.dir", root)
     return root.rstrip("/")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from datetime import datetime
 
@@ -16,15 +17,42 @@ def _no_events(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], T.StructType([]))
 
 
-def _first_character(spark: SparkSession, path: str) -> str:
-    """First non-blank character: reads the head of one file."""
-    head = spark.read.text(path).where(F.trim("value") != "").select(F.substring(F.ltrim("value"), 1, 1)).first()
-    return head[0] if head else ""
-
-
-def _case_sensitive(spark: SparkSession) -> None:
-    # exports hold fields that differ only by case (Source and source), which must stay apart
-    spark.conf.set("spark.sql.caseSensitive", "true")
+HEAD_BYTES = 1 << 16
+
+
+def _head(spark: SparkSession, path: str) -> str:
+    """The first bytes, at most ``HEAD_BYTES``, of the first file with content at the path, which may be a folder or glob."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = list(files.globStatus(target) or [])
+    if not found:
+        raise FileNotFoundError(path)
+    while found:
+        status = found.pop(0)
+        if status.isDirectory():
+            inner = [x for x in files.listStatus(status.getPath()) if x.getPath().getName()[0] not in "._"]
+            found = sorted(inner, key=lambda x: x.getPath().getName()) + found
+        elif status.getLen():
+            stream = files.open(status.getPath())
+            try:
+                raw = jvm.org.apache.commons.io.IOUtils.toByteArray(stream, int(min(status.getLen(), HEAD_BYTES)))
+            finally:
+                stream.close()
+            return bytes(raw).decode("utf-8", "ignore").lstrip("\ufeff").lstrip()
+    return ""
+
+
+def _is_lines(head: str) -> bool:
+    """Whether a text that begins with an object has one object per line, told by its first line."""
+    first, rest, _ = head.partition("\n")
+    if not rest and len(head) >= HEAD_BYTES // 4:  # cut off within the first line
+        return '"results"' not in head
+    try:
+        value = json.loads(first)
+    except ValueError:
+        return False
+    return isinstance(value, dict) and "results" not in value
 
 
 def read_events_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
@@ -34,13 +62,13 @@ def read_events_json(spark: SparkSession, path: str, schema: T.StructType | str
 
     Lines are splittable and the form to use for large inputs. ``schema`` (for instance from the
     schema catalogue) saves the inference pass. Where a field is a scalar in one event and a list
-    in another, it is read as text. Any other shape gives no events.
+    in another, it is read as text. Any other shape gives no events. Fields that differ only by case need
+    ``spark.sql.caseSensitive``, which ``build_session`` sets; readers leave the session as it is.
     """
-    _case_sensitive(spark)
     reader = spark.read.option("multiLine", not lines)
     if lines:
         return (reader.schema(schema) if schema is not None else reader).json(path)
-    if _first_character(spark, path) == "[":
+    if _head(spark, path).startswith("["):
         return (reader.schema(schema) if schema is not None else reader).json(path)
     if schema is not None:
         inner = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
@@ -54,10 +82,32 @@ def read_events_json(spark: SparkSession, path: str, schema: T.StructType | str
     return found.select(F.inline("results"))
 
 
+def read_events_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """One object per line by a schema from the catalogue, without losing what has drifted since.
+
+    A field that the schema does not know, or whose value its type cannot hold, is kept in ``extra`` (a map of JSON
+    texts); the typed column is then null. A line that is no object is kept as ``extra['_line']``. Needs no inference
+    pass and splits files; ``extra`` is null where nothing has drifted.
+    """
+    known = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    line = spark.read.text(path).where(F.trim("value") != "").select(
+        "value", F.from_json("value", "map<string,string>").alias("given"))
+    typed = {}
+    for field in known.fields:
+        text = F.element_at("given", field.name)
+        nested = isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType))
+        typed[field.name] = F.from_json(text, field.dataType) if nested else text.try_cast(field.dataType)
+    held = F.array(*(
+        F.when(typed[name].isNotNull() | F.element_at("given", name).isNull(), F.lit(name)) for name in typed
+    )).cast("array<string>")
+    drifted = F.map_filter("given", lambda k, v: ~F.array_contains(F.array_compact(held), k))
+    extra = F.when(F.col("given").isNull(), F.create_map(F.lit("_line"), "value")).when(F.size(drifted) > 0, drifted)
+    return line.select(*(column.alias(name) for name, column in typed.items()), extra.alias("extra"))
+
+
 def read_events_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """CSV with a header; every column is text. Without line breaks in quoted fields pass
     ``multiline=False``, so that large files are split."""
-    _case_sensitive(spark)
     return (
         spark.read.option("header", True).option("inferSchema", False).option("multiLine", multiline)
         .option("escape", '"').csv(path)
@@ -65,19 +115,20 @@ def read_events_csv(spark: SparkSession, path: str, multiline: bool = True) -> D
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """JSON or CSV, told apart by the first character, not by the file's name."""
-    if _first_character(spark, path) in ("{", "["):
-        return read_events_json(spark, path)
+    """JSON (envelope, list, or one object per line) or CSV, told apart by how the first file begins, not by its name."""
+    head = _head(spark, path)
+    if head.startswith(("{", "[")):
+        return read_events_json(spark, path, lines=head.startswith("{") and _is_lines(head))
     return read_events_csv(spark, path)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Flat JSON list or CSV by file extension, with typed columns and ``time`` as a timestamp."""
-    _case_sensitive(spark)
     if path.endswith(".json"):
         found = spark.read.option("multiLine", True).json(path)
     elif path.endswith(".csv"):
-        found = spark.read.option("header", True).option("inferSchema", True).option("escape", '"').csv(path)
+        found = spark.read.option("header", True).option("inferSchema", True).option(
+            "multiLine", True).option("escape", '"').csv(path)
     else:
         raise ValueError(f"unsupported file type: {path} (expected .json or .csv)")
     if "time" in found.columns:

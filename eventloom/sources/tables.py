@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from urllib.parse import quote
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
@@ -125,8 +126,18 @@ def alert_rows(hits: DataFrame, run_id: str) -> DataFrame:
     )
 
 
+def path_part(name: str) -> str:
+    """A name as one folder of a path, whatever it consists of."""
+    return quote(name, safe="")
+
+
+def store_alerts(rows: DataFrame, root: str, run_id: str, batch: str) -> None:
+    """The one layout of stored alerts: a folder per run and batch. A batch written again replaces itself."""
+    rows.write.mode("overwrite").parquet(f"{root}/alerts/of_run={path_part(run_id)}/batch={path_part(batch)}")
+
+
 def write_alerts(hits: DataFrame, root: str, run_id: str) -> None:
-    alert_rows(hits, run_id).write.mode("append").parquet(f"{root}/alerts")
+    store_alerts(alert_rows(hits, run_id), root, run_id, f"once-{uuid.uuid4()}")
 
 
 def alerts_ack(spark: SparkSession, root: str, alert_ids: list[str]) -> None:

@@ -6,6 +6,8 @@ import logging
 from collections.abc import Callable
 from datetime import datetime
 
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +18,7 @@ from eventloom.functions import first_present, relative_time
 from eventloom.functions.text import iso_text
 from eventloom.operators import detectors as D
 from eventloom.session import materialize, remove_path, scratch_scope
-from eventloom.sources.tables import alert_rows
+from eventloom.sources.tables import alert_rows, path_part, store_alerts
 
 logger = logging.getLogger(__name__)
 
@@ -189,12 +191,34 @@ def watch_cycle(batch: DataFrame, batch_id: int, root: str, run_id: str, params:
     with scratch_scope(batch.sparkSession):
         _run_cycle(batch, batch_id, root, run_id, params)
     if batch_id > 1:
-        remove_path(batch.sparkSession, f"{root}/watch/{batch_id - 2}")
+        remove_path(batch.sparkSession, f"{_state(root, run_id)}/{batch_id - 2}")
+
+
+def _state(root: str, run_id: str) -> str:
+    """Where a run keeps what its next cycle needs; runs on one root do not meet."""
+    return f"{root}/watch/{path_part(run_id)}"
+
+
+def _planned(detect: Callable[[DataFrame], DataFrame], events: DataFrame, run_id: str) -> DataFrame | None:
+    """The plan of a detector's alerts, or nothing if the detector itself is broken.
+
+    Only errors of plan building are the detector's own. What Spark or storage report, also from the small jobs
+    that some detectors run at once, goes on and stops the query, so that the batch is repeated.
+    """
+    try:
+        return alert_rows(detect(events), run_id)
+    except (OSError, Py4JError):
+        raise
+    except Exception as error:
+        if isinstance(error, PySparkException) and not isinstance(error, AnalysisException):
+            raise
+        logger.exception("detector %s failed", getattr(detect, "__name__", detect))
+        return None
 
 
 def _run_cycle(batch: DataFrame, batch_id: int, root: str, run_id: str, params: Params) -> None:
     spark = batch.sparkSession
-    here, before = f"{root}/watch/{batch_id}", f"{root}/watch/{batch_id - 1}"
+    here, before = f"{_state(root, run_id)}/{batch_id}", f"{_state(root, run_id)}/{batch_id - 1}"
     events = batch
     if batch_id > 0:
         events = spark.read.schema(batch.schema).parquet(f"{before}/tail").unionByName(batch)
@@ -203,12 +227,13 @@ def _run_cycle(batch: DataFrame, batch_id: int, root: str, run_id: str, params:
 
     hits = []
     for name, detect in alert_detectors(params).items():
-        try:
-            hits.append(materialize(alert_rows(detect(events), run_id), f"hits-{name}"))
-        except Exception:
-            logger.exception("detector %s failed in batch %d", name, batch_id)
+        plan = _planned(detect, events, run_id)
+        if plan is not None:
+            hits.append(materialize(plan, f"hits-{name}"))
     newest = events.agg(F.max("time")).scalar()
-    kept_from = newest - F.expr(f"interval {params.watch_overlap_seconds} seconds")
+    # a burst across the edge of two cycles is seen whole only if a whole window is kept
+    overlap = max(params.watch_overlap_seconds, params.spike_window_seconds)
+    kept_from = newest - F.expr(f"interval {overlap} seconds")
     events.where(F.col("time") >= kept_from).write.mode("overwrite").parquet(f"{here}/tail")
 
     found = _union(hits) if hits else alert_rows(
@@ -218,7 +243,7 @@ def _run_cycle(batch: DataFrame, batch_id: int, root: str, run_id: str, params:
     if batch_id > 0:
         known = spark.read.schema("alert_id string").parquet(f"{before}/ids")
         fresh = fresh.join(known, "alert_id", "left_anti")
-    fresh.write.mode("overwrite").parquet(f"{root}/alerts/batch={batch_id}")
+    store_alerts(fresh, root, run_id, str(batch_id))
 
 
 def start_watch(events: DataFrame, root: str, run_id: str, params: Params = DEFAULTS, once: bool = False

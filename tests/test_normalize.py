@@ -66,6 +66,12 @@ def test_append_unions_by_name_and_settles_types(spark):
     assert [(r["value"], r["a"], r["b"]) for r in rows] == [("x", 1, None), ('["p","q"]', None, 2)]
 
 
+def test_append_widens_numbers(spark):
+    a, b = spark.createDataFrame([(1, 2)], "n int, m int"), spark.createDataFrame([(0.5, 1 << 40)], "n double, m bigint")
+    both = N.append_events(a, b)
+    assert dict(both.dtypes) == {"n": "double", "m": "bigint"} and both.count() == 2
+
+
 def test_prepared_frames_with_and_without_cert_union(spark):
     one = N.prepare_events(spark.createDataFrame([("1", "timeout")], "_time string, ocsp_status string"))
     two = N.prepare_events(spark.createDataFrame([("2",)], "_time string"))

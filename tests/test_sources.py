@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventloom import session
 from eventloom.operators import detectors as D
 from eventloom.operators.normalize import prepare_events
 from eventloom.plans import findings as P
@@ -45,6 +46,60 @@ def test_json_without_events(spark, tmp_path, data):
     assert P.findings_counts(P.analyze_events(events)[0]).where("n > 0").isEmpty()
 
 
+@pytest.mark.parametrize("shape", ["envelope", "one-line envelope", "list", "lines", "csv"])
+def test_the_form_is_told_by_how_the_file_begins(spark, tmp_path, shape):
+    rows = [{"n": str(i), "_raw": "x" * 300} for i in range(400)]
+    text = {"envelope": json.dumps({"results": rows}, indent=1), "one-line envelope": json.dumps({"results": rows}),
+            "list": json.dumps(rows), "lines": "\n".join(map(json.dumps, rows)),
+            "csv": "n,_raw\n" + "\n".join(f"{r['n']},{r['_raw']}" for r in rows)}[shape]
+    before = spark.conf.get("spark.sql.caseSensitive")
+    assert readers.read_events(spark, save(tmp_path, "export", text)).count() == 400
+    assert spark.conf.get("spark.sql.caseSensitive") == before
+
+
+def test_drifted_lines_lose_nothing(spark, tmp_path):
+    path = save(tmp_path, "e.json", '{"n": 1, "tags": ["a"]}\n{"n": "12x", "fresh": {"k": 2}}\n\nbroken\n{"n": null}\n')
+    got = readers.read_events_lines(spark, path, "n bigint, tags array<string>").collect()
+    assert [(r["n"], r["tags"]) for r in got] == [(1, ["a"]), (None, None), (None, None), (None, None)]
+    assert [r["extra"] for r in got] == [None, {"n": "12x", "fresh": '{"k":2}'}, {"_line": "broken"}, None]
+
+
+def test_records_keep_line_breaks_in_quotes(spark, tmp_path):
+    path = save(tmp_path, "r.csv", 'time,note\n2026-01-01 00:00:00,"two\nlines"\n2026-01-02 00:00:00,one\n')
+    got = readers.read_records(spark, path).orderBy("time").collect()
+    assert [r["note"] for r in got] == ["two\nlines", "one"] and got[1]["time"] is not None
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+        def set(self, key, value):
+            self[key] = value
+
+    cluster = type("Session", (), {"conf": Conf({"spark.master": "spark://host:7077"})})()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_root(cluster)
+    cluster.conf.set("spark.checkpoint.dir", "hdfs:///scratch/")
+    assert session.scratch_root(cluster) == "hdfs:///scratch"
+
+
+def test_a_scope_leaves_no_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "scratch_root", lambda _: str(tmp_path))
+    with session.scratch_scope(spark):
+        assert session.materialize(spark.range(3), "numbers").count() == 3
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_alerts_of_both_writers_are_read(spark, tmp_path):
+    hits = spark.createDataFrame([("d", "warning", "s", "{}")], "detector string, severity string, summary string, detail_json string")
+    tables.write_alerts(hits, str(tmp_path), "a/b")
+    tables.store_alerts(tables.alert_rows(hits, "w"), str(tmp_path), "w", "0")
+    tables.store_alerts(tables.alert_rows(hits, "w"), str(tmp_path), "w", "0")
+    assert sorted(r["run_id"] for r in tables.read_alerts(spark, str(tmp_path)).collect()) == ["a/b", "w"]
+
+
 def test_scalar_and_list_in_one_field_widen_to_text(spark, tmp_path):
     path = save(tmp_path, "e.json", [{"value": "x"}, {"value": ["p", "q"]}])
     scalar, listed = [r["value"] for r in readers.read_events_json(spark, path).collect()]
