@@ -37,8 +37,11 @@ def event_count(events: DataFrame) -> DataFrame:
     return events.agg(F.count(F.lit(1)).alias("event_count"))
 
 
-def build_findings(events: DataFrame, params: Params = DEFAULTS, share: bool = False) -> Findings:
-    """The detectors of one investigation step over prepared events."""
+def build_findings(events: DataFrame, params: Params = DEFAULTS, share: bool = True) -> Findings:
+    """The detectors of one investigation step over prepared events.
+
+    The raw text is read once (see ``shared_findings``) unless ``share`` is off, when each detector scans for itself.
+    """
     if share and "_raw" in events.columns:
         return shared_findings(events, params, with_pairs=False)
     return {
@@ -55,7 +58,7 @@ def build_findings(events: DataFrame, params: Params = DEFAULTS, share: bool = F
     }
 
 
-def analyze_events(raw_events: DataFrame, params: Params = DEFAULTS, share: bool = False
+def analyze_events(raw_events: DataFrame, params: Params = DEFAULTS, share: bool = True
                    ) -> tuple[Findings, DataFrame]:
     """Normalise raw events, run all detectors including event pairs, and lay out the report."""
     events = prepare_events(raw_events)
@@ -306,7 +309,7 @@ def findings_report(findings: Findings) -> DataFrame:
     return out.orderBy("section", "part", "rank", "tie", "line")
 
 
-def grow_investigation(events: DataFrame, more: DataFrame | None, params: Params = DEFAULTS, share: bool = False
+def grow_investigation(events: DataFrame, more: DataFrame | None, params: Params = DEFAULTS, share: bool = True
                        ) -> tuple[str, DataFrame, Findings | None]:
     """Add follow-up events and look again; ``done`` when there are none."""
     if more is None or more.isEmpty():

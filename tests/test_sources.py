@@ -151,7 +151,7 @@ def test_one_pass_gives_the_same_findings(spark, drop):
     events = prepare_events(spark.createDataFrame(
         rows, "seq bigint, _time string, host string, sourcetype string, error_code string, duration_ms double, "
               "_raw string, tls_error string")).drop(*drop)
-    apart = P.build_findings(events)
+    apart = P.build_findings(events, share=False)
     apart["event_pairs"] = D.detect_event_pair_patterns(events)
     if "_raw" in drop:
         once = P.build_findings(events, share=True) | {"event_pairs": apart["event_pairs"]}
