@@ -45,7 +45,8 @@ ROWS = 6
 #: Registers of the signatures by which pairs in open bands are estimated, and contents per tile of such a band.
 LONG_REGISTERS = 1024
 TILE = 512
-SLICE_BYTES = 6 << 20
+REGISTERS_AT_ONCE = 1 << 19
+SLICE_BYTES = 4 << 20
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F],
                np.uint64)
 
@@ -77,7 +78,16 @@ def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int = BANDS * ROWS) -> np.ndarray:
-    """Registers (texts by ``registers``) holding 32 bits of the shingle that arrived first; 0 where a text has none."""
+    """Registers (texts by ``registers``) holding 32 bits of the shingle that arrived first; 0 where a text has none.
+
+    Texts go through in groups of about ``REGISTERS_AT_ONCE`` registers, which bounds the memory of a task.
+    """
+    step = max(1, REGISTERS_AT_ONCE // registers)
+    parts = [_signatures(sets[i:i + step], registers) for i in range(0, len(sets), step)]
+    return np.concatenate([np.zeros((0, registers), np.uint32), *parts])
+
+
+def _signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int) -> np.ndarray:
     n = len(sets)
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
     first = np.full(n * registers, empty)
@@ -102,12 +112,12 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int = BANDS
             going = bits < latest[text]
             text, element, rate, time = text[going], element[going], rate[going], time[going]
     first[first == empty] = 0
-    return (first & np.uint64(0xFFFFFFFF)).reshape(n, registers)
+    return (first & np.uint64(0xFFFFFFFF)).astype(np.uint32).reshape(n, registers)
 
 
 def band_hashes(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     n = len(signature)
-    rows = signature.reshape(n, bands, -1)
+    rows = signature.astype(np.uint64).reshape(n, bands, -1)
     total = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (n, bands)).copy()
     for i in range(rows.shape[2]):
         total = mixed(total * ODD[0] + rows[:, :, i])
@@ -218,7 +228,7 @@ def _long_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for batch in slices(whole, limit=SLICE_BYTES):
             places, words = word_hashes(batch.column("text"))
             sets = [shingles(words[a:b]) for a, b in zip(places[:-1].tolist(), places[1:].tolist())]
-            signs = mixed(signatures(sets, LONG_REGISTERS)).astype(np.uint8)
+            signs = [mixed(x.astype(np.uint64)).astype(np.uint8) for x in signatures(sets, LONG_REGISTERS)]
             bands = band_hashes(signatures(sets))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("content"), pa.array([x.tobytes() for x in signs], pa.binary()),

@@ -43,7 +43,10 @@ THRESHOLD = 0.3
 STEPS = 300
 RATE = 0.05
 DECAY = 1e-3
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+#: Words of each generation that a task remembers features of.
+KNOWN_WORDS = 60_000
+NOTHING = np.zeros(0, np.int64)
 #: Letters of a word's longest start that is a feature of its own, besides the whole word.
 LONGEST_START = 8
 #: Characters stripped from both ends of a word.
@@ -79,7 +82,7 @@ def document_features(batch: pa.RecordBatch, known: Recent, make) -> tuple[np.nd
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = Recent()
+    known = Recent(KNOWN_WORDS)
     for whole in batches:
         for batch in slices(whole, limit=SLICE_BYTES):
             rows, found = document_features(batch, known, lambda word: np.array(features(word), np.int64))
@@ -173,12 +176,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
 
 def _score(model: Model, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Recent()
+        known = Recent(KNOWN_WORDS)
         names = np.array(sorted(model.weights), np.int64)
         values = np.array([model.weights[x] for x in names.tolist()] + [0.0])
 
         def telling(word: str) -> np.ndarray:
-            return np.array([x for x in features(word) if x in model.weights], np.int64)
+            found = [x for x in features(word) if x in model.weights]
+            return np.array(found, np.int64) if found else NOTHING
 
         for whole in batches:
             for batch in slices(whole, limit=SLICE_BYTES):
