@@ -302,3 +302,16 @@ def test_licenses_and_their_differences():
     assert scanner.scan("a license to drive\nwithout any reserved seats, permission or warranty") == []
     twice = "All rights reserved.\n\n\n\n\nwords\n\n\n\nall Rights reserved"
     assert [(x["start"], x["end"]) for x in scanner.scan(twice)] == [(0, 19), (len(twice) - 19, len(twice))]
+
+
+@pytest.mark.parametrize("size", [2_000, 8_000, 16_000, 100_000])
+def test_licenses_inside_long_lines(size):
+    scanner, rng = license_zstd.Scanner(), random.Random(size)
+    for name, text in license_zstd.TEMPLATES.items():
+        words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(size // 6)]
+        half = len(words) // 2
+        line = " ".join([*words[:half], text, *words[half:]])
+        at = line.index(text)
+        found = scanner.scan(line)
+        assert [(x["license"], x["start"], x["missing"], x["added"]) for x in found] == [(name, at, [], [])]
+        assert found[0]["end"] - at >= len(text) - 1
