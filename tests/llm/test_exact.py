@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -315,3 +316,24 @@ def test_licenses_inside_long_lines(size):
         found = scanner.scan(line)
         assert [(x["license"], x["start"], x["missing"], x["added"]) for x in found] == [(name, at, [], [])]
         assert found[0]["end"] - at >= len(text) - 1
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "-- "])
+@pytest.mark.parametrize("width", [30, 72])
+def test_wrapped_licenses(mark, width):
+    scanner = license_zstd.Scanner()
+    for name, text in license_zstd.TEMPLATES.items():
+        wrapped = "\n".join(mark + line for line in textwrap.wrap(text, width, break_on_hyphens=False, break_long_words=False))
+        gapped = wrapped.replace("conditions:", f"conditions:\n{mark.rstrip()}\n{mark.rstrip()}\n{mark.rstrip()}")
+        for form in (wrapped, gapped):
+            found = scanner.scan(f"int x;\n{form}\nint y;\n" + "plain line\n" * 50)
+            assert [(x["license"], x["missing"]) for x in found] == [(name, [])]
+            assert found[0]["added"] == []
+
+
+def test_notices_across_pieces(monkeypatch):
+    monkeypatch.setattr(license_zstd, "PIECE_WORDS", 50)
+    scanner = license_zstd.Scanner()
+    for pad in range(0, 200, 7):
+        text = "word " * pad + license_zstd.TEMPLATES["mit"] + " word" * 300
+        assert [(x["license"], x["start"], x["missing"], x["added"]) for x in scanner.scan(text)] == [("mit", 5 * pad, [], [])]
