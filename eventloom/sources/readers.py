@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Sequence
+import codecs
+import re
+from collections.abc import Iterator, Sequence
+from contextlib import closing
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,14 +19,18 @@ def _no_events(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], T.StructType([]))
 
 
-HEAD_BYTES = 1 << 16
+CHUNK_BYTES = 1 << 16
 
 
-def _head(spark: SparkSession, path: str) -> str:
-    """The first bytes, at most ``HEAD_BYTES``, of the first file with content at the path, which may be a folder or glob."""
+def _pieces(spark: SparkSession, path: str) -> Iterator[str]:
+    """The text of the first file with content at the path, which may be a folder or glob, in pieces as they are asked for.
+
+    Unpacked as Spark's readers do, by the codec of the file's name. A file that unpacks to nothing has no content.
+    """
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    conf = spark._jsc.hadoopConfiguration()
+    files = target.getFileSystem(conf)
     found = list(files.globStatus(target) or [])
     if not found:
         raise FileNotFoundError(path)
@@ -34,25 +40,94 @@ def _head(spark: SparkSession, path: str) -> str:
             inner = [x for x in files.listStatus(status.getPath()) if x.getPath().getName()[0] not in "._"]
             found = sorted(inner, key=lambda x: x.getPath().getName()) + found
         elif status.getLen():
+            codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(status.getPath())
             stream = files.open(status.getPath())
             try:
-                raw = jvm.org.apache.commons.io.IOUtils.toByteArray(stream, int(min(status.getLen(), HEAD_BYTES)))
+                if codec is not None:
+                    stream = codec.createInputStream(stream)
+                decoder, start = codecs.getincrementaldecoder("utf-8")("ignore"), True
+                while raw := _read(jvm, stream):
+                    text = decoder.decode(raw)
+                    if start:
+                        text = text.lstrip("\ufeff").lstrip()
+                    if text:
+                        start = False
+                        yield text
             finally:
                 stream.close()
-            return bytes(raw).decode("utf-8", "ignore").lstrip("\ufeff").lstrip()
-    return ""
+            if not start:
+                return
 
 
-def _is_lines(head: str) -> bool:
-    """Whether a text that begins with an object has one object per line, told by its first line."""
-    first, rest, _ = head.partition("\n")
-    if not rest and len(head) >= HEAD_BYTES // 4:  # cut off within the first line
-        return '"results"' not in head
-    try:
-        value = json.loads(first)
-    except ValueError:
-        return False
-    return isinstance(value, dict) and "results" not in value
+def _head(spark: SparkSession, path: str) -> str:
+    with closing(_pieces(spark, path)) as pieces:
+        return next(pieces, "")
+
+
+def _read(jvm, stream) -> bytes:
+    part = jvm.org.apache.commons.io.input.BoundedInputStream(stream, CHUNK_BYTES)
+    return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(part))
+
+
+IN_STRING = re.compile(r'["\\\n]')
+TOKEN = re.compile(r'["{}\[\],:\n]|[^\s"{}\[\],:]+')
+
+
+def _tokens(pieces: Iterator[str]) -> Iterator[str]:
+    """Tokens of a JSON text and its line feeds. Of a string only the beginning is kept, so length costs no memory."""
+    text, escaped = None, False  # text: the string that is open
+    for piece in pieces:
+        at = 0
+        while at < len(piece):
+            if escaped:
+                at, escaped = at + 1, False
+                continue
+            m = (TOKEN if text is None else IN_STRING).search(piece, at)
+            if text is not None and len(text) < 64:
+                text += piece[at:m.end() if m else len(piece)][:64]
+            if not m:
+                break
+            at, token = m.end(), m.group()
+            if text is None and token == '"':
+                text = token
+            elif text is not None and token == "\\":
+                escaped = True
+            elif text is not None and token == '"':
+                yield text
+                text = None
+            else:
+                yield token
+
+
+def _is_lines(pieces: Iterator[str]) -> bool:
+    """Whether a text that begins with an object has one object per line.
+
+    It has if the first object ends within its line and is no envelope, an envelope being an object whose own field
+    ``results`` is a list that is empty or begins with an object, or that has such a field and is all of the text.
+    Reads as far as that takes, whatever the length.
+    """
+    depth, key, opened, named, ended = 0, None, False, False, False
+    for token in _tokens(pieces):
+        if depth == 0 and key is not None:  # behind the first object
+            if token != "\n":
+                return ended
+            ended = True
+            continue
+        if token == "\n" or opened and token in ("{", "]"):
+            return False
+        opened = token == "[" and depth == 1 and key == '"results"'
+        if token in ("{", "["):
+            depth += 1
+        elif token in ("}", "]"):
+            depth -= 1
+            if depth == 0:
+                key = key or ""
+        elif depth == 1 and token == ",":
+            key = None
+        elif depth == 1 and key is None:
+            key = token
+            named = named or key == '"results"'
+    return depth == 0 and key is not None and not named
 
 
 def read_events_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
@@ -115,10 +190,18 @@ def read_events_csv(spark: SparkSession, path: str, multiline: bool = True) -> D
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """JSON (envelope, list, or one object per line) or CSV, told apart by how the first file begins, not by its name."""
+    """JSON (envelope, list, or one object per line) or CSV, told apart by how the first file begins, not by its name.
+
+    Lines whose events have a list of objects as their field ``results`` look like an envelope; read them by
+    ``read_events_json(..., lines=True)``.
+    """
     head = _head(spark, path)
-    if head.startswith(("{", "[")):
-        return read_events_json(spark, path, lines=head.startswith("{") and _is_lines(head))
+    if head.startswith("{"):
+        with closing(_pieces(spark, path)) as pieces:
+            lines = _is_lines(pieces)
+        return read_events_json(spark, path, lines=lines)
+    if head.startswith("["):
+        return read_events_json(spark, path)
     return read_events_csv(spark, path)
 
 

@@ -1,3 +1,5 @@
+import bz2
+import gzip
 import json
 from datetime import datetime, timedelta, timezone
 
@@ -57,6 +59,40 @@ def test_the_form_is_told_by_how_the_file_begins(spark, tmp_path, shape):
     assert spark.conf.get("spark.sql.caseSensitive") == before
 
 
+def packed(tmp_path, name, text, pack):
+    path = tmp_path / f"{name}.json.{'gz' if pack is gzip else 'bz2'}"
+    path.write_bytes(pack.compress(text.encode()))
+    return str(path)
+
+
+@pytest.mark.parametrize("pack", [gzip, bz2])
+@pytest.mark.parametrize("shape", ["envelope", "list", "lines"])
+def test_packed_files(spark, tmp_path, shape, pack):
+    rows = [{"n": str(i), "_raw": "x" * 300} for i in range(400)]
+    text = {"envelope": json.dumps({"results": rows}), "list": json.dumps(rows), "lines": "\n".join(map(json.dumps, rows))}[shape]
+    path = packed(tmp_path, "e", text, pack)
+    assert readers.read_events(spark, path).where("n is not null").count() == 400
+    assert readers.read_events_json(spark, path, lines=shape == "lines").where("n is not null").count() == 400
+
+
+LONG = 'a "b" \\ {[é' * 20_000
+LONG_FORMS = {
+    "lines, nested": ({"_raw": LONG, "inner": {"results": [{"a": 1}]}}, {"_raw": "y", "inner": None}),
+    "lines, nested first": ({"inner": {"results": [{"a": 1}]}, "_raw": LONG}, {"_raw": "y", "inner": None}),
+    "lines, text": ({"_raw": LONG + '"results": [{'}, {"_raw": "y"}),
+    "lines, scalar": ({"results": 5, "_raw": LONG}, {"results": 6, "_raw": "y"}),
+    "lines, numbers": ({"results": [5], "_raw": LONG}, {"results": [], "_raw": "y"}),
+    "short lines, scalar": ({"results": 5, "_raw": "x"}, {"results": 6, "_raw": "y"}),
+    "late results": ({"note": LONG, "more": {"results": 1}, "results": [{"_raw": "x"}, {"_raw": "y"}]},),
+}
+
+
+@pytest.mark.parametrize("form", sorted(LONG_FORMS))
+def test_long_first_lines(spark, tmp_path, form):
+    path = save(tmp_path, "e", "\n".join(map(json.dumps, LONG_FORMS[form])) + "\n")
+    assert readers.read_events(spark, path).where("_raw is not null").count() == 2
+
+
 def test_drifted_lines_lose_nothing(spark, tmp_path):
     path = save(tmp_path, "e.json", '{"n": 1, "tags": ["a"]}\n{"n": "12x", "fresh": {"k": 2}}\n\nbroken\n{"n": null}\n')
     got = readers.read_events_lines(spark, path, "n bigint, tags array<string>").collect()
