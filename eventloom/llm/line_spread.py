@@ -9,8 +9,8 @@ written tables, so Spark broadcasts the list of lines only where its size allows
 A line is what stands between line feeds, without white space at both ends; lines are compared by 64-bit hash. The
 first place is the smallest (document id, text hash, line number), so an id that occurs once keeps exactly one.
 
-Defined cases: a null text stays null, lines without content are never removed; a null source is a site of its own; null
-ids come first; rows alike in id and text are treated alike; a text of which nothing is left becomes empty, the row stays;
+Defined cases: a null text stays null, lines without content are never removed; a null source and an empty one are a site each;
+null ids come first; rows alike in id and text are treated alike; a text of which nothing is left becomes empty, the row stays;
 other columns are kept as they are.
 """
 
@@ -28,7 +28,8 @@ MIN_SITES = 5
 #: Log2 of a sketch's registers; the relative standard error is 1.04 / sqrt(registers).
 LOG_REGISTERS = 10
 BLANK = " \t\r\x0b\x0c"
-NO_SITE = "\x00none"
+#: What begins a site's text, as sketches leave out empty strings, and what stands for a null source.
+SITE, NO_SITE = "s", "none"
 
 
 def _id(doc_id: Column) -> Column:
@@ -44,7 +45,7 @@ def lines(docs: DataFrame) -> DataFrame:
     named = pick(docs, "doc_id", "text", "source").where(F.col("text").isNotNull())
     each = named.select(
         _id(F.col("doc_id")).alias("id"), F.xxhash64("text").alias("version"),
-        F.coalesce(F.col("source").cast("string"), F.lit(NO_SITE)).alias("site"),
+        F.coalesce(F.concat(F.lit(SITE), F.col("source").cast("string")), F.lit(NO_SITE)).alias("site"),
         F.posexplode(_split(F.col("text"))).alias("at", "raw"))
     trimmed = F.btrim("raw", F.lit(BLANK))
     return each.where(trimmed != "").select("id", "version", "site", "at", F.xxhash64(trimmed).alias("line"))

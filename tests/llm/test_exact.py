@@ -269,6 +269,13 @@ def test_near_threshold_lines_are_counted_exactly(spark, registers):
     assert Counter(lost) == {k: k - 1 for k in range(12, 30)}
 
 
+def test_empty_and_null_sources_are_sites(spark):
+    rows = [(10 * k + i, f"banner {k}", "en", s) for k, sites in enumerate((["", *"abcd"], [None, *"abcd"], ["", None, *"abc"], ["", *"abc"]))
+            for i, s in enumerate(sites)]
+    lost = Counter(r["doc_id"] // 10 for r in line_spread.without_boilerplate(cases.docs(spark, rows)).collect() if not r["text"])
+    assert lost == {0: 4, 1: 4, 2: 4}
+
+
 def test_mixed_rows_hold_the_words_taken(spark):
     rng = random.Random(11)
     rows = [(i, cases.prose(i, rng.randint(1, 60)), "en", rng.choice("aaaabcd")) for i in range(120)]
