@@ -116,16 +116,23 @@ def base_spans(text: str) -> Iterator[tuple[str, int, int, bool]]:
             yield "phone", m.start(), m.end(), False
 
 
-def added_spans(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[str, int, int, bool]]:
-    for m in IBAN.finditer(text):
-        want = IBAN_LENGTHS.get(m.group(1))
-        if want is None:
-            continue
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """The pattern reaches over what follows a number, so the search goes on behind the country's length or, where none is
+    confirmed, behind the candidate's first character."""
+    m = IBAN.search(text)
+    while m:
+        after = m.start() + 1
         places = [i for i in range(m.start(), m.end()) if text[i] != " "]
-        if len(places) >= want:
-            compact = "".join(text[i] for i in places[:want])
-            if mod97(compact):
-                yield "iban", m.start(), places[want - 1] + 1, True
+        want = IBAN_LENGTHS.get(m.group(1), len(places) + 1)
+        if len(places) >= want and mod97("".join(text[i] for i in places[:want])):
+            after = places[want - 1] + 1
+            yield m.start(), after
+        m = IBAN.search(text, after)
+
+
+def added_spans(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[str, int, int, bool]]:
+    for start, end in ibans(text):
+        yield "iban", start, end, True
     for m in DIGIT_RUN.finditer(text):
         if m.span() in taken or m.end() - m.start() < 14:
             continue

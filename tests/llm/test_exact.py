@@ -1,5 +1,6 @@
 """Operators with exact results against SQL, brute force or a round trip."""
 
+import itertools
 import random
 import re
 import textwrap
@@ -57,6 +58,20 @@ def test_base_spans_equal_the_patterns():
         assert [x[:3] for x in pii.base_spans(text)] == list(plain_spans(text))
 
 
+IBANS = ("GB82WEST12345698765432", "DE89370400440532013000", "NO9386011117947", "BE68 5390 0754 7034")
+
+
+@pytest.mark.parametrize("between", [" ", ", ", "\n"])
+def test_ibans_in_a_row(between):
+    for n in (2, 3, 4):
+        for row in itertools.permutations(IBANS, n):
+            text = between.join(row)
+            assert [text[a:b] for a, b in pii.ibans(text)] == list(row)
+    for bad in ("XX82 WEST 1234", "GB00WEST12345698765432", "GB82 WEST 1234"):
+        text = f"bank {bad} {IBANS[1]} {bad} {IBANS[0]}"
+        assert [text[x["start"]:x["end"]] for x in pii.spans_of(text) if x["kind"] == "iban"] == [IBANS[1], IBANS[0]]
+
+
 def test_long_runs_take_linear_time():
     for text in ("9" * 300_000, "a" * 300_000, "a@" * 100_000, "1." * 200_000, "+1" + "(" * 200_000):
         list(pii.base_spans(text))
