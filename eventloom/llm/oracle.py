@@ -81,3 +81,33 @@ with v as (
 )
 select query_id, rank, vec_id, score from ranked where rank <= 10
 """
+
+ORACLE["op13_fill_in_middle"] = r"""
+with hashed as (
+  select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents
+), numbered as (
+  select *, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2,
+         cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4,
+         regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') as units
+  from hashed
+), placed as (
+  select *, cast(len(units) as bigint) as n,
+         least(h1 % (len(units) + 1), h2 % (len(units) + 1)) as a,
+         greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) as b
+  from numbered
+), pieces as (
+  select doc_id, text, n,
+         case when n = 0 or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain'
+              when h4 % 100 < 20 then 'spm' else 'psm' end as form,
+         array_to_string(units[1:a], '') as prefix, array_to_string(units[a + 1:b], '') as middle,
+         array_to_string(units[b + 1:], '') as suffix
+  from placed
+)
+select doc_id, n, form,
+       case when form <> 'plain' then cast(length(prefix) as bigint) end as prefix_chars,
+       case when form <> 'plain' then cast(length(middle) as bigint) end as middle_chars,
+       sha256(case form when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        when 'spm' then '<S>' || suffix || '<P>' || prefix || '<M>' || middle else text end) as output_sha256,
+       sha256(text) as restored_sha256
+from pieces
+"""
