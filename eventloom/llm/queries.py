@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import (fill_middle, hilbert_packing, language_crf, license_zstd, line_spread, mixing, pii, pivot_search,
-                           probminhash, quality_rules, toxicity_pu)
+from eventloom.llm import (fill_middle, hilbert_packing, language_crf, license_zstd, line_spread, merge_path, mixing, pii,
+                           pivot_search, probminhash, quality_rules, toxicity_pu)
 from eventloom.llm.frames import read
 from eventloom.llm.oracle import ORACLE
 
@@ -76,3 +76,8 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(fill_middle.fill_in_middle(read(spark, sf_dir, "documents")))
+
+
+@query
+def op12_merge_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_path.align_corpus(read(spark, sf_dir, "documents"))
