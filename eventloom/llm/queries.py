@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm import (fill_middle, hilbert_packing, language_crf, license_zstd, line_spread, merge_path, mixing, pii,
-                           pivot_search, probminhash, quality_rules, toxicity_pu)
+                           pivot_search, ppm, probminhash, quality_rules, toxicity_pu)
 from eventloom.llm.frames import read
 from eventloom.llm.oracle import ORACLE
 
@@ -81,3 +81,8 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_merge_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_path.align_corpus(read(spark, sf_dir, "documents"))
+
+
+@query
+def op11_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(read(spark, sf_dir, "documents"))
