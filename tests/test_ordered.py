@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from eventloom.operators import detectors as D
 from eventloom.operators import ordered
+from eventloom.operators import transaction as transactions_module
 from eventloom.operators.transaction import transaction
 from tests import models
 from tests.frames import BASE, US, as_frame, random_events
@@ -106,16 +107,36 @@ def test_pairs_equal_the_model(spark, seed, span):
     assert got == models.pairs(events, "ocsp", "handshake failed", span)
 
 
-@pytest.mark.parametrize("seed,span,chunk", [(1, 20, 1), (2, 20, 3), (3, 120, 2), (4, 0, 4), (5, 50, 8), (6, 7, 2)])
-def test_transactions_equal_the_model(spark, seed, span, chunk):
+@pytest.mark.parametrize("seed,span,leaf_rows", [(1, 20, 1), (2, 20, 3), (3, 120, 2), (4, 0, 4), (5, 50, 8), (6, 7, 1 << 16)])
+def test_transactions_equal_the_model(spark, seed, span, leaf_rows):
+    """Small leaves: cells of too many instants, leaves of several cells, and several rounds of composed jumps."""
     events = random_events(seed, 250, 700, 100_000)
-    found = transaction(as_frame(spark, events), "host", span, chunk)
+    found = transaction(as_frame(spark, events), "host", span, leaf_rows)
     got = sorted(
         ((r["host"], r["a"], r["b"], r["event_count"])
          for r in found.withColumns({"a": micros("start_time"), "b": micros("end_time")}).collect()), key=str)
     assert got == models.transactions(events, span)
 
 
+@pytest.mark.parametrize("step_us,leaf_rows", [(US, 50), (997, 200)])
+def test_no_task_holds_a_hot_key(spark, monkeypatch, step_us, leaf_rows):
+    """One key, an event a second or thousands within one span: groups that are gathered stay near ``leaf_rows``."""
+    rng = random.Random(9)
+    events = [{"seq": i, "us": BASE + i * step_us + rng.randrange(step_us), "host": "a", "raw": "", "value": 1.0} for i in range(1500)]
+    sizes, walk = [], transactions_module._walk
+
+    def measured(placed, entries, span):
+        sizes.extend(r["count"] for r in placed.where("not dense").groupBy("key", "leaf").count().collect())
+        return walk(placed, entries, span)
+
+    monkeypatch.setattr(transactions_module, "_walk", measured)
+    found = transaction(as_frame(spark, events), "host", 1 if step_us < US else 30, leaf_rows)
+    got = sorted((r["host"], r["a"], r["b"], r["event_count"])
+                 for r in found.withColumns({"a": micros("start_time"), "b": micros("end_time")}).collect())
+    assert got == models.transactions(events, 1 if step_us < US else 30)
+    assert max(sizes, default=0) <= 2 * leaf_rows
+
+
 def test_transaction_of_a_regular_stream_keeps_its_phase(spark):
     """Chains entering at different events of a strictly periodic stream never merge."""
     events = [{"seq": i, "us": BASE + i * 3 * US, "host": "a", "raw": "", "value": 1.0} for i in range(400)]
