@@ -61,8 +61,8 @@ def scratch_root(spark: SparkSession) -> str:
 _written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the scratch folder and return the table.
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` once as Parquet (with the writer's ``options``) in the scratch folder and return the table.
 
     Used where several consumers must see the very same rows (ids handed out by position)
     or where recomputing would repeat an expensive stage. Unlike an executor-local cache the
@@ -70,7 +70,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     if _written.get() is not None:
         _written.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
