@@ -9,14 +9,15 @@ The trie is kept as tables, one per depth: (context and symbol as one number, co
 one place, and no context is pruned:
 
 1. Documents are dealt into slices of ``SLICE`` bytes (one longer text makes its own). A slice lists its distinct grams
-   (context and symbol) and words once, with their counts in training documents, and is written beside its texts.
-2. Counts add up over slices; each shorter order is the sum of the longer one. A symbol of a context is a symbol of all its
+   (context and symbol) and words once, with their counts in training documents, in packs by a hash of the gram's first
+   bytes or of the word. Packs are written beside the texts.
+2. Packs are shuffled by bucket and their counts summed; each shorter order is the sum of the longer one. A symbol of a context is a symbol of all its
    suffixes, so exclusion needs three sums per context: all counts, the number of symbols, and the counts
    that these symbols have in the next shorter context.
 3. Every gram that occurs gets its log probability once. Grams seen in training are answered by the longest context; only the others
    descend, one pair of joins per order.
-4. The slices' grams fetch their values by gram and return to their slice, where the texts meet them.
-   A frequent gram is one row per slice, whatever its number of occurrences.
+4. The packs meet the values of their bucket and return to their slice, where the texts meet them. A frequent gram is one entry
+   per slice, whatever its number of occurrences; a bucket with more than ``GROUP`` entries is split by slice.
 
 Defined cases: a null text counts as empty and holds the end only; a null id hashes as empty text; repeated rows are scored alike and
 count as often as they occur; extra columns are ignored; without training documents all symbols are equally likely and
@@ -25,6 +26,7 @@ the base score is 0; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,12 +46,14 @@ ORDER = 5
 START, END = 0xFF, 0xFE
 SYMBOLS = 255
 SLICE = 16 << 20
-BLOCK = 4 << 20
-#: Rows of distinct grams or words written together.
-CHUNK = 1 << 16
-
-SLICED = ("slice bigint, doc_id bigint, held_out boolean, text string, grams array<bigint>, gram_counts array<bigint>, "
-          "words array<string>, word_counts array<bigint>")
+BLOCK = 2 << 20
+#: Entries of packs that one task gathers at most before it sums them up, or answers them.
+GROUP = 8 << 20
+#: Bits of a gram behind the bytes that choose its bucket: neighbours in order stay together.
+LOW_BITS = 24
+
+DEALT = ("slice bigint, bucket int, entries bigint, doc_id bigint, held_out boolean, text string, grams binary, "
+         "counts binary, words array<string>, word_counts array<bigint>")
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
@@ -102,22 +106,31 @@ class Slice:
                                     "n": pa.array(np.append(learned, train.sum()).astype(np.int64))}))
         self.bytes += len(keys)
 
-    def rows(self, number: int) -> Iterator[pa.RecordBatch]:
+    def packs(self, number: int, buckets: int) -> pa.RecordBatch:
         keys, counts = _summed(self.keys, self.counts)
+        bucket = (keys >> LOW_BITS) % buckets
+        order = np.argsort(bucket, kind="stable")
+        keys, counts = keys[order], counts[order]
+        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
         words = pa.concat_tables(self.words).group_by("word").aggregate([("n", "sum")])
-        for at in range(0, max(len(keys), len(words)), CHUNK):
-            some = words.slice(at, CHUNK).combine_chunks()
-            lists = (pa.array(keys[at:at + CHUNK]), pa.array(counts[at:at + CHUNK].astype(np.int64)),
-                     *(c.combine_chunks() for c in (some.column("word"), some.column("n_sum"))))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.string()),
-                 *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists)], NAMES)
+        hashed = np.array([zlib.crc32(w.encode()) % buckets for w in words.column("word").to_pylist()], np.int64)
+        words = words.take(pa.array(np.argsort(hashed, kind="stable")))
+        word_ends = np.searchsorted(np.sort(hashed), np.arange(buckets + 1))
+        lists = [pa.ListArray.from_arrays(pa.array(word_ends.astype(np.int32)), words.column(c).combine_chunks())
+                 for c in ("word", "n_sum")]
+        bounds = list(zip(ends.tolist(), ends[1:].tolist()))
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(np.full(buckets, number)), pa.array(np.arange(buckets, dtype=np.int32)),
+             pa.array(np.diff(ends) + np.diff(word_ends)), pa.nulls(buckets, pa.int64()), pa.nulls(buckets, pa.bool_()),
+             pa.nulls(buckets, pa.string()), pa.array([keys[a:b].tobytes() for a, b in bounds], pa.binary()),
+             pa.array([counts[a:b].astype(np.int64).tobytes() for a, b in bounds], pa.binary()), *lists], NAMES)
+        return batch.filter(pc.greater(batch.column("entries"), 0))
 
 
-NAMES = [x.split()[0] for x in SLICED.split(", ")]
+NAMES = [x.split()[0] for x in DEALT.split(", ")]
 
 
-def _deal(order: int, slice_bytes: int):
+def _deal(order: int, slice_bytes: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         current = Slice(order)
@@ -127,21 +140,53 @@ def _deal(order: int, slice_bytes: int):
                 current.add(texts, ~batch.column("held_out").to_numpy(zero_copy_only=False))
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, number)), batch.column("doc_id"), batch.column("held_out"), texts,
-                     *(pa.nulls(n, pa.list_(kind)) for kind in (pa.int64(), pa.int64(), pa.string(), pa.int64()))], NAMES)
+                    [pa.array(np.full(n, number)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), batch.column("doc_id"),
+                     batch.column("held_out"), texts, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()),
+                     pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int64()))], NAMES)
                 if current.bytes >= slice_bytes:
-                    yield from current.rows(number)
+                    yield current.packs(number, buckets)
                     number, current = number + 1, Slice(order)
         if current.bytes:
-            yield from current.rows(number)
+            yield current.packs(number, buckets)
     return run
 
 
-def dealt(docs: DataFrame, order: int = ORDER, slice_bytes: int = SLICE) -> DataFrame:
-    """Rows of texts and rows of distinct grams and words, by slice; written to the shared folder."""
+def dealt(docs: DataFrame, order: int = ORDER, slice_bytes: int = SLICE, buckets: int | None = None) -> DataFrame:
+    """Rows of texts (without a bucket) and packs of grams and words, by slice; written to the shared folder."""
+    buckets = buckets or _buckets(docs)
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), "text")
     rows = rows.select("doc_id", "text", (~training(F.col("doc_id"))).alias("held_out"))
-    return materialize(rows.mapInArrow(_deal(order, slice_bytes), SLICED), "ppm-slices")
+    return materialize(rows.mapInArrow(_deal(order, slice_bytes, buckets), DEALT), "ppm-slices", compression="zstd")
+
+
+def _buckets(docs: DataFrame) -> int:
+    """As many as the session's shuffles have partitions, which are chosen by the size of the input."""
+    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of packs that come one after another, at most ``GROUP`` entries at a time."""
+    keys, counts, words, held = [], [], [], 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        key, n = _summed(keys, counts)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.nulls(len(key), pa.string()), pa.array(n)], ["key", "word", "n"])
+        table = pa.concat_tables(words).group_by("word").aggregate([("n", "sum")])
+        yield from table.select([0, 1]).rename_columns(["word", "n"]).add_column(
+            0, "key", pa.nulls(len(table), pa.int64())).to_batches()
+
+    for batch in batches:
+        for row in range(batch.num_rows):
+            pack = batch.slice(row, 1)
+            keys.append(np.frombuffer(pack.column("grams")[0].as_buffer(), np.int64))
+            counts.append(np.frombuffer(pack.column("counts")[0].as_buffer(), np.int64))
+            words.append(pa.table({"word": pack.column("words").flatten(), "n": pack.column("word_counts").flatten()}))
+            held += len(keys[-1]) + words[-1].num_rows
+            if held > GROUP:
+                yield from out()
+                keys, counts, words, held = [], [], [], 0
+    if keys:
+        yield from out()
 
 
 def _suffix(key: Column, order: int) -> Column:
@@ -203,14 +248,34 @@ def log_probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return seen.unionByName(rest.select("key", F.when(F.col("done"), F.col("value")).otherwise(F.col("value") + left).alias("value")))
 
 
+def _answer(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Packs with the values of their grams and the counts of their words."""
+    own = right.filter(pc.is_valid(right.column("key")))
+    keys, values = own.column("key").to_numpy(), own.column("value").to_numpy()
+    at = np.argsort(keys)
+    keys, values = keys[at], values[at]
+    own = right.filter(pc.is_valid(right.column("word")))
+    known, counts = own.column("word").combine_chunks(), own.column("n").combine_chunks()
+    found = [values[np.searchsorted(keys, np.frombuffer(raw.as_buffer(), np.int64))].tobytes() for raw in left.column("grams")]
+    words = left.column("words").combine_chunks()
+    n = counts.take(pc.index_in(words.flatten(), known))
+    return pa.table({"slice": left.column("slice"), "grams": left.column("grams"), "values": pa.array(found, pa.binary()),
+                     "words": words, "word_counts": pa.ListArray.from_arrays(words.offsets, n)})
+
+
+ANSWERED = "slice bigint, grams binary, values binary, words array<string>, word_counts array<bigint>"
+
+
 def _score(order: int, total: int, vocabulary: int):
+    def joined(column: pa.ChunkedArray, kind) -> np.ndarray:
+        return np.concatenate([np.frombuffer(raw.as_buffer(), kind) for raw in column])
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = right.filter(pc.is_null(right.column("word")))
-        keys, values = own.column("key").to_numpy(), own.column("value").to_numpy()
+        keys, values = joined(right.column("grams"), np.int64), joined(right.column("values"), np.float64)
         at = np.argsort(keys)
         keys, values = keys[at], values[at]
-        own = right.filter(pc.is_valid(right.column("word")))
-        words, counts = own.column("word").combine_chunks(), own.column("value").to_numpy()
+        words, counts = (right.column(c).combine_chunks().flatten() for c in ("words", "word_counts"))
+        counts = counts.to_numpy()
         end = counts[pc.index(words, "").as_py()]
         out = []
         for whole in left.to_batches():
@@ -220,9 +285,9 @@ def _score(order: int, total: int, vocabulary: int):
                 distinct = pa.array(found).dictionary_encode()
                 value = values[np.searchsorted(keys, distinct.dictionary.to_numpy())][distinct.indices.to_numpy()]
                 score = np.bincount(doc, weights=value, minlength=n)
-                places, codes, own_words = split(texts)
-                count = np.append(counts, 0)[pc.index_in(pa.array(own_words, pa.string()), words).to_numpy()][codes] \
-                    if len(codes) else np.zeros(0)
+                places, codes, own = split(texts)
+                known = pc.index_in(pa.array(own, pa.string()), words).to_numpy(zero_copy_only=False)
+                count = counts[known[codes].astype(np.int64)]
                 of = np.repeat(np.arange(n), np.diff(places))
                 base = np.log10((np.append(count, end) + 1) / (total + vocabulary + 1))
                 out.append(pa.RecordBatch.from_arrays(
@@ -234,21 +299,28 @@ def _score(order: int, total: int, vocabulary: int):
     return run
 
 
-def score(docs: DataFrame, order: int = ORDER, slice_bytes: int = SLICE) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, slice_bytes: int = SLICE, group: int = GROUP) -> DataFrame:
     """One row per document: the log10 probability of its text by the trie, and by its words alone (``base_score``)."""
-    rows = dealt(docs, order, slice_bytes)
-    listed = rows.where("grams is not null")
-    of_grams = listed.select("slice", F.inline(F.arrays_zip("grams", "gram_counts"))).toDF("slice", "key", "n")
-    of_words = listed.select("slice", F.inline(F.arrays_zip("words", "word_counts"))).toDF("slice", "word", "n")
-    counts = materialize(of_grams.groupBy("key").agg(F.sum("n").alias("n")), "ppm-grams")
-    words = materialize(of_words.groupBy("word").agg(F.sum("n").alias("n")), "ppm-words")
+    buckets = _buckets(docs)
+    rows = dealt(docs, order, slice_bytes, buckets)
+    packs = rows.where("bucket is not null")
+    sums = materialize(packs.select("bucket", "grams", "counts", "words", "word_counts").repartition("bucket")
+                       .mapInArrow(_sum, "key bigint, word string, n bigint"), "ppm-sums")
+    counts = materialize(sums.where("key is not null").groupBy("key").agg(F.sum("n").alias("n")), "ppm-grams")
+    words = materialize(sums.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "ppm-words")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-    values = materialize(log_probabilities(counts, order), "ppm-values")
-    answers = of_grams.select("slice", "key").join(values, "key").select(
-        "slice", "key", F.lit(None).cast("string").alias("word"), "value")
-    answers = answers.unionByName(of_words.select("slice", "word").join(words, "word").select(
-        "slice", F.lit(None).cast("bigint").alias("key"), "word", F.col("n").cast("double").alias("value")))
-    texts = rows.where("grams is null").select("slice", "doc_id", "held_out", "text")
+    values = log_probabilities(counts, order).select(
+        F.pmod(F.shiftright("key", LOW_BITS), F.lit(buckets)).cast("int").alias("bucket"), "key", "value",
+        F.lit(None).cast("string").alias("word"), F.lit(None).cast("bigint").alias("n"))
+    values = values.unionByName(words.select(
+        F.pmod(F.crc32("word"), F.lit(buckets)).cast("int").alias("bucket"), F.lit(None).cast("bigint").alias("key"),
+        F.lit(None).cast("double").alias("value"), "word", "n"))
+    largest = packs.groupBy("bucket").agg(F.sum("entries").alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = -(-largest // group) or 1
+    asked = packs.select("bucket", F.pmod("slice", F.lit(parts)).alias("part"), "slice", "grams", "words")
+    told = values.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+    answers = asked.groupBy("bucket", "part").cogroup(told.groupBy("bucket", "part")).applyInArrow(_answer, ANSWERED)
+    texts = rows.where("bucket is null").select("slice", "doc_id", "held_out", "text")
     scored = texts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(
         _score(order, int(totals["n"]), int(totals["v"])), SCORED)
     return scored.withColumn("train_tokens", F.lit(int(totals["n"])).cast("bigint"))

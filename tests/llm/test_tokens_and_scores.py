@@ -125,12 +125,18 @@ def test_no_training_documents(spark):
     assert [r["score"] for r in got] == pytest.approx([4 * math.log10(1 / 255)] * 3)
 
 
-def test_frequent_grams_are_one_row_per_slice(spark):
+def test_frequent_grams_are_one_entry_per_slice(spark):
     rows = [(i, "the cat sat on the mat " * 50, "en", "s") for i in range(300)]
     dealt = ppm.dealt(cases.docs(spark, rows).coalesce(1), slice_bytes=100_000)
     slices = dealt.select("slice").distinct().count()
     assert 3 <= slices <= 4
-    assert dealt.agg(F.sum(F.size("grams"))).where("1 = 1").first()[0] < slices * 60
+    assert dealt.agg(F.sum("entries")).first()[0] < slices * 60
+
+
+def test_large_buckets_are_split(spark):
+    rows = [(i, text, "en", "s") for i, text in enumerate(random_texts(5, 200))]
+    docs = cases.docs(spark, rows).repartition(5)
+    assert sorted(map(str, ppm.score(docs, 3, 300, group=50).collect())) == sorted(map(str, ppm.score(docs, 3, 300).collect()))
 
 
 # --- alignment ---------------------------------------------------------------
