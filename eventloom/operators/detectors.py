@@ -96,12 +96,15 @@ def detect_spikes(events: DataFrame, window_seconds: int = 60, threshold: int =
     """
     if "time" not in events.columns:
         return _empty(events, SPIKE_SCHEMA)
-    timed = _timed(events).select(
-        micros(F.col("time")).alias("us"),
-        (F.col("host").cast("string") if "host" in events.columns else F.lit("unknown")).alias("host"),
-    )
+    host = F.col("host").cast("string") if "host" in events.columns else F.lit("unknown")
+    timed = _timed(events).select(micros(F.col("time")).alias("us"), host.alias("host"), F.lit(1).cast("bigint").alias("n"))
+    return spikes_from(timed, window_seconds, threshold)
+
+
+def spikes_from(timed: DataFrame, window_seconds: int, threshold: int) -> DataFrame:
+    """Spikes of rows ``us, host, n``, each of which stands for ``n`` events."""
     timed = near_bursts(timed, window_seconds, threshold)
-    times = timed.groupBy("us").agg(F.count(F.lit(1)).alias("n"))
+    times = timed.groupBy("us").agg(F.sum("n").alias("n"))
     anchors = (
         forward_counts(times, window_seconds, threshold)
         .groupBy(floor_div(F.col("us"), 60 * US).alias("minute"))
@@ -166,7 +169,10 @@ def detect_repeated_errors(events: DataFrame) -> DataFrame:
     )
 
 
-def detect_raw_prefixes(events: DataFrame, length: int = 60, top: int = 10) -> DataFrame:
+TOP_PREFIXES = 10
+
+
+def detect_raw_prefixes(events: DataFrame, length: int = 60, top: int = TOP_PREFIXES) -> DataFrame:
     """The ten most frequent repeated line beginnings."""
     if "_raw" not in events.columns:
         return _empty(events, PREFIX_SCHEMA)
@@ -180,11 +186,15 @@ def detect_raw_prefixes(events: DataFrame, length: int = 60, top: int = 10) -> D
 
 
 def detect_patterns(events: DataFrame) -> DataFrame:
-    repeated = detect_repeated_errors(events).select(
+    return patterns_of(detect_repeated_errors(events), detect_raw_prefixes(events))
+
+
+def patterns_of(repeated: DataFrame, prefixes: DataFrame) -> DataFrame:
+    repeated = repeated.select(
         F.lit("repeated_error").alias("type"), "sourcetype", "error_code",
         F.lit(None).cast("string").alias("prefix"), "count",
     )
-    prefixes = detect_raw_prefixes(events).select(
+    prefixes = prefixes.select(
         F.lit("repeated_raw_prefix").alias("type"), F.lit(None).cast("string").alias("sourcetype"),
         F.lit(None).cast("string").alias("error_code"), "prefix", "count",
     )
@@ -202,8 +212,13 @@ def correlate_events(events: DataFrame, window_seconds: int = 60) -> DataFrame:
     """
     if "time" not in events.columns:
         return _empty(events, SESSION_SCHEMA)
-    gap_us = window_seconds * US
-    cells = (
+    # used by the axis, its prefix and the join back: written once instead of read from the events each time
+    return sessions_from(materialize(session_cells(events, window_seconds), "session-cells"), window_seconds)
+
+
+def session_cells(events: DataFrame, window_seconds: int) -> DataFrame:
+    """``cell, host, sourcetype, first_us, last_us, n`` of the timed events; tables of cells add up to those of all events."""
+    return (
         _timed(events)
         .select(
             micros(F.col("time")).alias("us"),
@@ -212,11 +227,14 @@ def correlate_events(events: DataFrame, window_seconds: int = 60) -> DataFrame:
                 for c in ("host", "sourcetype")
             ],
         )
-        .groupBy(floor_div(F.col("us"), max(gap_us, 1)).alias("cell"), "host", "sourcetype")
+        .groupBy(floor_div(F.col("us"), max(window_seconds * US, 1)).alias("cell"), "host", "sourcetype")
         .agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count(F.lit(1)).alias("n"))
     )
-    # used by the axis, its prefix and the join back: written once instead of read from the events each time
-    cells = materialize(cells, "session-cells")
+
+
+def sessions_from(cells: DataFrame, window_seconds: int) -> DataFrame:
+    """Cascades of written cells, of which several may be of one time cell, host and sourcetype."""
+    gap_us = window_seconds * US
     axis = cells.groupBy("cell").agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
     numbered = gap_sessions(axis, gap_us).select("cell", "session")
     groups = (
@@ -421,7 +439,12 @@ def severity_summary(events: DataFrame, tests: Sequence[Column] | None = None, e
         order = sorted(named, key=lambda name: (SEVERITY_LEVELS.index(name.removesuffix("ING")), -len(name)))
         first = F.coalesce(*(F.when(named[name], F.lit(name)) for name in order))
         named = {name: first == name for name in SEVERITY_LEVELS}
-    totals = events.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(test).alias(name) for name, test in named.items()])
+    return severity_from(
+        events.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(test).alias(name) for name, test in named.items()]))
+
+
+def severity_from(totals: DataFrame) -> DataFrame:
+    """Levels from one row with the ``total`` and the count of each level."""
     unknown = F.col("total") - sum((F.col(name) for name in SEVERITY_LEVELS[1:]), F.col(SEVERITY_LEVELS[0]))
     pairs = [F.struct(F.lit(name).alias("level"), F.col(name).alias("count")) for name in SEVERITY_LEVELS]
     pairs.append(F.struct(F.lit("UNKNOWN").alias("level"), unknown.alias("count")))

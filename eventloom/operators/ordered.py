@@ -63,7 +63,7 @@ def _default_zero(df: DataFrame, out: str, how: str) -> DataFrame:
 
 
 def near_bursts(timed: DataFrame, window_seconds: int, threshold: int) -> DataFrame:
-    """Only those rows of ``timed`` (with ``us``) that a window of ``threshold`` events can touch.
+    """Only those rows of ``timed`` (``us``, and ``n`` events each) that a window of ``threshold`` events can touch.
 
     On cells as wide as the window a window lies in two neighbouring cells, so their counts bound it.
     The counts come from one map-side combined pass over the time column. They are written, so Spark knows
@@ -73,7 +73,7 @@ def near_bursts(timed: DataFrame, window_seconds: int, threshold: int) -> DataFr
         return timed
     width = window_seconds * US
     cell = floor_div(F.col("us"), width)
-    counts = materialize(timed.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")), "cells")
+    counts = materialize(timed.groupBy(cell.alias("cell")).agg(F.sum("n").alias("n")), "cells")
     spread = counts.select("cell", "n", F.lit(0).cast("bigint").alias("next_n")).unionByName(
         counts.select((F.col("cell") - 1).alias("cell"), F.lit(0).cast("bigint").alias("n"), F.col("n").alias("next_n"))
     )
