@@ -36,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.llm import packs
 from eventloom.llm.frames import pick, slices
 from eventloom.llm.words import split
 from eventloom.session import materialize
@@ -53,7 +54,7 @@ GROUP = 8 << 20
 LOW_BITS = 24
 
 DEALT = ("slice bigint, bucket int, entries bigint, doc_id bigint, held_out boolean, text string, grams binary, "
-         "counts binary, words array<string>, word_counts array<bigint>")
+         "counts binary, words binary, word_counts binary")
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
@@ -106,24 +107,26 @@ class Slice:
                                     "n": pa.array(np.append(learned, train.sum()).astype(np.int64))}))
         self.bytes += len(keys)
 
-    def packs(self, number: int, buckets: int) -> pa.RecordBatch:
+    def packed(self, number: int, buckets: int) -> pa.RecordBatch:
         keys, counts = _summed(self.keys, self.counts)
         bucket = (keys >> LOW_BITS) % buckets
         order = np.argsort(bucket, kind="stable")
         keys, counts = keys[order], counts[order]
         ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        words = pa.concat_tables(self.words).group_by("word").aggregate([("n", "sum")])
-        hashed = np.array([zlib.crc32(w.encode()) % buckets for w in words.column("word").to_pylist()], np.int64)
-        words = words.take(pa.array(np.argsort(hashed, kind="stable")))
-        word_ends = np.searchsorted(np.sort(hashed), np.arange(buckets + 1))
-        lists = [pa.ListArray.from_arrays(pa.array(word_ends.astype(np.int32)), words.column(c).combine_chunks())
-                 for c in ("word", "n_sum")]
-        bounds = list(zip(ends.tolist(), ends[1:].tolist()))
+        table = pa.concat_tables(self.words).group_by("word").aggregate([("n", "sum")])
+        words, word_counts = table.column("word").to_numpy(), table.column("n_sum").to_numpy()
+        hashed = np.array([zlib.crc32(w.encode()) % buckets for w in words], np.int64)
+        order = np.lexsort((words, hashed))
+        words, word_counts = words[order], word_counts[order]
+        word_ends = np.searchsorted(hashed[order], np.arange(buckets + 1))
+        bounds, word_bounds = (list(zip(x.tolist(), x[1:].tolist())) for x in (ends, word_ends))
         batch = pa.RecordBatch.from_arrays(
             [pa.array(np.full(buckets, number)), pa.array(np.arange(buckets, dtype=np.int32)),
              pa.array(np.diff(ends) + np.diff(word_ends)), pa.nulls(buckets, pa.int64()), pa.nulls(buckets, pa.bool_()),
-             pa.nulls(buckets, pa.string()), pa.array([keys[a:b].tobytes() for a, b in bounds], pa.binary()),
-             pa.array([counts[a:b].astype(np.int64).tobytes() for a, b in bounds], pa.binary()), *lists], NAMES)
+             pa.nulls(buckets, pa.string()), *(pa.array(column, pa.binary()) for column in (
+                 [packs.ascending(keys[a:b]) for a, b in bounds], [packs.numbers(counts[a:b]) for a, b in bounds],
+                 [packs.words(words[a:b]) for a, b in word_bounds],
+                 [packs.numbers(word_counts[a:b]) for a, b in word_bounds]))], NAMES)
         return batch.filter(pc.greater(batch.column("entries"), 0))
 
 
@@ -141,13 +144,12 @@ def _deal(order: int, slice_bytes: int, buckets: int):
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, number)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), batch.column("doc_id"),
-                     batch.column("held_out"), texts, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()),
-                     pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int64()))], NAMES)
+                     batch.column("held_out"), texts, *(pa.nulls(n, pa.binary()) for _ in range(4))], NAMES)
                 if current.bytes >= slice_bytes:
-                    yield current.packs(number, buckets)
+                    yield current.packed(number, buckets)
                     number, current = number + 1, Slice(order)
         if current.bytes:
-            yield current.packs(number, buckets)
+            yield current.packed(number, buckets)
     return run
 
 
@@ -176,11 +178,10 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             0, "key", pa.nulls(len(table), pa.int64())).to_batches()
 
     for batch in batches:
-        for row in range(batch.num_rows):
-            pack = batch.slice(row, 1)
-            keys.append(np.frombuffer(pack.column("grams")[0].as_buffer(), np.int64))
-            counts.append(np.frombuffer(pack.column("counts")[0].as_buffer(), np.int64))
-            words.append(pa.table({"word": pack.column("words").flatten(), "n": pack.column("word_counts").flatten()}))
+        for grams, n, word, word_n in zip(*(batch.column(c).to_pylist() for c in ("grams", "counts", "words", "word_counts"))):
+            keys.append(packs.read_ascending(grams))
+            counts.append(packs.read_numbers(n))
+            words.append(pa.table({"word": packs.read_words(word), "n": packs.read_numbers(word_n)}))
             held += len(keys[-1]) + words[-1].num_rows
             if held > GROUP:
                 yield from out()
@@ -249,33 +250,37 @@ def log_probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def _answer(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Packs with the values of their grams and the counts of their words."""
+    """The values of each pack's grams and the counts of its words, in the pack's order."""
     own = right.filter(pc.is_valid(right.column("key")))
     keys, values = own.column("key").to_numpy(), own.column("value").to_numpy()
     at = np.argsort(keys)
     keys, values = keys[at], values[at]
     own = right.filter(pc.is_valid(right.column("word")))
-    known, counts = own.column("word").combine_chunks(), own.column("n").combine_chunks()
-    found = [values[np.searchsorted(keys, np.frombuffer(raw.as_buffer(), np.int64))].tobytes() for raw in left.column("grams")]
-    words = left.column("words").combine_chunks()
-    n = counts.take(pc.index_in(words.flatten(), known))
-    return pa.table({"slice": left.column("slice"), "grams": left.column("grams"), "values": pa.array(found, pa.binary()),
-                     "words": words, "word_counts": pa.ListArray.from_arrays(words.offsets, n)})
+    known, counts = own.column("word").combine_chunks(), own.column("n").to_numpy()
+    found = [packs.numbers(values[np.searchsorted(keys, packs.read_ascending(raw))]) for raw in left.column("grams").to_pylist()]
+    held = [packs.numbers(counts[pc.index_in(packs.read_words(raw), known).to_numpy().astype(np.int64)])
+            for raw in left.column("words").to_pylist()]
+    return pa.table({"slice": left.column("slice"), "bucket": left.column("bucket"),
+                     "values": pa.array(found, pa.binary()), "known": pa.array(held, pa.binary())})
 
 
-ANSWERED = "slice bigint, grams binary, values binary, words array<string>, word_counts array<bigint>"
+ANSWERED = "slice bigint, bucket int, values binary, known binary"
 
 
 def _score(order: int, total: int, vocabulary: int):
-    def joined(column: pa.ChunkedArray, kind) -> np.ndarray:
-        return np.concatenate([np.frombuffer(raw.as_buffer(), kind) for raw in column])
+    def told(rows: pa.Table) -> Iterator[tuple]:
+        return zip(*(rows.sort_by("bucket").column(c).to_pylist() for c in rows.column_names[2:]))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, values = joined(right.column("grams"), np.int64), joined(right.column("values"), np.float64)
+        packed = left.filter(pc.is_valid(left.column("bucket"))).select(["slice", "bucket", "grams", "words"])
+        asked, answers = list(told(packed)), list(told(right))
+        keys = np.concatenate([packs.read_ascending(g) for g, _ in asked])
+        values = np.concatenate([packs.read_numbers(v, np.float64) for v, _ in answers])
+        words = pa.concat_arrays([packs.read_words(w) for _, w in asked])
+        counts = np.concatenate([packs.read_numbers(n) for _, n in answers])
+        left = left.filter(pc.is_null(left.column("bucket")))
         at = np.argsort(keys)
         keys, values = keys[at], values[at]
-        words, counts = (right.column(c).combine_chunks().flatten() for c in ("words", "word_counts"))
-        counts = counts.to_numpy()
         end = counts[pc.index(words, "").as_py()]
         out = []
         for whole in left.to_batches():
@@ -303,8 +308,8 @@ def score(docs: DataFrame, order: int = ORDER, slice_bytes: int = SLICE, group:
     """One row per document: the log10 probability of its text by the trie, and by its words alone (``base_score``)."""
     buckets = _buckets(docs)
     rows = dealt(docs, order, slice_bytes, buckets)
-    packs = rows.where("bucket is not null")
-    sums = materialize(packs.select("bucket", "grams", "counts", "words", "word_counts").repartition("bucket")
+    dealt_packs = rows.where("bucket is not null")
+    sums = materialize(dealt_packs.select("bucket", "grams", "counts", "words", "word_counts").repartition("bucket")
                        .mapInArrow(_sum, "key bigint, word string, n bigint"), "ppm-sums")
     counts = materialize(sums.where("key is not null").groupBy("key").agg(F.sum("n").alias("n")), "ppm-grams")
     words = materialize(sums.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "ppm-words")
@@ -315,12 +320,12 @@ def score(docs: DataFrame, order: int = ORDER, slice_bytes: int = SLICE, group:
     values = values.unionByName(words.select(
         F.pmod(F.crc32("word"), F.lit(buckets)).cast("int").alias("bucket"), F.lit(None).cast("bigint").alias("key"),
         F.lit(None).cast("double").alias("value"), "word", "n"))
-    largest = packs.groupBy("bucket").agg(F.sum("entries").alias("n")).agg(F.max("n")).first()[0] or 0
+    largest = dealt_packs.groupBy("bucket").agg(F.sum("entries").alias("n")).agg(F.max("n")).first()[0] or 0
     parts = -(-largest // group) or 1
-    asked = packs.select("bucket", F.pmod("slice", F.lit(parts)).alias("part"), "slice", "grams", "words")
+    asked = dealt_packs.select("bucket", F.pmod("slice", F.lit(parts)).alias("part"), "slice", "grams", "words")
     told = values.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
     answers = asked.groupBy("bucket", "part").cogroup(told.groupBy("bucket", "part")).applyInArrow(_answer, ANSWERED)
-    texts = rows.where("bucket is null").select("slice", "doc_id", "held_out", "text")
+    texts = rows.select("slice", "bucket", "doc_id", "held_out", "text", "grams", "words")
     scored = texts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(
         _score(order, int(totals["n"]), int(totals["v"])), SCORED)
     return scored.withColumn("train_tokens", F.lit(int(totals["n"])).cast("bigint"))
