@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from checks.content import content, content_of_json
 from eventloom.config import PairPattern, Params
 from eventloom.functions import relative_time as relative
 from eventloom.operators import areas as A
@@ -20,6 +21,7 @@ from eventloom.operators import saturation as S
 from eventloom.operators.transaction import transaction as transaction_operator
 from eventloom.plans import findings as P
 from eventloom.plans import history as H
+from eventloom.plans.states import investigate
 from eventloom.session import scratch_root
 from eventloom.sources import catalog, readers, tables
 from eventloom.sources.sample import log_columns, sample_log, table
@@ -301,9 +303,7 @@ def area_first_occurrence(spark, sf):
 
 @query
 def area_dispatch(spark, sf):
-    found = A.area_dispatch(sample_log(spark, sf), ["host_isolation", "nowhere", "first_occurrence"], ASK)
-    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("area"), "n") for name, df in found.items()]
-    return parts[0].unionByName(parts[1])
+    return content(A.area_dispatch(sample_log(spark, sf), [*A.AREAS, "nowhere", " "], ASK))
 
 
 @query
@@ -332,8 +332,7 @@ def event_count(spark, sf):
 
 @query
 def build_findings(spark, sf):
-    found = P.findings_json(P.build_findings(sample_log(spark, sf), PARAMS))
-    return found.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    return content(P.build_findings(sample_log(spark, sf), PARAMS))
 
 
 @query
@@ -356,10 +355,8 @@ def findings_long(spark, sf):
 
 @query
 def findings_json(spark, sf):
-    found = P.findings_json({k: v for k, v in bundle(spark, sf).items() if k in ("host_ranking", "severity", "patterns")})
-    field = lambda name: F.get_json_object("body_json", f"$.{name}")
-    return found.select("type", F.coalesce(field("host"), field("level"), field("error_code"), field("prefix")).alias("name"),
-                        F.coalesce(field("error_count"), field("count")).cast("bigint").alias("n"))
+    found = bundle(spark, sf)
+    return content_of_json(found, P.findings_json(found), P.JSON_OPTIONS)
 
 
 @query
@@ -380,15 +377,17 @@ def findings_report(spark, sf):
 @query
 def analyze_events(spark, sf):
     found, _ = P.analyze_events(text_times(spark, sf), PARAMS)
-    return P.findings_counts(found)
+    return content(found)
 
 
 @query
 def grow_investigation(spark, sf):
+    """Three steps whose events lie between one another in time; earlier events are not read again."""
     log = text_times(spark, sf)
-    start = N.prepare_events(log.where("seq % 2 = 0"))
-    _, grown, found = P.grow_investigation(start, log.where("seq % 2 = 1"), PARAMS)
-    return P.findings_counts({k: found[k] for k in ("cert_anomalies", "host_ranking", "slow_queries", "patterns")})
+    state = investigate(N.prepare_events(log.where("seq % 3 = 0")), PARAMS)
+    for step in (1, 2):
+        _, state, found = state.grow(log.where(F.col("seq") % 3 == step))
+    return content(found)
 
 
 # --- history ----------------------------------------------------------------
@@ -596,10 +595,10 @@ def load_run_events(spark, sf):
 @query
 def write_findings(spark, sf):
     root = scratch(spark)
-    found = {"host_ranking": D.host_error_ranking(sample_log(spark, sf)), "patterns": D.detect_patterns(sample_log(spark, sf))}
+    found = bundle(spark, sf)
     tables.write_findings(found, root, "run-1")
-    stored = spark.read.parquet(f"{root}/findings")
-    return stored.groupBy("run_id", "type", "severity", "host").agg(F.count(F.lit(1)).alias("n"))
+    stored = spark.read.parquet(f"{root}/findings").where("run_id = 'run-1'")
+    return content_of_json({k: v for k, v in found.items() if k not in P.SINGLE}, stored, P.JSON_OPTIONS)
 
 
 @query

@@ -1,5 +1,7 @@
 """ANSI SQL (DuckDB) equivalents of the registered queries, written independently of the Spark plans."""
 
+from checks.content import content_sql
+
 LOG = """log as (
  select seq, time, host, sourcetype, source, app, error_code, duration_ms, active_threads, status, uri, _raw from (
   select event_id as seq, ts as time,
@@ -263,14 +265,16 @@ ORACLE |= {
         + f" from log where sourcetype = 'app:error' and {CODES} group by 1"),
     "area_first_occurrence": _log(f"""select time, host, sourcetype, null as message from log
       where sourcetype = 'app:error' and {CODES} order by time, seq limit 1"""),
-    "area_dispatch": _log(f"""select 'host_isolation' as area, count(*) as n from (
-        select distinct host, sourcetype, error_code from log where host in ({HOSTS}) and {_between('0 hour', '2 hour')})
-      union all select 'first_occurrence', count(*) from (
-        select 1 from log where sourcetype = 'app:error' and {CODES} limit 1)"""),
     "error_filter": _log("select seq, error_code from log where error_code = 'E1' or error_code = 'E2'"),
     "event_count": "select count(*) as event_count from events",
 }
 
+ORACLE["area_dispatch"] = content_sql({area: ORACLE[f"area_{area}"] for area in (
+    "api_errors", "cascading_failure", "host_isolation", "timeline", "first_occurrence")} | {
+    "database_slowdown": _log(f"""select host, round(avg(duration_ms), 6) as avg_ms, max(duration_ms) as max_ms,
+      count(*) as "count" from log where host in ({HOSTS}) and sourcetype = 'app:error' and duration_ms > 1000
+      and {_between('0 hour', '1 hour')} group by host""")})
+
 # --- findings -----------------------------------------------------------------
 
 BUNDLE = {
@@ -295,29 +299,28 @@ _WITH_HOST = {"cert_anomalies", "host_ranking", "slow_queries", "numeric_anomali
 _WITH_TYPE = {"patterns", "cert_anomalies"}
 
 
-def _long(names, run: str = "") -> str:
+def _long(names) -> str:
     parts = []
     for n in names:
         severity = "type" if n in _WITH_TYPE else "''"
         host = "host" if n in _WITH_HOST else "''"
         parts.append(f"select '{n}' as kind, {severity} as severity, {host} as host from {_found(n)}")
-    lead = f"'{run}' as run_id, " if run else ""
-    return f"select {lead}kind as type, severity, host, count(*) as n from ({' union all '.join(parts)}) group by all"
+    return f"select kind as type, severity, host, count(*) as n from ({' union all '.join(parts)}) group by all"
+
 
+WHOLE = {name: ORACLE[query] for name, query in BUNDLE.items()} | {
+    "severity": ORACLE["severity_summary"], "event_count": ORACLE["event_count"]}
 
 _LEVELS = f"(select coalesce(max(\"count\") filter (level = '{{0}}'), 0) from ({ORACLE['severity_summary']}))"
 
 _CERT_LINE = "concat('[', host, '] ', replace(matched_keywords, ',', ', '), ' at ', " + _ISO.format("time") + ")"
 
 ORACLE |= {
-    "build_findings": f"""select * from ({_counts([n for n in BUNDLE if n != 'event_pairs'])}) where n > 0
-      union all select 'severity', count(*) from {_found('severity_summary')} union all select 'event_count', 1""",
+    "build_findings": content_sql({n: sql for n, sql in WHOLE.items() if n != "event_pairs"}),
     "findings_counts": _counts(BUNDLE),
     "findings_long": _long(BUNDLE),
     "shared_findings": _long(BUNDLE),
-    "findings_json": f"""select 'host_ranking' as type, host as name, error_count as n from {_found('host_ranking')}
-      union all select 'severity', level, "count" from {_found('severity_summary')}
-      union all select 'patterns', coalesce(error_code, prefix), "count" from {_found('patterns')}""",
+    "findings_json": content_sql(WHOLE),
     "run_summary": f"""select cast((select sum(n) from ({_counts(
         ['spikes', 'cert_anomalies', 'patterns', 'slow_queries', 'numeric_anomalies', 'event_pairs'])})) as bigint)
         as n_findings, {_LEVELS.format('CRITICAL')} as critical, {_LEVELS.format('ERROR')} as error,
@@ -373,11 +376,7 @@ def _on_text(name: str) -> str:
     log = _TEXT_LOG
     if name in _NEED_TIME:
         log = log.replace("join times t using (seq))", "join times t using (seq) where t.time is not null)")
-    return ORACLE[BUNDLE[name]].replace(LOG, log, 1)
-
-
-def _text_counts(names) -> str:
-    return " union all ".join(f"select '{n}' as type, count(*) as n from ({_on_text(n)})" for n in names)
+    return WHOLE[name].replace(LOG, log, 1)
 
 
 # --- history ------------------------------------------------------------------
@@ -447,8 +446,8 @@ ORACLE |= {
     "investigation_status": f"""with {REPORTS} select id, case when c = 0 then 'High' else 'Medium' end as confidence,
       case when c = 0 or id % 100 % 4 + 1 >= 3 or id % 3 = 0 or id % 7 = 0 then 'done' else 'continue' end as status
       from reports""",
-    "analyze_events": _text_counts(BUNDLE),
-    "grow_investigation": _text_counts(["cert_anomalies", "host_ranking", "slow_queries", "patterns"]),
+    "analyze_events": content_sql({name: _on_text(name) for name in WHOLE}),
+    "grow_investigation": content_sql({name: _on_text(name) for name in WHOLE if name != "event_pairs"}),
 }
 
 # --- sources, sinks, catalogue --------------------------------------------------
@@ -482,7 +481,7 @@ ORACLE |= {
       from log where time < timestamp '2024-01-12 12:00:00'"""),
     "write_events": _log("select 'run-1' as run_id, cast(seq as varchar) as _time, host, app, uri, status from log"),
     "load_run_events": _log("""select cast(seq as varchar) as _time, host, _raw, seq, duration_ms, error_code from log"""),
-    "write_findings": _long(["host_ranking", "patterns"], run="run-1"),
+    "write_findings": content_sql({name: ORACLE[query] for name, query in BUNDLE.items()}),
     "write_alerts": _log("""select 'watch' as run_id, case when status >= 500 then 'critical' else 'warning' end as severity,
       concat('HTTP ', status, ' on ', host, ' ', uri) as summary, count(*) as n from log where status >= 400 group by all"""),
     "schema_catalog_upsert": f"with {_KINDS} " + _MERGED.format("(select * from seen union all select * from cols)"),

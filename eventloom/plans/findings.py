@@ -29,6 +29,9 @@ from eventloom.session import materialize
 
 Findings = dict[str, DataFrame]
 
+# JSON bodies keep all digits of a time
+JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
 # bundle entries that are not lists of findings
 SINGLE = ("severity", "event_count")
 
@@ -140,7 +143,7 @@ def findings_long(findings: Findings) -> DataFrame:
             F.lit(kind).alias("type"),
             _first_text(found, ("severity", "type")).alias("severity"),
             _first_text(found, ("host",)).alias("host"),
-            F.to_json(F.struct("*")).alias("body_json"),
+            F.to_json(F.struct("*"), JSON_OPTIONS).alias("body_json"),
         )
         for kind, found in findings.items()
         if kind not in SINGLE
@@ -159,7 +162,7 @@ def _first_text(found: DataFrame, names: tuple[str, ...]) -> Column:
 def findings_json(findings: Findings) -> DataFrame:
     """The whole bundle as JSON rows, with the severity counts and the event count."""
     single = [
-        findings[kind].select(F.lit(kind).alias("type"), F.to_json(F.struct("*")).alias("body_json"))
+        findings[kind].select(F.lit(kind).alias("type"), F.to_json(F.struct("*"), JSON_OPTIONS).alias("body_json"))
         for kind in SINGLE
         if kind in findings
     ]
