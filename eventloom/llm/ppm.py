@@ -48,6 +48,7 @@ START, END = 0xFF, 0xFE
 SYMBOLS = 255
 SLICE = 16 << 20
 BLOCK = 2 << 20
+CHUNK = 1 << 16
 #: Entries of packs that one task gathers at most before it sums them up, or answers them.
 GROUP = 8 << 20
 #: Bits of a gram behind the bytes that choose its bucket: neighbours in order stay together.
@@ -85,11 +86,21 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return key[first], np.add.reduceat(count, first) if len(first) else count[:0]
 
 
+def _counted(tables: list[pa.Table]) -> pa.Table:
+    """Distinct words with the sums of their counts."""
+    return pa.concat_tables(tables).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+
+def _chunks(column: pa.Array) -> Iterator[pa.Array]:
+    for at in range(0, len(column), CHUNK):
+        yield column.slice(at, CHUNK)
+
+
 class Slice:
     """What the texts of one slice hold, gathered block by block."""
 
     def __init__(self, order: int):
-        self.order, self.bytes = order, 0
+        self.order, self.bytes, self.distinct = order, 0, 0
         self.keys: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self.words: list[pa.Table] = []
@@ -106,6 +117,11 @@ class Slice:
         self.words.append(pa.table({"word": pa.array([*words, ""], pa.string()),
                                     "n": pa.array(np.append(learned, train.sum()).astype(np.int64))}))
         self.bytes += len(keys)
+        # what was gathered is summed up whenever it has doubled
+        if sum(map(len, self.keys)) > 2 * self.distinct + CHUNK:
+            self.keys, self.counts = ([x] for x in _summed(self.keys, self.counts))
+            self.words = [_counted(self.words)]
+            self.distinct = len(self.keys[0])
 
     def packed(self, number: int, buckets: int) -> pa.RecordBatch:
         keys, counts = _summed(self.keys, self.counts)
@@ -113,11 +129,12 @@ class Slice:
         order = np.argsort(bucket, kind="stable")
         keys, counts = keys[order], counts[order]
         ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        table = pa.concat_tables(self.words).group_by("word").aggregate([("n", "sum")])
-        words, word_counts = table.column("word").to_numpy(), table.column("n_sum").to_numpy()
-        hashed = np.array([zlib.crc32(w.encode()) % buckets for w in words], np.int64)
-        order = np.lexsort((words, hashed))
-        words, word_counts = words[order], word_counts[order]
+        table = _counted(self.words)
+        hashed = np.concatenate([np.fromiter((zlib.crc32(w.encode()) % buckets for w in chunk.to_pylist()), np.int64, len(chunk))
+                                 for chunk in _chunks(table.column("word").combine_chunks())])
+        order = np.argsort(hashed, kind="stable")
+        table = table.take(pa.array(order))
+        words, word_counts = table.column("word").combine_chunks(), table.column("n").to_numpy()
         word_ends = np.searchsorted(hashed[order], np.arange(buckets + 1))
         bounds, word_bounds = (list(zip(x.tolist(), x[1:].tolist())) for x in (ends, word_ends))
         batch = pa.RecordBatch.from_arrays(
@@ -125,7 +142,7 @@ class Slice:
              pa.array(np.diff(ends) + np.diff(word_ends)), pa.nulls(buckets, pa.int64()), pa.nulls(buckets, pa.bool_()),
              pa.nulls(buckets, pa.string()), *(pa.array(column, pa.binary()) for column in (
                  [packs.ascending(keys[a:b]) for a, b in bounds], [packs.numbers(counts[a:b]) for a, b in bounds],
-                 [packs.words(words[a:b]) for a, b in word_bounds],
+                 [packs.words(words[a:b].to_pylist()) for a, b in word_bounds],
                  [packs.numbers(word_counts[a:b]) for a, b in word_bounds]))], NAMES)
         return batch.filter(pc.greater(batch.column("entries"), 0))
 
@@ -148,6 +165,7 @@ def _deal(order: int, slice_bytes: int, buckets: int):
                 if current.bytes >= slice_bytes:
                     yield current.packed(number, buckets)
                     number, current = number + 1, Slice(order)
+                    pa.default_memory_pool().release_unused()
         if current.bytes:
             yield current.packed(number, buckets)
     return run
@@ -173,9 +191,8 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> Iterator[pa.RecordBatch]:
         key, n = _summed(keys, counts)
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.nulls(len(key), pa.string()), pa.array(n)], ["key", "word", "n"])
-        table = pa.concat_tables(words).group_by("word").aggregate([("n", "sum")])
-        yield from table.select([0, 1]).rename_columns(["word", "n"]).add_column(
-            0, "key", pa.nulls(len(table), pa.int64())).to_batches()
+        table = _counted(words)
+        yield from table.add_column(0, "key", pa.nulls(len(table), pa.int64())).to_batches()
 
     for batch in batches:
         for grams, n, word, word_n in zip(*(batch.column(c).to_pylist() for c in ("grams", "counts", "words", "word_counts"))):
@@ -300,6 +317,7 @@ def _score(order: int, total: int, vocabulary: int):
                      pa.array(np.bincount(of, weights=count > 0, minlength=n).astype(np.int64) + int(end > 0)),
                      pa.array(np.bincount(of, weights=base[:-1], minlength=n) + base[-1]), pa.array(score)],
                     [x.split()[0] for x in SCORED.split(", ")]))
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(out)
     return run
 
