@@ -26,6 +26,7 @@ from eventloom.session import scratch_root
 from eventloom.sources import catalog, readers, tables
 from eventloom.sources.sample import log_columns, sample_log, table
 from eventloom.streaming import alerts as W
+from eventloom.streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -681,18 +682,42 @@ def stream_source(spark, sf):
     return drained(spark, stream).select("event_id", "ts", "event_type")
 
 
+def log_files(spark, sf, until=("2024-01-08", "2024-01-20", "2025-01-01")) -> DataFrame:
+    """The log as a stream of several files, one per micro-batch, in the order of time."""
+    path, log, start = scratch(spark), sample_log(spark, sf), "2000-01-01"
+    for end in until:
+        log.where((F.col("time") >= start) & (F.col("time") < end)).coalesce(1).write.mode("append").parquet(path)
+        start = end
+    return W.stream_source(spark, path, log.schema, maxFilesPerTrigger="1")
+
+
 @query
 def stream_spikes(spark, sf):
+    return drained(spark, stateful.stream_spikes(log_files(spark, sf), 3600, 20))
+
+
+@query
+def stream_spikes_grid(spark, sf):
     return drained(spark, W.stream_spikes(log_stream(spark, sf), 3600, 20), "complete")
 
 
 @query
 def stream_patterns(spark, sf):
+    return drained(spark, stateful.stream_patterns(log_files(spark, sf), 86400))
+
+
+@query
+def stream_patterns_complete(spark, sf):
     return drained(spark, W.stream_patterns(log_stream(spark, sf), 86400), "complete")
 
 
 @query
 def stream_sessions(spark, sf):
+    return drained(spark, stateful.stream_sessions(log_files(spark, sf), 60))
+
+
+@query
+def stream_sessions_keyed(spark, sf):
     return drained(spark, W.stream_sessions(log_stream(spark, sf)), "complete")
 
 

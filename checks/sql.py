@@ -513,12 +513,12 @@ ORACLE |= {
     "tag_alerts": _log(_ALL_ALERTS),
     "stream_row_alerts": _log(_ROW_ALERTS),
     "stream_source": "select event_id, ts, event_type from events where ts >= timestamp '2024-01-19 23:45:00'",
-    "stream_spikes": _log("""select date_trunc('hour', time) as window_start, 3600 as window_seconds,
+    "stream_spikes_grid": _log("""select date_trunc('hour', time) as window_start, 3600 as window_seconds,
       count(*) as event_count, 20 as threshold, string_agg(distinct host, ',' order by host) as hosts
       from log group by 1 having count(*) >= 20"""),
-    "stream_patterns": _log("""select date_trunc('day', time) as slice_start, sourcetype, error_code, count(*) as "count"
+    "stream_patterns_complete": _log("""select date_trunc('day', time) as slice_start, sourcetype, error_code, count(*) as "count"
       from log group by all having count(*) > 1"""),
-    "stream_sessions": _log(""", steps as (select *, case when time - lag(time) over (partition by app order by time, seq)
+    "stream_sessions_keyed": _log(""", steps as (select *, case when time - lag(time) over (partition by app order by time, seq)
         <= interval 60 seconds then 0 else 1 end as opens from log),
       numbered as (select *, sum(opens) over (partition by app order by time, seq) as sid from steps)
       select app, min(time) as group_start, max(time) as group_end, count(*) as event_count,
@@ -528,3 +528,27 @@ ORACLE |= {
     "stream_overlap": _log("select count(*) as pairs from (select distinct host, error_code from log)"),
     "stream_cycle_guard": _log(f"""select severity, summary, count(*) as n from ({_ALL_ALERTS}) group by all"""),
 }
+
+# Append mode: what the watermark, 30 seconds behind the newest event, has closed when the stream ends.
+_MARK = "(select epoch_ms(max(ts)) * 1000 - 30000000 from events)"
+
+ORACLE |= {
+    "stream_spikes": f"""select * from ({_spikes(3600, 20)})
+      where (epoch_us(window_start) // 3600000000 + 2) * 3600000000 <= {_MARK}""",
+    "stream_sessions": f"""with found as ({_log(SESSIONS)}), next as (
+        select *, lead(group_start) over (order by group_start) as later from (
+          select group_start, group_end from found union all
+          select time, time from ({_log("select time from log")}) where not exists (
+            select 1 from found where time between group_start and group_end)) order by group_start)
+      select f.* from found f join next n using (group_start)
+      where epoch_us(n.group_end) + 120001000 <= {_MARK}
+        or (epoch_us(n.later) // 60000000 + 1) * 60000000 <= {_MARK}""",
+    "stream_patterns": _log(f""", sliced as (
+        select *, date_trunc('day', time) as slice_start from log
+        where epoch_us(date_trunc('day', time)) + 86400000000 <= {_MARK}), starts as (
+        select * from (select slice_start, substr(_raw, 1, 60) as prefix, count(*) as "count" from sliced group by 1, 2)
+        where "count" > 1 qualify row_number() over (partition by slice_start order by "count" desc, prefix) <= 10)
+      select slice_start, 'repeated_error' as type, sourcetype, error_code, null as prefix, count(*) as "count"
+        from sliced group by all having count(*) > 1
+      union all select slice_start, 'repeated_raw_prefix', null, null, prefix, "count" from starts"""),
+}
