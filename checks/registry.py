@@ -483,7 +483,14 @@ def alerts_open(spark, sf):
 
 @query
 def alerts_ack(spark, sf):
-    return H.alerts_open(*alert_history(spark, sf), acked=True)
+    """The twenty oldest alerts are acknowledged in two rounds, one of them twice."""
+    root, (alerts, _) = scratch(spark), alert_history(spark, sf)
+    oldest = [r["alert_id"] for r in alerts.orderBy("ts", "alert_id").limit(20).select("alert_id").collect()]
+    tables.alerts_ack(spark, root, oldest[:12])
+    tables.alerts_ack(spark, root, oldest[11:])
+    acks = tables.read_acks(spark, root)
+    seen = H.alerts_open(alerts, acks).unionByName(H.alerts_open(alerts, acks, acked=True))
+    return seen.groupBy("severity", "summary", "acked").agg(F.count(F.lit(1)).alias("n"))
 
 
 def run_log(spark, sf) -> DataFrame:
@@ -602,6 +609,29 @@ def write_findings(spark, sf):
     return content_of_json({k: v for k, v in found.items() if k not in P.SINGLE}, stored, P.JSON_OPTIONS)
 
 
+@query
+def write_report(spark, sf):
+    """A report stored as rows, read back from the history with its confidence."""
+    root, lines = scratch(spark), P.findings_report(bundle(spark, sf))
+    number = tables.write_report(spark, root, "run-1", lines)
+    history = tables.read_table(spark, root, "reports", tables.REPORT_SCHEMA).where(F.col("id") == number)
+    level = history.agg(F.max(H.confidence_flag(F.col("report_md")))).scalar()
+    return tables.read_report(spark, root, "run-1", number).select("section", "part", "line", level.alias("confidence"))
+
+
+@query
+def write_queries(spark, sf):
+    """Query blocks of two runs, written per iteration with the rows each had."""
+    root = scratch(spark)
+    done = past_queries(spark, sf).where("run_id in ('run-7', 'run-8')").groupBy("run_id", "iteration", "area").count()
+    for run_id, iteration in sorted({(r["run_id"], r["iteration"]) for r in done.collect()}):
+        rows = done.where((F.col("run_id") == run_id) & (F.col("iteration") == iteration)).orderBy("area").collect()
+        tables.write_queries(spark, root, run_id, iteration, [f"-- {r['area']}\nindex=main" for r in rows],
+                             [r["count"] for r in rows])
+    stored = spark.read.parquet(f"{root}/investigation_queries")
+    return stored.select("run_id", "iteration", "area", "spl", "executed", "result_rows")
+
+
 @query
 def write_alerts(spark, sf):
     root = scratch(spark)
@@ -723,8 +753,22 @@ def stream_sessions_keyed(spark, sf):
 
 @query
 def stream_overlap(spark, sf):
-    stream = W.without_repeats(log_stream(spark, sf), ["host", "error_code"], 3600)
-    return drained(spark, stream).agg(F.countDistinct("host", "error_code").alias("pairs"))
+    """Polls that read the last day of the one before again; every event comes out once."""
+    path, log = scratch(spark), sample_log(spark, sf)
+    for start, end in (("2000-01-01", "2024-01-08"), ("2024-01-07", "2024-01-20"), ("2024-01-19", "2025-01-01")):
+        log.where((F.col("time") >= start) & (F.col("time") < end)).coalesce(1).write.mode("append").parquet(path)
+    stream = W.without_repeats(W.stream_source(spark, path, log.schema, maxFilesPerTrigger="1"), ["seq"], 2 * 86400)
+    return drained(spark, stream).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("seq").alias("events"), F.sum("seq").alias("total"))
+
+
+@query
+def watch_cycles(spark, sf):
+    """Alerts of single events over three cycles of the watch loop, one by one although some are equal."""
+    root = scratch(spark)
+    W.start_watch(log_files(spark, sf), root, "watch", PARAMS, once=True).awaitTermination()
+    found = tables.read_alerts(spark, root).where(~F.col("summary").rlike("^(Spike|Repeated)"))
+    return found.groupBy("severity", "summary").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query

@@ -326,17 +326,19 @@ ORACLE |= {
         as n_findings, {_LEVELS.format('CRITICAL')} as critical, {_LEVELS.format('ERROR')} as error,
       coalesce((select host from {_found('host_ranking')} order by error_count desc, host limit 1), 'n/a')
         as top_error_host""",
-    "findings_digest": f"""
-      select 'spikes' as type, row_number() over (order by window_start) as place,
-        concat({_ISO.format('window_start')}, ' — ', event_count, ' events in ', window_seconds, 's on hosts: ',
-          replace(hosts, ',', ', ')) as line from {_found('spikes')} qualify place <= 3
-      union all select 'patterns', row_number() over (order by "count" desc, sourcetype, error_code) as place,
-        concat(sourcetype, ' / error ', error_code, ' — ', "count", 'x') from {_found('patterns')}
-        where type = 'repeated_error' qualify place <= 3
-      union all select 'cert_anomalies', row_number() over (order by time, host, raw_excerpt) as place, {_CERT_LINE}
-        from {_found('cert_anomalies')} qualify place <= 3
-      union all select 'host_ranking', row_number() over (order by error_count desc, host) as place,
-        concat(host, '(', error_count, ')') from {_found('host_ranking')} qualify place <= 3""",
+    "findings_digest": " union all ".join(
+        f"""select {i} as section, '{kind}' as type, 0 as place, concat(count(*), ' {title}') as line from ({WHOLE[kind]})
+          having count(*) > 0
+          union all select {i}, '{kind}', row_number() over (order by {order}) as place, {line} from ({WHOLE[kind]})
+          {where} qualify place <= {limit}"""
+        for i, (kind, title, order, line, where, limit) in enumerate((
+            ("spikes", "spike(s)", "window_start", f"""concat({_ISO.format('window_start')}, ' — ', event_count, ' events in ',
+              window_seconds, 's on hosts: ', replace(hosts, ',', ', '))""", "", 3),
+            ("patterns", "repeated pattern(s)", '"count" desc, sourcetype, error_code',
+             """concat(sourcetype, ' / error ', error_code, ' — ', "count", 'x')""", "where type = 'repeated_error'", 3),
+            ("cert_anomalies", "certificate event(s)", "time, host, raw_excerpt", _CERT_LINE, "", 3),
+            ("severity", "severity level(s)", '"count" desc, level', """concat(level, ': ', "count")""", "", 99),
+            ("host_ranking", "host(s) with errors", "error_count desc, host", "concat(host, '(', error_count, ')')", "", 3)), 1)),
     "findings_report": f"""
       select 0 as section, 0 as part, '# Findings' as line
       union all select 0, 1, concat('**Severity** ', level, ': ', "count") from {_found('severity_summary')}
@@ -363,6 +365,8 @@ ORACLE |= {
         from {_found('numeric_anomalies')} order by abs(z_score) desc limit 10)""",
 }
 
+ORACLE["write_report"] = f"select section, part, line, 'Medium' as confidence from ({ORACLE['findings_report']})"
+
 # The same detectors over the log whose times are text: lines without a readable time drop out of
 # every detector that needs the order, and whole seconds replace fractions for some.
 _TEXT_LOG = f"{LOG} {TEXT_TIMES}".replace("log as (", "plain as (", 1).replace("from log)", "from plain)", 1) + """,
@@ -438,7 +442,10 @@ ORACLE |= {
         iteration, area, p.spl, executed, result_rows from newest n left join past p on p.run_id = n.run_id""",
     "confidence_flag": f"with {REPORTS} select id, case when c = 0 then 'High' else 'Medium' end as confidence from reports",
     "alerts_open": _log(f", {ALERTS} select * from alerts where severity = 'critical' and not acked"),
-    "alerts_ack": _log(f", {ALERTS} select * from alerts where acked"),
+    "alerts_ack": _log(f""", {ALERTS} select severity, summary, alert_id in (
+        select alert_id from alerts order by ts, alert_id limit 20) as acked, count(*) as n from alerts group by all"""),
+    "write_queries": f"""with {PAST} select run_id, iteration, area, 'index=main' as spl, true as executed, n as result_rows
+      from (select run_id, iteration, area, count(*) as n from past where run_id in ('run-7', 'run-8') group by all)""",
     "latest_run_status": f"""with {RUNLOG} select run_id, source, iteration, confidence, events, updated_at from state
       order by moment desc limit 1""",
     "latest_run_status_by_id": f"""with {RUNLOG} select run_id, source, iteration, confidence, events, updated_at from state
@@ -525,7 +532,8 @@ ORACLE |= {
         string_agg(distinct host, ',' order by host) as hosts,
         string_agg(distinct sourcetype, ',' order by sourcetype) as sourcetypes
       from numbered group by app, sid having count(*) > 1"""),
-    "stream_overlap": _log("select count(*) as pairs from (select distinct host, error_code from log)"),
+    "stream_overlap": "select count(*) as n, count(distinct event_id) as events, cast(sum(event_id) as bigint) as total from events",
+    "watch_cycles": _log(f"select severity, summary, count(*) as n from ({_ROW_ALERTS}) group by all"),
     "stream_cycle_guard": _log(f"""select severity, summary, count(*) as n from ({_ALL_ALERTS}) group by all"""),
 }
 

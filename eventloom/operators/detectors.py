@@ -380,8 +380,13 @@ def _haystack(events: DataFrame, also: Sequence[str]) -> Column:
     return F.lower(F.concat_ws(" ", *parts))
 
 
+def _row_id(events: DataFrame, wanted: bool) -> list[Column]:
+    """What tells equal findings of different events apart: ``seq``, or a digest of the row."""
+    return [row_order(events).cast("string").alias("row_id")] if wanted else []
+
+
 def keyword_scan(events: DataFrame, kind: str, keywords: Sequence[str], excerpt: int,
-                 also: Sequence[str] = ()) -> DataFrame:
+                 also: Sequence[str] = (), row_id: bool = False) -> DataFrame:
     """Lines whose text (with the optional further fields) holds any keyword; map-only."""
     words = [k.lower() for k in keywords]
     text = _haystack(events, also)
@@ -392,6 +397,7 @@ def keyword_scan(events: DataFrame, kind: str, keywords: Sequence[str], excerpt:
         matched_keywords(text, words).alias("matched_keywords"),
         or_unknown(optional(events, "sourcetype")).alias("sourcetype"),
         F.substring(F.coalesce(F.col("_raw").cast("string"), F.lit("")), 1, excerpt).alias("raw_excerpt"),
+        *_row_id(events, row_id),
     )
 
 
@@ -402,10 +408,10 @@ def cert_keywords_in(events: DataFrame, keywords: Sequence[str] | None = None) -
     return matched_keywords(_haystack(events, CERT_TEXT), [k.lower() for k in keywords or CERT_KEYWORDS])
 
 
-def detect_cert_anomalies(events: DataFrame, keywords: Sequence[str] | None = None) -> DataFrame:
+def detect_cert_anomalies(events: DataFrame, keywords: Sequence[str] | None = None, row_id: bool = False) -> DataFrame:
     if "_raw" not in events.columns:
         return _empty(events, CERT_SCHEMA)
-    return keyword_scan(events, "cert_anomaly", keywords or CERT_KEYWORDS, 120, CERT_TEXT)
+    return keyword_scan(events, "cert_anomaly", keywords or CERT_KEYWORDS, 120, CERT_TEXT, row_id)
 
 
 # ---------------------------------------------------------------------------
@@ -469,7 +475,7 @@ def host_error_ranking(events: DataFrame, is_error: Column | None = None) -> Dat
 # Slow events and HTTP errors
 # ---------------------------------------------------------------------------
 
-def slow_rows(events: DataFrame, threshold_ms: float = 1000) -> DataFrame:
+def slow_rows(events: DataFrame, threshold_ms: float = 1000, row_id: bool = False) -> DataFrame:
     """Unordered form of :func:`detect_slow_queries`; map-only, also for streams."""
     field = first_present(events, DURATION_FIELDS)
     if field is None:
@@ -480,6 +486,7 @@ def slow_rows(events: DataFrame, threshold_ms: float = 1000) -> DataFrame:
         host_column(events).alias("host"),
         F.substring(optional(events, first_present(events, QUERY_FIELDS)).cast("string"), 1, 200).alias("query"),
         optional(events, "time", "timestamp").alias("time"),
+        *_row_id(events, row_id),
     ).where(F.col("duration_ms") > threshold_ms)
 
 
@@ -488,7 +495,7 @@ def detect_slow_queries(events: DataFrame, threshold_ms: float = 1000) -> DataFr
     return slow_rows(events, threshold_ms).orderBy(F.desc("duration_ms"), "time", "host")
 
 
-def http_rows(events: DataFrame) -> DataFrame:
+def http_rows(events: DataFrame, row_id: bool = False) -> DataFrame:
     """Unordered form of :func:`detect_http_errors`; map-only, also for streams."""
     field = first_present(events, STATUS_FIELDS)
     if field is None:
@@ -501,6 +508,7 @@ def http_rows(events: DataFrame) -> DataFrame:
         host_column(events).alias("host"),
         F.substring(optional(events, first_present(events, PATH_FIELDS)).cast("string"), 1, 200).alias("path"),
         optional(events, "time", "timestamp").alias("time"),
+        *_row_id(events, row_id),
     ).where(F.col("status_code") >= 400)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from eventloom.config import (
     DEFAULTS,
@@ -204,40 +205,41 @@ def run_summary(findings: Findings) -> DataFrame:
 
 
 def findings_digest(findings: Findings, top: int = 3) -> DataFrame:
-    """The first three of each kind as text. Each kind is a top-k of its own, so no kind is ever
-    gathered in one place to be ranked."""
-    spikes = findings["spikes"].orderBy("window_start").limit(top).select(
-        F.lit("spikes").alias("type"), F.col("window_start").cast("string").alias("sort"),
-        F.concat(iso_text(F.col("window_start")), F.lit(" — "), F.col("event_count").cast("string"),
-                 F.lit(" events in "), F.col("window_seconds").cast("string"), F.lit("s on hosts: "),
-                 F.array_join("hosts", ", ")).alias("line"))
-    # repeated errors come before prefixes, and only they are shown
-    patterns = (
-        findings["patterns"].orderBy(F.asc("type"), F.desc("count"), "sourcetype", "error_code", "prefix").limit(top)
-        .where(F.col("type") == "repeated_error")
-        .select(F.lit("patterns").alias("type"),
-                F.concat(F.lpad((F.lit(1 << 62) - F.col("count")).cast("string"), 20, "0"),
-                         F.coalesce("sourcetype", F.lit("")), F.coalesce("error_code", F.lit(""))).alias("sort"),
-                F.concat(F.coalesce("sourcetype", F.lit("None")), F.lit(" / error "),
-                         F.coalesce("error_code", F.lit("None")), F.lit(" — "), F.col("count").cast("string"),
-                         F.lit("x")).alias("line"))
-    )
-    certs = findings["cert_anomalies"].orderBy(F.asc_nulls_last("time"), "host", "raw_excerpt").limit(top).select(
-        F.lit("cert_anomalies").alias("type"),
-        F.concat(F.coalesce(F.col("time").cast("string"), F.lit("~")), "host", "raw_excerpt").alias("sort"),
-        F.concat(F.lit("["), "host", F.lit("] "), F.array_join("matched_keywords", ", "), F.lit(" at "),
-                 F.coalesce(iso_text(F.col("time")), F.lit("None"))).alias("line"))
-    hosts = findings["host_ranking"].orderBy(F.desc("error_count"), "host").limit(top).select(
-        F.lit("host_ranking").alias("type"),
-        F.concat(F.lpad((F.lit(1 << 62) - F.col("error_count")).cast("string"), 20, "0"),
-                 F.coalesce("host", F.lit(""))).alias("sort"),
-        F.concat(F.coalesce("host", F.lit("None")), F.lit("("), F.col("error_count").cast("string"),
-                 F.lit(")")).alias("line"))
-    picked = spikes.unionByName(patterns).unionByName(certs).unionByName(hosts)
-    ranked = picked.groupBy("type").agg(F.array_sort(F.collect_list(F.struct("sort", "line"))).alias("rows"))
-    return ranked.select("type", F.posexplode("rows").alias("place", "row")).select(
-        "type", (F.col("place") + 1).alias("place"), F.col("row.line").alias("line")
-    )
+    """The number of findings and the first three of each kind as text, in the order of ``section`` and ``place``; kinds
+    without findings have no lines. Each kind is a top-k of its own, so no kind is ever gathered in one place."""
+    patterns = findings["patterns"].orderBy(
+        F.asc("type"), F.desc("count"), "sourcetype", "error_code", "prefix").limit(top).where(F.col("type") == "repeated_error")
+    # per kind: its heading, its shown rows, their order, their text
+    kinds: list[tuple[str, Column | str, DataFrame, list, Column]] = [
+        ("spikes", "spike(s)", findings["spikes"], [F.col("window_start")],
+         F.concat(iso_text(F.col("window_start")), F.lit(" — "), F.col("event_count").cast("string"), F.lit(" events in "),
+                  F.col("window_seconds").cast("string"), F.lit("s on hosts: "), F.array_join("hosts", ", "))),
+        # repeated errors come before prefixes, and only they are shown
+        ("patterns", "repeated pattern(s)", patterns, [F.desc("count"), F.col("sourcetype"), F.col("error_code")],
+         F.concat(F.coalesce("sourcetype", F.lit("None")), F.lit(" / error "), F.coalesce("error_code", F.lit("None")),
+                  F.lit(" — "), F.col("count").cast("string"), F.lit("x"))),
+        ("cert_anomalies", "certificate event(s)", findings["cert_anomalies"],
+         [F.asc_nulls_last("time"), F.col("host"), F.col("raw_excerpt")],
+         F.concat(F.lit("["), "host", F.lit("] "), F.array_join("matched_keywords", ", "), F.lit(" at "),
+                  F.coalesce(iso_text(F.col("time")), F.lit("None")))),
+        ("severity", "severity level(s)", findings["severity"], [F.desc("count"), F.col("level")],
+         F.concat(F.coalesce("level", F.lit("None")), F.lit(": "), F.col("count").cast("string"))),
+        ("host_ranking", "host(s) with errors", findings["host_ranking"], [F.desc("error_count"), F.col("host")],
+         F.concat(F.coalesce("host", F.lit("None")), F.lit("("), F.col("error_count").cast("string"), F.lit(")"))),
+    ]
+    parts = []
+    for section, (kind, title, rows, order, line) in enumerate(kinds, 1):
+        of_kind = (F.lit(section).alias("section"), F.lit(kind).alias("type"))
+        head = findings[kind].agg(F.count(F.lit(1)).alias("n")).where("n > 0")
+        parts.append(head.select(*of_kind, F.lit(0).alias("place"), F.concat(F.col("n").cast("string"), F.lit(f" {title}")).alias("line")))
+        shown = rows if kind == "severity" else rows.orderBy(*order).limit(top)  # levels are few, and all are shown
+        placed = shown.withColumn("type", F.lit(kind)).withColumn(
+            "place", F.row_number().over(Window.partitionBy("type").orderBy(*order)))
+        parts.append(placed.select(*of_kind, "place", line.alias("line")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.orderBy("section", "place")
 
 
 def findings_report(findings: Findings) -> DataFrame:

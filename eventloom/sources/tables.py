@@ -19,6 +19,7 @@ from eventloom.plans.history import RUN_FIELDS, parse_query_blocks
 
 REPORT_SCHEMA = ("run_id string, id bigint, created_at timestamp, source_file string, report_md string, spl string, "
                  "earliest string, latest string")
+REPORT_LINE = ("section", "part", "rank", "tie", "line")
 QUERY_SCHEMA = ("run_id string, id bigint, created_at timestamp, iteration int, area string, spl string, "
                 "executed boolean, result_rows bigint")
 ALERT_SCHEMA = "alert_id string, run_id string, ts timestamp, severity string, summary string, detail_json string"
@@ -85,10 +86,30 @@ def write_findings(findings: Findings, root: str, run_id: str) -> None:
     )
 
 
-def write_report(spark: SparkSession, root: str, run_id: str, report_md: str, source_file: str = "", spl: str = "",
-                 earliest: str = "", latest: str = "") -> None:
-    row = (run_id, _next_id(), _now(), source_file, report_md, spl, earliest, latest)
+def write_report(spark: SparkSession, root: str, run_id: str, report: str | DataFrame, source_file: str = "", spl: str = "",
+                 earliest: str = "", latest: str = "") -> int:
+    """Add a report to the history and return its id.
+
+    A laid-out report (the rows of ``findings_report``) is stored as rows, whatever its length, and read back by
+    ``read_report``; the history's own text then is the line that states the confidence, if there is one.
+    """
+    number = _next_id()
+    if isinstance(report, str):
+        text = report
+    else:
+        (report.select(F.lit(run_id).alias("run_id"), F.lit(number).alias("id"), *REPORT_LINE)
+         .write.mode("append").partitionBy("run_id", "id").parquet(f"{root}/report_lines"))
+        stated = report.where(F.col("line").startswith("**Confidence:**")).agg(F.min("line")).first()
+        text = stated[0] or ""
+    row = (run_id, number, _now(), source_file, text, spl, earliest, latest)
     spark.createDataFrame([row], REPORT_SCHEMA).write.mode("append").parquet(f"{root}/reports")
+    return number
+
+
+def read_report(spark: SparkSession, root: str, run_id: str, number: int) -> DataFrame:
+    """The lines of a report stored as rows, in order; only its own folder is read."""
+    lines = spark.read.parquet(f"{root}/report_lines").where((F.col("run_id") == run_id) & (F.col("id") == number))
+    return lines.orderBy("section", "part", "rank", "tie", "line").select(*REPORT_LINE)
 
 
 def write_report_lines(lines: DataFrame, path: str) -> None:
@@ -115,9 +136,10 @@ def write_queries(spark: SparkSession, root: str, run_id: str, iteration: int, b
 # --- alerts -----------------------------------------------------------------
 
 def alert_rows(hits: DataFrame, run_id: str) -> DataFrame:
-    """Stored form of tagged hits; the id is a digest of the hit, so the same hit has one id."""
+    """Stored form of tagged hits; the id is a digest of the hit and of its event, so the same hit has one id and equal hits
+    of different events have several."""
     return hits.select(
-        F.sha2(F.concat_ws("|", F.lit(run_id), "detector", "detail_json"), 256).alias("alert_id"),
+        F.sha2(F.concat_ws("|", F.lit(run_id), "detector", "detail_json", optional(hits, "row_id")), 256).alias("alert_id"),
         F.lit(run_id).alias("run_id"),
         F.lit(_now()).alias("ts"),
         F.coalesce(non_blank(F.col("severity")), F.lit("warning")).alias("severity"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException, PySparkException
@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from eventloom.config import DEFAULTS, ERROR_CODE_FIELDS, Params
-from eventloom.functions import first_present, relative_time
+from eventloom.functions import first_present, optional, relative_time
 from eventloom.functions.text import iso_text
 from eventloom.operators import detectors as D
 from eventloom.session import materialize, remove_path, scratch_scope
@@ -28,11 +28,13 @@ logger = logging.getLogger(__name__)
 # ---------------------------------------------------------------------------
 
 def _tag(found: DataFrame, detector: str, severity: Column, summary: Column) -> DataFrame:
+    """Alerts of findings; ``row_id`` is that of the event, where a finding is one."""
     return found.select(
         F.lit(detector).alias("detector"),
         severity.alias("severity"),
         summary.alias("summary"),
-        F.to_json(F.struct(*[F.col(f"`{c}`") for c in found.columns])).alias("detail_json"),
+        F.to_json(F.struct(*[F.col(f"`{c}`") for c in found.columns if c != "row_id"])).alias("detail_json"),
+        optional(found, "row_id").alias("row_id"),
     )
 
 
@@ -80,11 +82,11 @@ def tag_http(found: DataFrame) -> DataFrame:
 def alert_detectors(params: Params = DEFAULTS) -> dict[str, Callable[[DataFrame], DataFrame]]:
     """The detectors of the watch loop, each giving tagged alerts."""
     return {
-        "slow_query": lambda e: tag_slow(D.slow_rows(e, params.slow_threshold_ms), params.slow_threshold_ms),
+        "slow_query": lambda e: tag_slow(D.slow_rows(e, params.slow_threshold_ms, True), params.slow_threshold_ms),
         "spike": lambda e: tag_spikes(D.detect_spikes(e, params.spike_window_seconds, params.spike_threshold)),
         "pattern": lambda e: tag_patterns(D.detect_patterns(e)),
-        "cert_anomaly": lambda e: tag_certs(D.detect_cert_anomalies(e, params.cert_keywords)),
-        "http_error": lambda e: tag_http(D.http_rows(e)),
+        "cert_anomaly": lambda e: tag_certs(D.detect_cert_anomalies(e, params.cert_keywords, True)),
+        "http_error": lambda e: tag_http(D.http_rows(e, True)),
     }
 
 
@@ -96,7 +98,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def tag_alerts(events: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """All alerts of a batch: ``detector, severity, summary, detail_json``."""
+    """All alerts of a batch: ``detector, severity, summary, detail_json, row_id``."""
     return _union([detect(events) for detect in alert_detectors(params).values()])
 
 
@@ -177,7 +179,8 @@ def stream_sessions(events: DataFrame, key: str = "app", gap_seconds: int = 60,
 # Watch loop
 # ---------------------------------------------------------------------------
 
-def watch_cycle(batch: DataFrame, batch_id: int, root: str, run_id: str, params: Params = DEFAULTS) -> None:
+def watch_cycle(batch: DataFrame, batch_id: int, root: str, run_id: str, params: Params = DEFAULTS,
+                arrived: datetime | None = None) -> None:
     """One cycle: run the exact batch detectors on the new events plus the overlap, store new alerts.
 
     Per cycle three small tables are written below ``root``: the events of the overlap (``tail``),
@@ -185,11 +188,15 @@ def watch_cycle(batch: DataFrame, batch_id: int, root: str, run_id: str, params:
     overlap has the id it had in the cycle before and is not raised twice. Everything a cycle
     writes is named by its batch id and overwritten, so a repeated batch changes nothing.
 
+    The overlap ends at the newest event that a clock can have written by the time the cycle ``arrived`` (now, unless given),
+    give or take the overlap. Events of a later time are analysed in their cycle, but neither kept for the next one nor allowed
+    to end the overlap of the others; events that come late are kept as long as they lie within the overlap.
+
     A detector that fails is logged and skipped; a failing write stops the query, which then
     resumes from its checkpoint. Intermediate tables and those of the cycle before last are removed.
     """
     with scratch_scope(batch.sparkSession):
-        _run_cycle(batch, batch_id, root, run_id, params)
+        _run_cycle(batch, batch_id, root, run_id, params, arrived or datetime.now(timezone.utc))
     if batch_id > 1:
         remove_path(batch.sparkSession, f"{_state(root, run_id)}/{batch_id - 2}")
 
@@ -216,7 +223,7 @@ def _planned(detect: Callable[[DataFrame], DataFrame], events: DataFrame, run_id
         return None
 
 
-def _run_cycle(batch: DataFrame, batch_id: int, root: str, run_id: str, params: Params) -> None:
+def _run_cycle(batch: DataFrame, batch_id: int, root: str, run_id: str, params: Params, arrived: datetime) -> None:
     spark = batch.sparkSession
     here, before = f"{_state(root, run_id)}/{batch_id}", f"{_state(root, run_id)}/{batch_id - 1}"
     events = batch
@@ -230,14 +237,14 @@ def _run_cycle(batch: DataFrame, batch_id: int, root: str, run_id: str, params:
         plan = _planned(detect, events, run_id)
         if plan is not None:
             hits.append(materialize(plan, f"hits-{name}"))
-    newest = events.agg(F.max("time")).scalar()
     # a burst across the edge of two cycles is seen whole only if a whole window is kept
     overlap = max(params.watch_overlap_seconds, params.spike_window_seconds)
-    kept_from = newest - F.expr(f"interval {overlap} seconds")
-    events.where(F.col("time") >= kept_from).write.mode("overwrite").parquet(f"{here}/tail")
+    possible = events.where(F.col("time") <= F.lit(arrived + timedelta(seconds=overlap)))
+    kept_from = possible.agg(F.max("time")).scalar() - F.expr(f"interval {overlap} seconds")
+    possible.where(F.col("time") >= kept_from).write.mode("overwrite").parquet(f"{here}/tail")
 
     found = _union(hits) if hits else alert_rows(
-        spark.createDataFrame([], "detector string, severity string, summary string, detail_json string"), run_id)
+        spark.createDataFrame([], "detector string, severity string, summary string, detail_json string, row_id string"), run_id)
     found.select("alert_id").distinct().write.mode("overwrite").parquet(f"{here}/ids")
     fresh = found.dropDuplicates(["alert_id"])
     if batch_id > 0:

@@ -115,6 +115,28 @@ def test_watch_sees_spikes_across_cycles_and_raises_hits_once(spark, tmp_path):
     assert sum(s.startswith("Slow query: 1500ms") for s in got) == 1
 
 
+def test_a_wrong_clock_does_not_end_the_overlap(spark, tmp_path):
+    """Bursts that two cycles share are found in this and later cycles, although one event is of a far future."""
+    future = 3600 * 24 * 365 * 70
+    files = [[event(1, 0), event(2, 40), event(3, future)], [event(4, 45), event(5, 50)],
+             [event(6, 300), event(7, 310)], [event(8, 320), event(9, 330)]]
+    alerts, root = watch(spark, tmp_path, files)
+    spikes = sorted(r["summary"] for r in alerts.collect() if r["summary"].startswith("Spike"))
+    assert [s.split(" ")[1] for s in spikes] == ["4", "4"]
+    assert spark.read.parquet(f"{root}/watch/w1/3/tail").where("seq = 3").isEmpty()
+
+
+def test_late_events_within_the_overlap_complete_a_burst(spark, tmp_path):
+    alerts, _ = watch(spark, tmp_path, [[event(1, 0), event(2, 50)], [event(3, 20), event(4, 30)]])
+    assert [r["summary"].split(" ")[1] for r in alerts.collect() if r["summary"].startswith("Spike")] == ["4"]
+
+
+def test_equal_hits_of_different_events_are_all_raised(spark, tmp_path):
+    """Five errors of one instant, host and path; the next cycle sees them again and raises none of them."""
+    alerts, _ = watch(spark, tmp_path, [[event(i, 0, status=500) for i in range(5)], [event(9, 1)]])
+    assert sum(r["severity"] == "critical" for r in alerts.collect()) == 5
+
+
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     batch = spark.createDataFrame([event(1, 0, ms=5000.0), event(2, 1, status=404)], SCHEMA)
     root = str(tmp_path)
