@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import codecs
+import logging
 import re
 from collections.abc import Iterator, Sequence
 from contextlib import closing
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.functions import relative_time
 
 
+logger = logging.getLogger(__name__)
+
+
 def _no_events(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], T.StructType([]))
 
@@ -103,10 +107,9 @@ def _is_lines(pieces: Iterator[str]) -> bool:
     """Whether a text that begins with an object has one object per line.
 
     It has if the first object ends within its line and is no envelope, an envelope being an object whose own field
-    ``results`` is a list that is empty or begins with an object, or that has such a field and is all of the text.
-    Reads as far as that takes, whatever the length.
+    ``results`` is a list that is empty or begins with an object. Reads as far as that takes, whatever the length.
     """
-    depth, key, opened, named, ended = 0, None, False, False, False
+    depth, key, opened, ended = 0, None, False, False
     for token in _tokens(pieces):
         if depth == 0 and key is not None:  # behind the first object
             if token != "\n":
@@ -126,8 +129,16 @@ def _is_lines(pieces: Iterator[str]) -> bool:
             key = None
         elif depth == 1 and key is None:
             key = token
-            named = named or key == '"results"'
-    return depth == 0 and key is not None and not named
+    return depth == 0 and key is not None
+
+
+def _two_objects(spark: SparkSession, path: str) -> bool:
+    """Whether the first line that is read is a whole object and another object begins in the next line of that file."""
+    text = F.ltrim(F.regexp_replace("value", "^\ufeff", ""))
+    rows = spark.read.text(path).where(F.trim("value") != "").select(
+        F.input_file_name().alias("file"), F.json_object_keys(text).isNotNull().alias("whole"), text.startswith("{").alias("opens"))
+    first = rows.head(2)  # two flags per line reach the driver, whatever the length of the lines
+    return len(first) == 2 and first[0]["file"] == first[1]["file"] and first[0]["whole"] and first[1]["opens"]
 
 
 def read_events_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
@@ -149,35 +160,82 @@ def read_events_json(spark: SparkSession, path: str, schema: T.StructType | str
         inner = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
         reader = reader.schema(T.StructType([T.StructField("results", T.ArrayType(inner))]))
     found = reader.json(path)
-    if "results" not in found.columns:
-        return _no_events(spark)
-    kind = found.schema["results"].dataType
+    kind = found.schema["results"].dataType if "results" in found.columns else None
     if not (isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType)):
+        if not (isinstance(kind, T.ArrayType) or found.isEmpty()):
+            logger.warning("%s is neither an envelope nor a list of events; it is read as no events", path)
         return _no_events(spark)
     return found.select(F.inline("results"))
 
 
+def _typed(text: Column, kind: T.DataType) -> Column:
+    """The value of a JSON text as ``kind``; null where it is of another shape, at any depth."""
+    if isinstance(kind, T.StructType):
+        def fields(given: Column) -> Column:
+            return F.struct(*(_typed(F.element_at(given, f.name), f.dataType).alias(f.name) for f in kind.fields))
+
+        # given as a list of one, so that the text is parsed once for all fields
+        return F.when(_opens(text, "{"), F.get(F.transform(F.array(F.from_json(text, GIVEN)), fields), 0))
+    if isinstance(kind, T.ArrayType):
+        return F.when(_opens(text, "["), F.transform(
+            F.from_json(text, "array<string>"), lambda x: _typed(x, kind.elementType)))
+    if isinstance(kind, T.MapType):
+        return F.when(_opens(text, "{"), F.transform_values(F.from_json(text, GIVEN), lambda _, x: _typed(x, kind.valueType)))
+    return text.try_cast(kind)
+
+
+def _fits(text: Column, kind: T.DataType) -> Column:
+    """Whether ``_typed`` keeps everything of a JSON text."""
+    if isinstance(kind, T.StructType):
+        known = F.array(*(F.lit(f.name) for f in kind.fields)).cast("array<string>")
+
+        def fits(given: Column) -> Column:
+            inner = F.forall(F.map_keys(given), lambda k: F.array_contains(known, k))
+            for f in kind.fields:
+                inner = inner & _fits(F.element_at(given, f.name), f.dataType)
+            return inner
+
+        whole = _opens(text, "{") & F.forall(F.array(F.from_json(text, GIVEN)), fits) & ~_repeats(text)
+    elif isinstance(kind, T.ArrayType):
+        whole = _opens(text, "[") & F.forall(F.from_json(text, "array<string>"), lambda x: _fits(x, kind.elementType))
+    elif isinstance(kind, T.MapType):
+        whole = _opens(text, "{") & ~_repeats(text) & F.forall(
+            F.map_values(F.from_json(text, GIVEN)), lambda x: _fits(x, kind.valueType))
+    else:
+        whole = text.try_cast(kind).isNotNull()
+    return text.isNull() | F.coalesce(whole, F.lit(False))
+
+
+GIVEN = "map<string,string>"
+
+
+def _opens(text: Column, mark: str) -> Column:
+    return F.startswith(F.ltrim(text), F.lit(mark))
+
+
+def _repeats(text: Column) -> Column:
+    """Whether an object names a field twice."""
+    keys = F.json_object_keys(text)
+    return F.coalesce(F.size(F.array_distinct(keys)) < F.size(keys), F.lit(False))
+
+
 def read_events_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """One object per line by a schema from the catalogue, without losing what has drifted since.
 
-    A field that the schema does not know, or whose value its type cannot hold, is kept in ``extra`` (a map of JSON
-    texts); the typed column is then null. A line that is no object is kept as ``extra['_line']``. Needs no inference
-    pass and splits files; ``extra`` is null where nothing has drifted.
+    A field that the schema does not know, or that holds anything its type cannot, at any depth, is kept whole in ``extra`` (a
+    map of JSON texts); of a nested field the typed column then still has what fits, a plain one is null. A line that is
+    no object, or names a field twice, is kept as ``extra['_line']``. Needs no inference pass and splits files; ``extra`` is
+    null where nothing has drifted.
     """
     known = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
-    line = spark.read.text(path).where(F.trim("value") != "").select(
-        "value", F.from_json("value", "map<string,string>").alias("given"))
-    typed = {}
-    for field in known.fields:
-        text = F.element_at("given", field.name)
-        nested = isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType))
-        typed[field.name] = F.from_json(text, field.dataType) if nested else text.try_cast(field.dataType)
-    held = F.array(*(
-        F.when(typed[name].isNotNull() | F.element_at("given", name).isNull(), F.lit(name)) for name in typed
-    )).cast("array<string>")
-    drifted = F.map_filter("given", lambda k, v: ~F.array_contains(F.array_compact(held), k))
-    extra = F.when(F.col("given").isNull(), F.create_map(F.lit("_line"), "value")).when(F.size(drifted) > 0, drifted)
-    return line.select(*(column.alias(name) for name, column in typed.items()), extra.alias("extra"))
+    line = spark.read.text(path).where(F.trim("value") != "").select("value", F.from_json("value", GIVEN).alias("given"))
+    held = F.array_compact(F.array(*(
+        F.when(_fits(F.element_at("given", f.name), f.dataType), F.lit(f.name)) for f in known.fields
+    ))).cast("array<string>")
+    drifted = F.map_filter("given", lambda k, v: ~F.array_contains(held, k))
+    extra = F.when(F.col("given").isNull() | _repeats(F.col("value")), F.create_map(F.lit("_line"), "value")).when(
+        F.size(drifted) > 0, drifted)
+    return line.select(*(_typed(F.element_at("given", f.name), f.dataType).alias(f.name) for f in known.fields), extra.alias("extra"))
 
 
 def read_events_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
@@ -192,13 +250,15 @@ def read_events_csv(spark: SparkSession, path: str, multiline: bool = True) -> D
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """JSON (envelope, list, or one object per line) or CSV, told apart by how the first file begins, not by its name.
 
-    Lines whose events have a list of objects as their field ``results`` look like an envelope; read them by
-    ``read_events_json(..., lines=True)``.
+    Objects in two lines one after another are events, whatever fields they have; a single object is an envelope if its field
+    ``results`` is a list of objects, else an event.
     """
     head = _head(spark, path)
     if head.startswith("{"):
-        with closing(_pieces(spark, path)) as pieces:
-            lines = _is_lines(pieces)
+        lines = _two_objects(spark, path)
+        if not lines:
+            with closing(_pieces(spark, path)) as pieces:
+                lines = _is_lines(pieces)
         return read_events_json(spark, path, lines=lines)
     if head.startswith("["):
         return read_events_json(spark, path)

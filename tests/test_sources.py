@@ -100,6 +100,42 @@ def test_drifted_lines_lose_nothing(spark, tmp_path):
     assert [r["extra"] for r in got] == [None, {"n": "12x", "fresh": '{"k":2}'}, {"_line": "broken"}, None]
 
 
+NESTED = "d struct<a:bigint,list:array<struct<x:bigint>>,m:map<string,bigint>>, s string"
+
+
+@pytest.mark.parametrize("body, typed, kept", [
+    ('{"d": {"a": 1, "list": [{"x": 2}, null], "m": {"k": 3}}, "s": "t"}', (1, [2, None], {"k": 3}), False),
+    ('{"d": {"a": "12x", "new": 1}}', (None, None, None), True),
+    ('{"d": {"a": 1, "list": [{"x": 2, "y": 5}]}}', (1, [2], None), True),
+    ('{"d": {"a": 1, "list": [{"x": "p"}, {"x": 4}]}}', (1, [None, 4], None), True),
+    ('{"d": {"a": 1, "m": {"k": "v", "j": 6}}}', (1, None, {"k": None, "j": 6}), True),
+    ('{"d": {"a": 1, "list": {"x": 2}}}', (1, None, None), True),
+    ('{"d": {"a": 1, "a": 2}}', None, True), ('{"d": [1]}', None, True), ('{"d": null}', None, False),
+])
+def test_nested_drift_is_kept(spark, tmp_path, body, typed, kept):
+    row = readers.read_events_lines(spark, save(tmp_path, "e.json", body + "\n"), NESTED).first()
+    if typed is not None:
+        d = row["d"]
+        assert (d["a"], d["list"] and [x and x["x"] for x in d["list"]], d["m"]) == typed
+    assert (row["extra"] is not None) == kept
+    if kept:
+        given = json.loads(body, object_pairs_hook=list)
+        assert json.loads(row["extra"]["d"], object_pairs_hook=list) == dict(given)["d"]
+
+
+def test_a_field_named_twice_keeps_the_line(spark, tmp_path):
+    body = '{"s": "a", "s": "b"}'
+    assert readers.read_events_lines(spark, save(tmp_path, "e.json", body), NESTED).first()["extra"] == {"_line": body}
+
+
+@pytest.mark.parametrize("text, n", [
+    ('{"results": 3, "time": "x"}', 1), ('{"results": [1, 2]}', 1), ('{"results": [{"a": 1}], "n": 1}\n{"results": [{"a": 2}]}\n', 2),
+    ('\ufeff{"results": []}\n\n{"n": 1}\n{"n": 2}', 3), ('{"results": [\n{"a": 1},\n{"a": 2}\n]}', 2), ('{"results": [{"a": 1}, {"a": 2}]}\n', 2),
+])
+def test_events_with_a_field_named_results(spark, tmp_path, text, n):
+    assert readers.read_events(spark, save(tmp_path, "e", text)).count() == n
+
+
 def test_records_keep_line_breaks_in_quotes(spark, tmp_path):
     path = save(tmp_path, "r.csv", 'time,note\n2026-01-01 00:00:00,"two\nlines"\n2026-01-02 00:00:00,one\n')
     got = readers.read_records(spark, path).orderBy("time").collect()
