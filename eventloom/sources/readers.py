@@ -282,9 +282,13 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return found
 
 
-def write_event_table(events: DataFrame, path: str, files: int | None = None, mode: str = "append") -> None:
+def write_event_table(events: DataFrame, path: str, files: int | None = None, mode: str = "append",
+                      indexed: Sequence[str] = ("host",), distinct: int = 100_000) -> None:
     """Event table partitioned by ``date``.
 
+    The ``indexed`` columns get a Bloom filter per row group, sized for ``distinct`` values, so that a search for a few of their
+    values skips the row groups that hold none, however the hosts are spread over time.
+
     Ranges of (date, sourcetype, time) rather than a hash of the date: a hot day is split over many
     tasks, and narrow time ranges per file let a time filter skip files and row groups. The last
     range key differs between equal rows, so that even one instant can be split.
@@ -293,14 +297,20 @@ def write_event_table(events: DataFrame, path: str, files: int | None = None, mo
     dated = events.withColumn("date", F.to_date("time")).withColumn("__spread", F.monotonically_increasing_id())
     keys = [*order, "__spread"]
     spread = dated.repartitionByRange(files, *keys) if files else dated.repartitionByRange(*keys)
-    spread.sortWithinPartitions(*order).drop("__spread").write.mode(mode).partitionBy("date").parquet(path)
+    writer = spread.sortWithinPartitions(*order).drop("__spread").write.mode(mode).partitionBy("date")
+    for name in indexed:
+        if name in events.columns:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true").option(
+                f"parquet.bloom.filter.expected.ndv#{name}", str(distinct))
+    writer.parquet(path)
 
 
 def scan_events(spark: SparkSession, path: str, now: datetime, earliest: str = "-24h", latest: str = "now",
                 sourcetypes: Sequence[str] = (), hosts: Sequence[str] = ()) -> DataFrame:
     """Events of the table with ``earliest <= time < latest``.
 
-    The same range on ``date`` prunes partitions; the other conditions are pushed to the scan.
+    The same range on ``date`` prunes partitions; the other conditions are pushed to the scan, where statistics and, for
+    hosts, Bloom filters of row groups are asked.
     """
     begin, end = relative_time(earliest, now), relative_time(latest, now)
     events = spark.read.parquet(path).where(

@@ -136,6 +136,37 @@ def test_events_with_a_field_named_results(spark, tmp_path, text, n):
     assert readers.read_events(spark, save(tmp_path, "e", text)).count() == n
 
 
+def rows_scanned(df):
+    """Rows that the file scan of a collected frame gave out."""
+    def scans(plan):
+        if "FileSourceScan" in plan.getClass().getName():
+            yield plan.metrics().apply("numOutputRows").value()
+        for i in range(plan.children().size()):
+            yield from scans(plan.children().apply(i))
+
+    df.collect()
+    return sum(scans(df._jdf.queryExecution().executedPlan()))
+
+
+def test_a_rare_host_skips_row_groups(spark, tmp_path):
+    """Host names are spread over all of the time; the row groups without the wanted one are not read."""
+    path, day = str(tmp_path / "table"), datetime(2026, 1, 1)
+    events = spark.range(200_000).select(
+        F.timestamp_seconds(F.lit(1767225600) + F.col("id") % 86400).alias("time"), F.lit("s").alias("sourcetype"),
+        F.when(F.col("id") == 77_777, "host-8 rare").otherwise(F.concat(F.lit("host-"), F.sha2(F.col("id").cast("string"), 256))).alias("host"),
+        F.col("id").alias("seq"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        readers.write_event_table(events, path, files=8)
+        found = readers.scan_events(spark, path, day + timedelta(days=1), hosts=["host-8 rare"])
+        assert rows_scanned(found) <= 30_000 and [r["seq"] for r in found.collect()] == [77_777]
+        assert rows_scanned(readers.scan_events(spark, path, day + timedelta(days=1))) == 200_000
+        readers.write_event_table(events, f"{path}-plain", files=8, indexed=())
+        assert rows_scanned(readers.scan_events(spark, f"{path}-plain", day + timedelta(days=1), hosts=["host-8 rare"])) == 200_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_records_keep_line_breaks_in_quotes(spark, tmp_path):
     path = save(tmp_path, "r.csv", 'time,note\n2026-01-01 00:00:00,"two\nlines"\n2026-01-02 00:00:00,one\n')
     got = readers.read_records(spark, path).orderBy("time").collect()
