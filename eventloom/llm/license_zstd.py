@@ -1,25 +1,28 @@
 """License notices by conditional compression: how much smaller a block gets when a license text is already known.
 
-A text that holds any of the words that license texts use is read as words, whatever its lines and comment marks. Where
-runs of a template's words occur, a window of twice the template's words around the place is compressed alone and with the
-template as a raw Zstandard dictionary; the saving, against the template's own compressed size, tells how much of the
-template the window holds. It depends on the window alone, not on how long the text around it is. Places whose saving is
-large enough, those that most runs agree on first, are then confirmed on the words: they are aligned with the template word
-by word, and a place counts where nearly all the template's words stand in order. Missing and foreign words are reported,
-so an altered license shows how.
-
-Long texts are examined in pieces that overlap by more than the longest template. Per row; nothing is shuffled.
+A text that holds any of the words that license texts use is read as words, whatever its lines and comment marks. Around
+these words it is cut into overlapping windows, for each template as wide as the template and an eighth on both sides. Each
+window is compressed alone and with the template as a raw Zstandard dictionary. The bytes saved, against what the
+template saves of itself, tell how much of the template the window holds; windows that save too little of it are
+dropped, whatever the template's length. The others are ranked by the bytes they save, over all templates. From the
+largest saving down, the words of a window and a step on both sides are aligned with the template's, and the place stands if nearly all words of the
+template are there in order and no larger saving has taken it. Missing and foreign words are reported, so an altered license
+shows how.
+
+Windows begin at multiples of their step in the whole text, which is read in pieces that overlap by more than a window, so the
+result does not depend on the pieces. Per row; nothing is shuffled.
 
 Defined cases: null and empty texts hold nothing; a notice that occurs twice is reported twice; where places of several
-templates overlap, the one with more matching words stands; rows stay one to one; other columns are ignored.
+templates overlap, the one that saves more stands; rows stay one to one; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
-from collections import Counter, defaultdict
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import cached_property
 from itertools import islice
 
@@ -32,15 +35,12 @@ from pyspark.sql import functions as F
 from eventloom.llm.frames import pick, slices
 
 LEVEL = 9
-#: Share of a template's compressed size that a window must save for the template to be looked for. In sf0.1 prose, windows
-#: that hold MIN_WORDS_HELD of a template of SHORT_WORDS words or more save 0.5 and more, others 0.1 at most.
-MIN_SAVING = 0.2
-#: Templates of fewer words are always looked for: in so short a window an altered notice may save next to nothing.
-SHORT_WORDS = 20
+#: Share of the bytes that a template saves of itself which a window must save to be looked at. In sf0.1 prose, windows that hold
+#: MIN_WORDS_HELD of a template save half of them and more, prose a quarter at most, and other templates' words 0.7 at most.
+MIN_SAVING = 0.4
 #: Share of a template's words that a place must hold in order.
 MIN_WORDS_HELD = 0.85
 PIECE_WORDS = 4_096
-ANCHOR = 3
 
 # Words and phrases of which every license text holds one; phrases may be wrapped and stand behind comment marks.
 CUES = (r"(?i)licen[sc]|copyright|reserved|redistribut|warrant|permission|liab|sublicen|public[\W_]+domain"
@@ -94,7 +94,8 @@ class Template:
         self.name = name
         self.words = [w.lower() for w in WORDS.findall(text)]
         self.text = " ".join(self.words)
-        self.width = min(ANCHOR, len(self.words))
+        self.step = max(1, len(self.words) // 8)
+        self.width = len(self.words) + 2 * self.step
 
     @cached_property
     def compressor(self) -> zstandard.ZstdCompressor:
@@ -102,93 +103,101 @@ class Template:
         known.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_dict_id=False)
 
-    def align(self, words: list[str], start: int) -> tuple[int, int, list[str], list[str], int] | None:
-        """The place near ``start``: first and last word, missing words, added words, words held."""
-        size = len(self.words)
-        slack = max(2, size // 8)
-        a = max(0, start - slack)
-        near = words[a:max(0, start + size + slack)]
+    def align(self, near: list[str]) -> tuple[int, int, list[str], list[str]] | None:
+        """The place in a window: first and last word, missing words, added words."""
         ops = difflib.SequenceMatcher(None, self.words, near, autojunk=False).get_opcodes()
         same = [(j1, j2) for tag, _, _, j1, j2 in ops if tag == "equal"]
-        held = sum(j2 - j1 for j1, j2 in same)
-        if not same or held < MIN_WORDS_HELD * size:
+        if not same or sum(j2 - j1 for j1, j2 in same) < MIN_WORDS_HELD * len(self.words):
             return None
         first, last = same[0][0], same[-1][1]
         missing = [w for tag, i1, i2, _, _ in ops if tag in ("delete", "replace") for w in self.words[i1:i2]]
         added = [w for tag, _, _, j1, j2 in ops if tag in ("insert", "replace") and first <= j1 < last for w in near[j1:j2]]
-        return a + first, a + last, missing, added, held
+        return first, last, missing, added
+
+
+@dataclass(order=True)
+class Window:
+    """A window worth a look with a step on both sides, ordered by its rank: the most bytes saved first."""
+
+    rank: tuple[int, int, int]
+    share: float = field(compare=False)
+    words: list[str] = field(compare=False)
+    spans: list[tuple[int, int]] = field(compare=False)
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str] = TEMPLATES):
-        self.templates = [Template(name, text) for name, text in templates.items()]
+    def __init__(self, templates: dict[str, str] = TEMPLATES, cues: str = CUES):
+        self.templates = [Template(name, text) for name, text in templates.items() if WORDS.search(text)]
+        self.cues = re.compile(cues)
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
-        self.sizes = [len(self.plain.compress(t.text.encode())) for t in self.templates]
-        #: By width, each run of words of that width: the templates that hold it, and where.
-        self.anchors: dict[int, dict[tuple[str, ...], list[tuple[int, int]]]] = {}
-        for k, t in enumerate(self.templates):
-            runs = self.anchors.setdefault(t.width, {})
-            for j in range(len(t.words) - t.width + 1 if t.width else 0):
-                runs.setdefault(tuple(t.words[j:j + t.width]), []).append((k, j))
-
-    def pieces(self, text: str) -> Iterator[list[re.Match]]:
-        """All words of a text, in overlapping pieces where it is long."""
-        longest = max((len(t.words) for t in self.templates), default=0)
-        overlap = 2 * (longest + 2 * max(2, longest // 8))
-        words, piece = WORDS.finditer(text), []
-        while fresh := list(islice(words, PIECE_WORDS)):
-            piece = piece[-overlap:] + fresh
-            yield piece
-
-    def starts(self, words: list[str]) -> dict[int, Counter[int]]:
-        """By template, the words at which it would begin, each with the number of runs that say so."""
-        votes: dict[int, Counter[int]] = defaultdict(Counter)
-        for width, runs in self.anchors.items():
-            for i, run in enumerate(zip(*(words[k:] for k in range(width)))):
-                for k, j in runs.get(run, ()):
-                    votes[k][i - j] += 1
-        return votes
-
-    def saving(self, k: int, words: list[str], start: int) -> float:
-        """Share of template ``k`` that the words around ``start``, twice as many as its own, save by knowing it."""
-        template = self.templates[k]
-        size = len(template.words)
-        raw = " ".join(words[max(0, start - size // 2):max(0, start + size + size // 2)]).encode()
-        return (len(self.plain.compress(raw)) - len(template.compressor.compress(raw))) / self.sizes[k]
-
-    def places(self, words: list[str]) -> Iterator[tuple[str, float, int, int, list[str], list[str], int]]:
-        """Aligned places of all templates: name and saving, then as ``Template.align``."""
-        for k, votes in self.starts(words).items():
-            template, covered = self.templates[k], set()
-            for start in sorted(votes, key=lambda s: (-votes[s], s)):
-                if start + len(template.words) // 2 in covered:
-                    continue
-                saving = self.saving(k, words, start)
-                likely = saving >= MIN_SAVING or len(template.words) < SHORT_WORDS
-                place = template.align(words, start) if likely else None
-                if place:
-                    covered.update(range(place[0], place[1]))
-                    yield template.name, saving, *place
+        self.own = [max(1, self.saved(k, t.words)) for k, t in enumerate(self.templates)]
+
+    def saved(self, k: int, words: list[str]) -> int:
+        """Bytes by which the words get smaller when template ``k`` is known."""
+        raw = " ".join(words).encode()
+        return len(self.plain.compress(raw)) - len(self.templates[k].compressor.compress(raw))
+
+    def pieces(self, text: str) -> Iterator[tuple[int, list[tuple[int, int]], bool]]:
+        """Places of all words of a text, in overlapping pieces where it is long: the number of the first word, and whether
+        the text ends with the piece."""
+        overlap = max((t.width + 2 * t.step for t in self.templates), default=0)
+        words = (m.span() for m in WORDS.finditer(text))
+        piece, base = list(islice(words, PIECE_WORDS + overlap)), 0
+        while piece:
+            fresh = list(islice(words, PIECE_WORDS))
+            yield base, piece, not fresh
+            base += len(piece) - overlap
+            piece = piece[-overlap:] + fresh if fresh else []
+
+    def starts(self, text: str, base: int, piece: list[tuple[int, int]], ends: bool, template: Template) -> list[int]:
+        """Windows of a piece that hold one of the words that license texts use, by their first word in the text."""
+        found = set()
+        for m in self.cues.finditer(text, piece[0][0], piece[-1][1]):
+            at = base + max(0, bisect_left(piece, (m.end(), 0)) - 1)
+            first = max(0, -(-(at - template.width + 1) // template.step)) * template.step
+            found.update(range(first, at + 1, template.step))
+        # with a step on both sides the window must lie in the piece, or else in the one before or after
+        first, last = base + (template.step if base else 0), base + len(piece) - (0 if ends else template.width + template.step)
+        return sorted(s for s in found if first <= s <= last)
+
+    def windows(self, text: str) -> list[Window]:
+        """All windows that save enough, the largest saving first."""
+        found: dict[tuple[int, int], Window] = {}
+        for base, piece, ends in self.pieces(text):
+            words = [text[a:b].lower() for a, b in piece]
+            for k, template in enumerate(self.templates):
+                for start in self.starts(text, base, piece, ends, template):
+                    at = start - base
+                    saved = self.saved(k, words[at:at + template.width])
+                    if saved >= MIN_SAVING * self.own[k]:
+                        near = slice(max(0, at - template.step), at + template.width + template.step)
+                        found[k, start] = Window((-saved, start, k), saved / self.own[k], words[near], piece[near])
+        return sorted(found.values())
 
     def scan(self, text: str) -> list[dict]:
-        found: dict[tuple[str, int], tuple[int, dict]] = {}
-        for piece in self.pieces(text):
-            words = "\n".join(m.group() for m in piece).lower().split("\n")
-            for name, saving, first, last, missing, added, held in self.places(words):
-                begin, end = piece[first].start(), piece[last - 1].end()
-                if held > found.get((name, begin), (0,))[0]:
-                    found[name, begin] = (held, {"license": name, "start": begin, "end": end, "saving": round(saving, 4),
-                                                 "missing": missing, "added": added})
-        out: list[dict] = []
-        for _, place in sorted(found.values(), key=lambda x: (-x[0], x[1]["start"], x[1]["license"])):
-            if all(place["end"] <= o["start"] or o["end"] <= place["start"] for o in out):
-                out.append(place)
-        return sorted(out, key=lambda x: x["start"])
+        starts: list[int] = []  # of the places that stand, ascending
+        out: dict[int, dict] = {}
+
+        def free(begin: int, end: int) -> bool:
+            i = bisect_left(starts, end)
+            return not i or out[starts[i - 1]]["end"] <= begin
+
+        for window in self.windows(text):
+            template = self.templates[window.rank[2]]
+            place = template.align(window.words)
+            if place:
+                first, last, missing, added = place
+                begin, end = window.spans[first][0], window.spans[last - 1][1]
+                if free(begin, end):
+                    insort(starts, begin)
+                    out[begin] = {"license": template.name, "start": begin, "end": end, "saving": round(window.share, 4),
+                                  "missing": missing, "added": added}
+        return [out[s] for s in starts]
 
 
 def _scan(templates: dict[str, str], cues: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates)
+        scanner = Scanner(templates, cues)
         for whole in batches:
             for batch in slices(whole):
                 texts = batch.column("text")

@@ -359,3 +359,62 @@ def test_notices_across_pieces(monkeypatch):
     for pad in range(0, 200, 7):
         text = "word " * pad + license_zstd.TEMPLATES["mit"] + " word" * 300
         assert [(x["license"], x["start"], x["missing"], x["added"]) for x in scanner.scan(text)] == [("mit", 5 * pad, [], [])]
+
+
+def plain_licenses(scanner, text):
+    """Every window of every template over the whole text, compressed; the largest saving that aligns takes its place."""
+    spans = [m.span() for m in license_zstd.WORDS.finditer(text)]
+    words, ranked, taken = [text[a:b].lower() for a, b in spans], [], []
+    for k, t in enumerate(scanner.templates):
+        for start in range(0, len(words), t.step):
+            saved = scanner.saved(k, words[start:start + t.width])
+            if saved >= license_zstd.MIN_SAVING * scanner.own[k]:
+                ranked.append((-saved, start, k))
+    for _, start, k in sorted(ranked):
+        t = scanner.templates[k]
+        near = max(0, start - t.step)
+        place = t.align(words[near:start + t.width + t.step])
+        if place:
+            begin, end = spans[near + place[0]][0], spans[near + place[1] - 1][1]
+            if all(end <= a or b <= begin for a, b, *_ in taken):
+                taken.append((begin, end, scanner.templates[k].name, len(place[2]), len(place[3])))
+    return sorted(taken)
+
+
+def licensed_texts():
+    rng, texts = random.Random(2), [t for t, in connect("/root/testdata/sf0.01").execute(
+        "select text from documents where regexp_matches(text, '(?i)licen[sc]|reserved')").fetchall()]
+    for name, text in license_zstd.TEMPLATES.items():
+        words = text.split()
+        for _ in range(3):
+            altered = [w if rng.random() > 0.04 else rng.choice(["foreign", "", "very " + w]) for w in words]
+            texts.append(f"{cases.prose(len(name), 30)} {' '.join(altered)} {cases.prose(3, 30)} All rights reserved. {text}")
+    return texts
+
+
+def test_license_query_equals_all_windows_and_templates(spark, monkeypatch):
+    monkeypatch.setattr(license_zstd, "PIECE_WORDS", 300)
+    scanner, texts = license_zstd.Scanner(), licensed_texts()
+    assert len(texts) > 60
+    for text in texts:
+        got = [(x["start"], x["end"], x["license"], len(x["missing"]), len(x["added"])) for x in scanner.scan(text)]
+        assert got == plain_licenses(scanner, text)
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    found = license_zstd.digest(license_zstd.scan_licenses(cases.docs(spark, rows))).collect()
+    for r in found:
+        want = ",".join(f"{name}:{a}:{b}:{m}:{n}" for a, b, name, m, n in plain_licenses(scanner, texts[r["doc_id"]]))
+        assert r["licenses"] == want
+
+
+def test_savings_decide_which_license_is_found(monkeypatch):
+    texts = licensed_texts()
+    by_saving = [license_zstd.Scanner().scan(t) for t in texts]
+    scanner = license_zstd.Scanner()
+    monkeypatch.setattr(scanner, "saved", lambda k, words: 10_000)
+    constant = [scanner.scan(t) for t in texts]
+    assert sum([(x["license"], x["start"], x["end"]) for x in a] != [(x["license"], x["start"], x["end"]) for x in b]
+               for a, b in zip(by_saving, constant)) > len(texts) // 4
+
+
+def test_many_notices_in_one_text_take_linear_time():
+    assert len(license_zstd.Scanner().scan("All rights reserved. " * 8_000)) == 8_000
