@@ -14,6 +14,7 @@ Defined cases: null and empty texts have no spans; rows stay one to one, repeate
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -130,7 +131,7 @@ def ibans(text: str) -> Iterator[tuple[int, int]]:
         m = IBAN.search(text, after)
 
 
-def added_spans(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[str, int, int, bool]]:
+def added_spans(text: str, taken: set[tuple[int, int]]) -> Iterator[tuple[str, int, int, bool]]:
     for start, end in ibans(text):
         yield "iban", start, end, True
     for m in DIGIT_RUN.finditer(text):
@@ -148,18 +149,39 @@ def added_spans(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[str,
         yield "national_id", m.start(), m.end(), False
 
 
+class Taken:
+    """Places that spans take, joined where they overlap; asked and added to by bisection."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def add(self, start: int, end: int) -> bool:
+        """Take a place, if nothing overlaps it."""
+        i = bisect_left(self.starts, end)
+        if i and self.ends[i - 1] > start:
+            return False
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
+        return True
+
+
 def spans_of(text: str) -> list[dict]:
     """All spans of a text, by kind as listed above, then by start."""
     found = [{"kind": kind, "start": start, "end": end, "score": _score(kind, text, start, end, ok), "base": True}
              for kind, start, end, ok in base_spans(text)]
-    taken = [(x["start"], x["end"]) for x in found]
+    taken = Taken([(x["start"], x["end"]) for x in found])
     cards = {(x["start"], x["end"]) for x in found if x["kind"] == "card"}
-    for kind, start, end, ok in added_spans(text, list(cards)):
+    for kind, start, end, ok in added_spans(text, cards):
         score = _score("card" if kind == "card_in_run" else kind, text, start, end, ok)
-        clash = any(start < e and s < end for s, e in taken)
-        if score >= ADD_AT and not clash:
+        if score >= ADD_AT and taken.add(start, end):
             found.append({"kind": kind, "start": start, "end": end, "score": score, "base": False})
-            taken.append((start, end))
     order = {kind: i for i, kind in enumerate(BASE_KINDS + ADDED_KINDS)}
     return sorted(found, key=lambda x: (order[x["kind"]], x["start"]))
 

@@ -212,7 +212,10 @@ def labelled(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray
     quality = F.col("quality").cast("double")
     # a number in place of the id brings the label through the statistics
     made = statistics(rows.select(quality.alias("doc_id"), "text"))
-    got = made.select("doc_id", *(c.alias(n) for n, c in measures().items())).orderBy("doc_id", *MEASURES).collect()
+    drawn = made.select("doc_id", *(c.alias(n) for n, c in measures().items()))
+    # an id may stand on any number of rows: the rows that come to the driver are bounded as well
+    drawn = drawn.orderBy(F.xxhash64(F.lit("rows"), "doc_id", *MEASURES), "doc_id", *MEASURES).limit(MAX_LABELLED)
+    got = drawn.orderBy("doc_id", *MEASURES).collect()
     table = np.array([tuple(r) for r in got], float).reshape(len(got), 1 + len(MEASURES))
     return table[:, 1:], table[:, 0] == 0
 

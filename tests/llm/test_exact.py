@@ -1,9 +1,11 @@
 """Operators with exact results against SQL, brute force or a round trip."""
 
+import hashlib
 import itertools
 import random
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -77,6 +79,37 @@ def test_long_runs_take_linear_time():
         list(pii.base_spans(text))
 
 
+@pytest.mark.parametrize("one", ["4111 1111 1111 1111", "bank DE89370400440532013000", "a@b.co", "ssn 123-45-6789"])
+def test_a_text_of_many_spans_takes_linear_time(one):
+    began = time.perf_counter()
+    found = pii.spans_of(", ".join([one] * (1_000_000 // len(one))))
+    assert len(found) >= 1_000_000 // len(one) and time.perf_counter() - began < 60
+
+
+def test_taken_places_equal_a_plain_list():
+    rng = random.Random(3)
+    for _ in range(500):
+        base = [(a, a + rng.randint(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randrange(6)))]
+        taken, plain = pii.Taken(base), list(base)
+        for _ in range(12):
+            start = rng.randrange(60)
+            end = start + rng.randint(1, 9)
+            free = all(end <= a or b <= start for a, b in plain)
+            assert taken.add(start, end) == free
+            plain += [(start, end)] * free
+
+
+def test_digest_equals_plain_spans(spark):
+    texts = dict(connect(SF).execute("select doc_id, text from documents").fetchall())
+    kinds = list(PATTERNS)
+    for r in QUERIES["op2_pii_spans"](spark, SF).collect():
+        base = sorted(plain_spans(texts[r["doc_id"]] or ""), key=lambda x: (kinds.index(x[0]), x[1]))
+        assert [r[f"n_{k}"] for k in kinds] == [sum(x[0] == k for x in base) for k in kinds]
+        written = [f"{k}:{a}:{b}" for k, a, b in base]
+        assert r["base_sha256"] == hashlib.sha256(",".join(written).encode()).hexdigest()
+        assert [x for x in r["spans"].split(",") if x.split(":")[0] in kinds] == ([*written] or [])
+
+
 def test_added_kinds_need_checksum_or_context():
     def kinds(text):
         return [x["kind"] for x in pii.spans_of(text) if not x["base"]]

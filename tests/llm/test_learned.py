@@ -1,6 +1,7 @@
 """Models against brute force, and their accuracy on held-out rows."""
 
 import itertools
+import zlib
 
 import numpy as np
 import pytest
@@ -115,6 +116,15 @@ def test_quality_counts_equal_plain_python(spark, sf):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_rows_on_the_driver_are_bounded_for_a_hot_id(spark, monkeypatch):
+    """One labelled id on many different texts: no more rows are learned from than the bound."""
+    monkeypatch.setattr(quality_rules, "MAX_LABELLED", 10)
+    hot = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 4 != 2)
+    docs = cases.docs(spark, [(hot, cases.prose(i), "en", "s") for i in range(300)] + [(None, cases.prose(i), "en", "s") for i in range(9)])
+    x, bad = quality_rules.labelled(docs, cases.labels(spark, [(hot, 0, 0, "e"), (None, 1, 0, "e")]))
+    assert len(x) == len(bad) == 10 and bad.all()
+
+
 def test_quality_plan_is_native(spark):
     plan = QUERIES["op7_quality_rules"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan and "Exchange" not in plan
