@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.config import (
@@ -16,6 +16,7 @@ from eventloom.functions import contains_any, first_present, floor_div, matched_
 from eventloom.functions.columns import host_column
 from eventloom.operators.detectors import CERT_SCHEMA, keyword_scan
 from eventloom.operators.ordered import US, prefix
+from eventloom.session import materialize
 
 GC_SCHEMA = "type string, host string, time timestamp, matched_keywords array<string>, raw_excerpt string"
 BACKLOG_SCHEMA = "type string, host string, state string, count bigint"
@@ -73,6 +74,12 @@ def detect_thread_count_growth(events: DataFrame, window_seconds: int = 300, gro
         .groupBy("bucket")
         .agg(F.avg("threads").alias("current_avg"))
     )
+    return _growth(buckets, window_seconds, growth_ratio)
+
+
+def _growth(buckets: DataFrame, window_seconds: int, growth_ratio: float) -> DataFrame:
+    """Growth between means (``bucket, current_avg``) of buckets of time."""
+    width = window_seconds * US
     ratio = F.col("current_avg") / F.nullif(F.col("prev_avg"), F.lit(0.0))
     return (
         prefix(buckets, "bucket", "current_avg", "prev_avg", how="last")
@@ -127,30 +134,52 @@ def saturation_host_ranking(events: DataFrame) -> DataFrame:
     )
 
 
-def saturation_verdict(events: DataFrame, window_seconds: int = 300) -> DataFrame:
+def saturation_verdict(events: DataFrame, window_seconds: int = 300, growth_ratio: float = 1.5, min_count: int = 5) -> DataFrame:
     """One row: five signals, their number, and the confidence (two or more: High).
 
-    The text signals and the event count come from one scan; the others are scalar subqueries
-    over aggregates.
+    One pass over the events sums up all that the signals need per time bucket and host, and writes these few rows; the
+    signals are scalar subqueries over them.
     """
-    text = F.lower(F.coalesce(F.col("_raw").cast("string"), F.lit(""))) if "_raw" in events.columns else F.lit("")
-
-    def any_row(found: DataFrame):
-        return (found.limit(1).agg(F.count(F.lit(1)).alias("n")).scalar() > 0)
+    def value(names) -> Column:
+        field = first_present(events, names)
+        return to_double(events, field) if field else F.lit(None).cast("double")
 
-    growth = any_row(detect_thread_count_growth(events, window_seconds))
-    backlog = any_row(detect_socket_backlog(events))
-    loaded = any_row(correlate_latency_load(events, window_seconds).where(F.col("avg_threads") > 0))
-    row = events.agg(
-        F.count(F.lit(1)).alias("event_count"),
-        F.coalesce(F.max(contains_any(text, THREAD_EXHAUSTION_KEYWORDS)), F.lit(False)).alias("thread_exhaustion"),
-        F.coalesce(F.max(contains_any(text, GC_KEYWORDS)), F.lit(False)).alias("gc_pressure"),
+    has_time = "time" in events.columns
+    text = F.lower(F.coalesce(F.col("_raw").cast("string"), F.lit(""))) if "_raw" in events.columns else F.lit("")
+    loaded = F.col("threads").isNotNull() & F.col("latency").isNotNull()
+    cells = materialize(
+        events.select(
+            (floor_div(micros(F.col("time")), window_seconds * US) if has_time else F.lit(None).cast("bigint")).alias("bucket"),
+            or_unknown(host_column(events)).alias("host"), text.alias("text"),
+            value(THREAD_COUNT_FIELDS).alias("threads"), value(LATENCY_FIELDS).alias("latency"))
+        .groupBy("bucket", "host")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.max(contains_any(F.col("text"), THREAD_EXHAUSTION_KEYWORDS)).alias("exhausted"),
+            F.max(contains_any(F.col("text"), GC_KEYWORDS)).alias("collected"),
+            F.sum("threads").alias("threads"), F.count("threads").alias("counted"),
+            F.sum(F.when(loaded, F.col("threads"))).alias("loaded_threads"), F.count_if(loaded).alias("loaded"),
+            *(F.count_if(F.contains("text", F.lit(state))).alias(f"state{i}") for i, state in enumerate(SOCKET_STATES))),
+        "saturation-cells")
+    buckets = cells.where("bucket is not null").groupBy("bucket").agg(
+        F.try_divide(F.sum("threads"), F.sum("counted")).alias("current_avg"),
+        F.try_divide(F.sum("loaded_threads"), F.sum("loaded")).alias("avg_threads"))
+    states = [F.sum(f"state{i}") for i in range(len(SOCKET_STATES))]
+    backlog = cells.groupBy("host").agg(F.greatest(*states).alias("most")).where(F.col("most") >= min_count)
+
+    def any_row(found: DataFrame) -> Column:
+        return found.limit(1).agg(F.count(F.lit(1)).alias("n")).scalar() > 0
+
+    row = cells.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("event_count"),
+        F.coalesce(F.max("exhausted"), F.lit(False)).alias("thread_exhaustion"),
+        F.coalesce(F.max("collected"), F.lit(False)).alias("gc_pressure"),
     ).select(
         "event_count",
         "thread_exhaustion",
-        growth.alias("thread_count_growth"),
-        loaded.alias("latency_vs_thread_load"),
-        backlog.alias("socket_backlog"),
+        any_row(_growth(buckets.where("current_avg is not null"), window_seconds, growth_ratio)).alias("thread_count_growth"),
+        any_row(buckets.where("avg_threads > 0")).alias("latency_vs_thread_load"),
+        any_row(backlog).alias("socket_backlog"),
         "gc_pressure",
     )
     signals = sum(
