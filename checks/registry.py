@@ -530,26 +530,60 @@ def scratch(spark) -> str:
     return f"{scratch_root(spark)}/check-{uuid.uuid4().hex}"
 
 
+def export(spark, sf, form: str) -> str:
+    """The log with its time as text, written as one JSON export (an envelope or a list), as lines, or as CSV."""
+    path, log = scratch(spark), sample_log(spark, sf)
+    log = log.withColumn("time", F.date_format("time", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    if form == "csv":
+        log.write.option("header", True).option("escape", '"').csv(path)
+        return path
+    body = F.to_json(F.struct(*log.columns))
+    if form == "lines":
+        log.select(body).write.text(path)
+        return path
+    opening, closing = ('{"took": 3, "results": [', "]}") if form == "envelope" else ("[", "]")
+    last = log.agg(F.max("seq")).scalar()
+    lines = log.select("seq", F.concat(body, F.when(F.col("seq") < last, ",").otherwise("")).alias("line"))
+    ends = spark.createDataFrame([(-1, opening), (1 << 60, closing)], "seq bigint, line string")
+    lines.unionByName(ends).coalesce(1).sortWithinPartitions("seq").select("line").write.text(path)
+    return path
+
+
 @query
 def read_events_json(spark, sf):
-    """JSON lines written from the log and read back."""
-    path = scratch(spark)
-    sample_log(spark, sf).select("seq", "host", "_raw", "duration_ms").write.json(path)
-    return readers.read_events_json(spark, path, lines=True).select("seq", "host", "_raw", "duration_ms")
+    """An envelope and a list, with all fields."""
+    return readers.read_events_json(spark, export(spark, sf, "envelope")).withColumn("form", F.lit("envelope")).unionByName(
+        readers.read_events_json(spark, export(spark, sf, "list")).withColumn("form", F.lit("list")))
+
+
+@query
+def read_events_lines(spark, sf):
+    """Lines whose nested fields drift from a schema: what does not fit is kept as text."""
+    path, k = scratch(spark), F.col("active_threads")
+    body = F.concat(
+        F.lit('{"seq":'), F.col("seq").cast("string"), F.lit(',"d":{"k":'),
+        F.when(k % 5 == 0, F.concat(F.lit('"'), k.cast("string"), F.lit('x"'))).otherwise(k.cast("string")),
+        F.when(k % 7 == 0, F.lit(',"fresh":[1]')).otherwise(""), F.lit("}}"))
+    sample_log(spark, sf).select(body).write.text(path)
+    found = readers.read_events_lines(spark, path, "seq bigint, d struct<k:bigint>")
+    return found.select("seq", F.col("d.k").alias("k"), F.element_at("extra", "d").alias("kept"))
 
 
 @query
 def read_events_csv(spark, sf):
-    path = scratch(spark)
-    sample_log(spark, sf).select("seq", "host", "_raw").write.option("header", True).option("escape", '"').csv(path)
-    return readers.read_events_csv(spark, path)
+    return readers.read_events_csv(spark, export(spark, sf, "csv"))
 
 
 @query
 def read_events(spark, sf):
-    path = scratch(spark)
-    sample_log(spark, sf).select("seq", "sourcetype", "uri").write.option("header", True).csv(path)
-    return readers.read_events(spark, path)
+    """Every form told by its content: all fields of lines, and the counts of the others."""
+    lines = readers.read_events(spark, export(spark, sf, "lines")).withColumn("form", F.lit("lines"))
+    parts = [lines.select("form", "seq", "time", "host", "status", "duration_ms", "_raw")]
+    for form in ("envelope", "list", "csv"):
+        found = readers.read_events(spark, export(spark, sf, form))
+        parts.append(found.select(F.lit(form).alias("form"), F.col("seq").cast("bigint"), "time", "host",
+                                  F.col("status").cast("bigint"), F.col("duration_ms").cast("double"), "_raw"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query

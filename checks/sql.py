@@ -475,10 +475,20 @@ _KINDS = """body as (
 _MERGED = """select sourcetype, field_name, arg_max(dtype, (last_seen, dtype)) as dtype, min(first_seen) as first_seen,
   max(last_seen) as last_seen from {0} group by sourcetype, field_name"""
 
+_TIME_TEXT = "strftime(log.time, '%Y-%m-%d %H:%M:%S.%f')"
+
 ORACLE |= {
-    "read_events_json": _log("select seq, host, _raw, duration_ms from log"),
-    "read_events_csv": _log("select cast(seq as varchar) as seq, host, _raw from log"),
-    "read_events": _log("select cast(seq as varchar) as seq, sourcetype, uri from log"),
+    "read_events_json": _log(f"""select f.form, log.* replace ({_TIME_TEXT} as time)
+      from log, (values ('envelope'), ('list')) f(form)"""),
+    "read_events_csv": _log(f"""select cast(seq as varchar) as seq, {_TIME_TEXT} as time, host, sourcetype, source, app,
+      error_code, cast(duration_ms as varchar) as duration_ms, cast(active_threads as varchar) as active_threads,
+      cast(status as varchar) as status, uri, _raw from log"""),
+    "read_events": _log(f"""select f.form, seq, {_TIME_TEXT} as time, host, status, duration_ms, _raw
+      from log, (values ('lines'), ('envelope'), ('list'), ('csv')) f(form)"""),
+    "read_events_lines": _log("""select seq, case when active_threads % 5 <> 0 then active_threads end as k,
+      case when active_threads % 5 = 0 or active_threads % 7 = 0 then concat('{"k":',
+        case when active_threads % 5 = 0 then concat('"', active_threads, 'x"') else cast(active_threads as varchar) end,
+        case when active_threads % 7 = 0 then ',"fresh":[1]' else '' end, '}') end as kept from log"""),
     "read_records": _log("select seq, date_trunc('second', time) as time, host, active_threads, duration_ms from log"),
     "scan_events": _log("""select seq, time, host, status from log where sourcetype = 'app:error'
       and time >= timestamp '2024-01-11 00:00:00' and time < timestamp '2024-01-12 06:00:00'"""),
