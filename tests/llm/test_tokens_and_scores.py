@@ -129,7 +129,7 @@ def test_frequent_grams_are_one_entry_per_slice(spark):
     rows = [(i, "the cat sat on the mat " * 50, "en", "s") for i in range(300)]
     dealt = ppm.dealt(cases.docs(spark, rows).coalesce(1), slice_bytes=100_000)
     slices = dealt.select("slice").distinct().count()
-    assert 3 <= slices <= 4
+    assert 2 <= slices <= 4
     assert dealt.agg(F.sum("entries")).first()[0] < slices * 60
 
 
