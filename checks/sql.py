@@ -462,15 +462,15 @@ ORACLE |= {
 _KINDS = """body as (
   select event_type as sourcetype, ts, cast(regexp_extract(props, '([0-9]+)', 1) as int) as k from events),
  typed as (
-  select sourcetype, 'k' as field_name, case when k % 50 = 0 then 'List' when k % 9 = 0 then 'String' else 'Int64' end
+  select sourcetype, 'k' as field_name, case when k % 50 = 0 then 'array<string>' when k % 9 = 0 then 'string' else 'bigint' end
     as dtype, ts from body
-  union all select sourcetype, 'tag', 'String', ts from body where k % 50 = 0
-  union all select sourcetype, 'ratio', 'Float64', ts from body where k % 9 = 0 and k % 50 <> 0),
+  union all select sourcetype, 'tag', 'string', ts from body where k % 50 = 0
+  union all select sourcetype, 'ratio', 'double', ts from body where k % 9 = 0 and k % 50 <> 0),
  seen as (select sourcetype, field_name, dtype, min(ts) as first_seen, max(ts) as last_seen from typed group by all),
  cols as (
   select event_type as sourcetype, f.field_name, f.dtype, min(ts) as first_seen, max(ts) as last_seen
-  from events cross join (values ('event_id', 'Int64'), ('user_id', 'Int64'), ('sourcetype', 'String'),
-    ('value', 'Float64'), ('props', 'String')) f(field_name, dtype) group by all)"""
+  from events cross join (values ('event_id', 'bigint'), ('user_id', 'bigint'), ('sourcetype', 'string'),
+    ('value', 'double'), ('props', 'string')) f(field_name, dtype) group by all)"""
 
 _MERGED = """select sourcetype, field_name, arg_max(dtype, (last_seen, dtype)) as dtype, min(first_seen) as first_seen,
   max(last_seen) as last_seen from {0} group by sourcetype, field_name"""

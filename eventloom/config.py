@@ -74,18 +74,6 @@ PAIR_PATTERNS = (
     PairPattern("host", "crl", "handshake failed", 3600),
 )
 
-# Stored dtype names of the schema catalogue and the Spark types they stand for.
-# Everything that is not listed is read back as a string.
-CATALOG_TYPES = {
-    "String": "string",
-    "Int64": "bigint",
-    "Int32": "int",
-    "Float64": "double",
-    "Boolean": "boolean",
-    "Datetime(time_unit='us', time_zone='UTC')": "timestamp",
-}
-
-
 @dataclass(frozen=True)
 class Params:
     """Every threshold in one place; operators take the values explicitly."""

@@ -7,24 +7,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.config import CATALOG_TYPES
 from eventloom.session import materialize
 
 CATALOG_SCHEMA = "sourcetype string, field_name string, dtype string, first_seen timestamp, last_seen timestamp"
 
 
 def stored_name(dtype: T.DataType) -> str:
-    simple = dtype.simpleString()
-    if isinstance(dtype, T.ArrayType):
-        return f"List({stored_name(dtype.elementType)})"
-    if simple == "timestamp_ntz":
-        simple = "timestamp"
-    names = {spark: stored for stored, spark in CATALOG_TYPES.items()}
-    return names.get(simple, "String")
+    """Types are stored as Spark writes them, nested ones whole; times without a zone count as UTC."""
+    return "timestamp" if isinstance(dtype, T.TimestampNTZType) else dtype.simpleString()
+
+
+def _stored_type(name: str) -> T.DataType:
+    """The type of a stored name; one that cannot be read, such as one with odd field names, is read as text."""
+    try:
+        return T._parse_datatype_string(name)
+    except ParseException:
+        return T.StringType()
 
 
 def observe_columns(events: DataFrame, seen: str = "time") -> DataFrame:
@@ -60,7 +63,7 @@ def observe_json(records: DataFrame, body: str, sourcetype: str, seen: str) -> D
     )
     return (
         typed.select("sourcetype", "field_name", _variant_name(F.col("value")).alias("dtype"), "seen")
-        .where(F.col("dtype") != "Null")
+        .where(F.col("dtype").isNotNull())
         .groupBy("sourcetype", "field_name", "dtype")
         .agg(F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen"))
     )
@@ -69,14 +72,13 @@ def observe_json(records: DataFrame, body: str, sourcetype: str, seen: str) -> D
 def _variant_name(value: Column) -> Column:
     kind = F.schema_of_variant(value)
     return (
-        F.when(value.isNull() | F.is_variant_null(value), F.lit("Null"))
-        .when(kind == "BIGINT", F.lit("Int64"))
-        .when(kind == "DOUBLE", F.lit("Float64"))
-        .when(kind.startswith("DECIMAL"), F.lit("Float64"))
-        .when(kind == "BOOLEAN", F.lit("Boolean"))
-        .when(kind.startswith("ARRAY"), F.lit("List"))
-        .when(kind.startswith("OBJECT"), F.lit("Struct"))
-        .otherwise(F.lit("String"))
+        F.when(value.isNull() | F.is_variant_null(value), F.lit(None).cast("string"))
+        .when(kind == "BIGINT", F.lit("bigint"))
+        .when((kind == "DOUBLE") | kind.startswith("DECIMAL"), F.lit("double"))
+        .when(kind == "BOOLEAN", F.lit("boolean"))
+        .when(kind.startswith("ARRAY"), F.lit("array<string>"))
+        .when(kind.startswith("OBJECT"), F.lit("map<string,string>"))
+        .otherwise(F.lit("string"))
     )
 
 
@@ -112,9 +114,7 @@ def schema_catalog_load(catalog: DataFrame, sourcetype: str) -> T.StructType | N
     rows = catalog.where(F.col("sourcetype") == sourcetype).orderBy("field_name").select("field_name", "dtype").collect()
     if not rows:
         return None
-    return T.StructType([
-        T.StructField(name, T._parse_datatype_string(CATALOG_TYPES.get(dtype, "string"))) for name, dtype in rows
-    ])
+    return T.StructType([T.StructField(name, _stored_type(dtype)) for name, dtype in rows])
 
 
 def write_catalog(catalog: DataFrame, path: str) -> None:

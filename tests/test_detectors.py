@@ -9,7 +9,7 @@ from eventloom.operators import areas as A
 from eventloom.operators import detectors as D
 from eventloom.operators import saturation as S
 
-BASE = datetime(2026, 1, 1, tzinfo=timezone.utc)
+BASE = datetime(2027, 3, 14, 5, 20, tzinfo=timezone.utc)
 
 
 def nothing(spark):
@@ -37,17 +37,19 @@ def said(spark, *entries):
 # --- slow -------------------------------------------------------------------
 
 def test_slow_is_strict_and_slowest_first(spark):
-    df = spark.createDataFrame([("a", 200, "fast"), ("b", 1500, "slow"), ("c", 3000, "slowest"), ("d", 1000, "edge")],
-                               "host string, duration_ms int, query string")
-    found = D.detect_slow_queries(df, 1000).collect()
-    assert [(r["host"], r["duration_ms"], r["query"]) for r in found] == [("c", 3000.0, "slowest"), ("b", 1500.0, "slow")]
-
-
-def test_slow_other_field_and_text_values(spark):
-    df = spark.createDataFrame([("a", "5000"), ("b", "5000ms"), ("c", "5d"), ("d", None), ("e", "1e4")],
-                               "host string, elapsed string")
-    found = D.detect_slow_queries(df).collect()
-    assert [(r["host"], r["field"]) for r in found] == [("e", "elapsed"), ("a", "elapsed")]
+    """Readings around a limit of 250 ms; those of exactly the limit are not slow."""
+    readings = [("pump", 250.0), ("valve", 250.5), ("meter", 12.0), ("press", 7200.25), ("belt", None), ("oven", 251.0)]
+    df = spark.createDataFrame(readings, "host string, latency_ms double").withColumn("spl", F.concat(F.lit("read "), "host"))
+    found = [tuple(r)[:4] for r in D.detect_slow_queries(df, 250).collect()]
+    assert found == [(7200.25, "latency_ms", "press", "read press"), (251.0, "latency_ms", "oven", "read oven"),
+                     (250.5, "latency_ms", "valve", "read valve")]
+
+
+@pytest.mark.parametrize("text, slow", [("1e3", False), ("1001", True), (" 2000", False), ("2000ms", False), ("+1.5e3", True),
+                                        ("", False), (None, False), ("12d", False), ("Infinity", True)])
+def test_durations_given_as_text(spark, text, slow):
+    df = spark.createDataFrame([("h", text)], "hostname string, run_time string")
+    assert [r["field"] for r in D.detect_slow_queries(df).collect()] == ["run_time"] * slow
 
 
 def test_query_text_is_cut_at_200(spark):

@@ -372,18 +372,18 @@ def test_catalog_merge_reset_and_load(spark, tmp_path):
     rows = [("s", "a", 1, moment(1)), ("s", None, 2, moment(2)), ("t", None, 3, moment(3))]
     seen = catalog.observe_columns(spark.createDataFrame(rows, "sourcetype string, value string, n bigint, time timestamp"))
     merged = catalog.schema_catalog_upsert(None, seen)
-    fresh = spark.createDataFrame([("s", "value", "List(String)", moment(5), moment(6))], catalog.CATALOG_SCHEMA)
+    fresh = spark.createDataFrame([("s", "value", "array<string>", moment(5), moment(6))], catalog.CATALOG_SCHEMA)
     updated = {(r["sourcetype"], r["field_name"]): (r["dtype"], r["first_seen"].day, r["last_seen"].day)
                for r in catalog.schema_catalog_upsert(merged, fresh).collect()}
-    assert updated[("s", "value")] == ("List(String)", 1, 6) and updated[("s", "n")] == ("Int64", 1, 2)
+    assert updated[("s", "value")] == ("array<string>", 1, 6) and updated[("s", "n")] == ("bigint", 1, 2)
     assert ("t", "value") not in updated  # never filled for that sourcetype
     reset = {(r["sourcetype"], r["field_name"]): r["dtype"] for r in catalog.schema_catalog_reset(merged, fresh, ["s"]).collect()}
-    assert reset == {("s", "value"): "List(String)", ("t", "sourcetype"): "String", ("t", "n"): "Int64"}
+    assert reset == {("s", "value"): "array<string>", ("t", "sourcetype"): "string", ("t", "n"): "bigint"}
     path = str(tmp_path / "catalog")
     catalog.write_catalog(merged, path)
     catalog.write_catalog(catalog.schema_catalog_upsert(None, fresh), path)  # replaces s only
     stored = catalog.read_catalog(spark, path)
-    assert catalog.schema_catalog_load(stored, "s") == T.StructType([T.StructField("value", T.StringType())])
+    assert catalog.schema_catalog_load(stored, "s") == T.StructType([T.StructField("value", T.ArrayType(T.StringType()))])
     assert catalog.schema_catalog_load(stored, "t")["n"].dataType == T.LongType()
     assert catalog.schema_catalog_load(stored, "unseen") is None
 
@@ -392,7 +392,15 @@ def test_drift_of_json_values(spark):
     rows = [("s", '{"v": "x", "n": 1}', moment(1)), ("s", '{"v": ["x"], "n": 2}', moment(2)), ("t", '{"v": null}', moment(3))]
     seen = catalog.observe_json(spark.createDataFrame(rows, "st string, body string, at timestamp"), "body", "st", "at")
     assert [(r["sourcetype"], r["field_name"], r["dtypes"]) for r in catalog.schema_drift(seen).collect()] == [
-        ("s", "v", ["List", "String"])]
+        ("s", "v", ["array<string>", "string"])]
+
+
+def test_nested_types_are_stored_whole(spark):
+    rows = spark.createDataFrame([("s", (1, ["x"]), moment(1))], "sourcetype string, d struct<a:bigint,list:array<string>>, time timestamp")
+    stored = catalog.schema_catalog_upsert(None, catalog.observe_columns(rows))
+    assert catalog.schema_catalog_load(stored, "s")["d"].dataType == rows.schema["d"].dataType
+    odd = spark.createDataFrame([("s", "f", "struct<a b:int>", moment(1), moment(1))], catalog.CATALOG_SCHEMA)
+    assert catalog.schema_catalog_load(odd, "s")["f"].dataType == T.StringType()
 
 
 def test_detectors_read_only_their_columns(spark, tmp_path):
