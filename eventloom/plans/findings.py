@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from eventloom.config import (
     DEFAULTS,
@@ -36,6 +35,9 @@ JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 # bundle entries that are not lists of findings
 SINGLE = ("severity", "event_count")
 
+# a digest names so many levels at most
+TOP_LEVELS = 99
+
 
 def event_count(events: DataFrame) -> DataFrame:
     return events.agg(F.count(F.lit(1)).alias("event_count"))
@@ -232,9 +234,9 @@ def findings_digest(findings: Findings, top: int = 3) -> DataFrame:
         of_kind = (F.lit(section).alias("section"), F.lit(kind).alias("type"))
         head = findings[kind].agg(F.count(F.lit(1)).alias("n")).where("n > 0")
         parts.append(head.select(*of_kind, F.lit(0).alias("place"), F.concat(F.col("n").cast("string"), F.lit(f" {title}")).alias("line")))
-        shown = rows if kind == "severity" else rows.orderBy(*order).limit(top)  # levels are few, and all are shown
-        placed = shown.withColumn("type", F.lit(kind)).withColumn(
-            "place", F.row_number().over(Window.partitionBy("type").orderBy(*order)))
+        # the few rows of a top-k are one sorted partition, in which row numbers are places
+        placed = rows.orderBy(*order).limit(TOP_LEVELS if kind == "severity" else top).withColumn(
+            "place", (F.monotonically_increasing_id() + 1).cast("int"))
         parts.append(placed.select(*of_kind, "place", line.alias("line")))
     out = parts[0]
     for part in parts[1:]:
