@@ -22,6 +22,8 @@ from eventloom.sources.tables import alert_rows, path_part, store_alerts
 
 logger = logging.getLogger(__name__)
 
+MERGE_SESSIONS = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+
 
 # ---------------------------------------------------------------------------
 # Tagging
@@ -163,7 +165,12 @@ def stream_patterns(events: DataFrame, window_seconds: int = 60, late_seconds: i
 
 def stream_sessions(events: DataFrame, key: str = "app", gap_seconds: int = 60,
                     late_seconds: int = DEFAULTS.watch_overlap_seconds) -> DataFrame:
-    """Cascades per ``key`` (a stream cannot hold one global session without a key)."""
+    """Cascades per ``key`` (a stream cannot hold one global session without a key).
+
+    Each task merges the sessions of its own events before the shuffle, so the one task that a key meets in gets a row per
+    task and session, not one per event.
+    """
+    events.sparkSession.conf.set(MERGE_SESSIONS, "true")
     return (
         events.withWatermark("time", f"{late_seconds} seconds")
         .groupBy(F.session_window("time", f"{gap_seconds} seconds").alias("w"), key)

@@ -62,6 +62,18 @@ def test_sessions_across_files_and_out_of_order(spark, tmp_path):
     assert got.where("app = 'api'").count() == want.count() == 2  # a gap of exactly 60 s joins
 
 
+def test_sessions_merge_before_the_shuffle(spark, tmp_path, capsys):
+    """A key's events never meet in one task; what its tasks send there are sessions."""
+    path = f"{tmp_path}/in"
+    write(spark, path, [event(i, i) for i in range(50)])
+    query = W.run_to_table(W.stream_sessions(source(spark, path)), f"{tmp_path}/out", "complete")
+    query.awaitTermination()
+    query.explain()
+    plan = capsys.readouterr().out
+    assert plan.rindex("MergingSessions") > plan.rindex("Exchange")
+    assert spark.read.parquet(f"{tmp_path}/out").first()["event_count"] == 50
+
+
 def test_grid_spikes_and_patterns(spark, tmp_path):
     path = f"{tmp_path}/in"
     rows = [event(i, i, host="ab"[i % 2]) for i in range(20)] + [event(90, 90, code="E2")]
