@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 from datetime import datetime, timezone
 
@@ -746,18 +746,26 @@ def stream_source(spark, sf):
     return drained(spark, stream).select("event_id", "ts", "event_type")
 
 
-def log_files(spark, sf, until=("2024-01-08", "2024-01-20", "2025-01-01")) -> DataFrame:
-    """The log as a stream of several files, one per micro-batch, in the order of time."""
+def log_parts(spark, sf, until=("2024-01-08", "2024-01-20", "2025-01-01")) -> Iterator[DataFrame]:
+    """The log as a stream that grows in the order of time: each run of it finds the files of one more stretch."""
     path, log, start = scratch(spark), sample_log(spark, sf), "2000-01-01"
     for end in until:
-        log.where((F.col("time") >= start) & (F.col("time") < end)).coalesce(1).write.mode("append").parquet(path)
+        log.where((F.col("time") >= start) & (F.col("time") < end)).write.mode("append").parquet(path)
         start = end
-    return W.stream_source(spark, path, log.schema, maxFilesPerTrigger="1")
+        yield W.stream_source(spark, path, log.schema)
+
+
+def drained_parts(spark, sf, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream has appended after a run, from its checkpoint, for every part of the log."""
+    path = scratch(spark)
+    for stream in map(build, log_parts(spark, sf)):
+        W.run_to_table(stream, path).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 @query
 def stream_spikes(spark, sf):
-    return drained(spark, stateful.stream_spikes(log_files(spark, sf), 3600, 20))
+    return drained_parts(spark, sf, lambda log: stateful.stream_spikes(log, 3600, 20))
 
 
 @query
@@ -767,7 +775,7 @@ def stream_spikes_grid(spark, sf):
 
 @query
 def stream_patterns(spark, sf):
-    return drained(spark, stateful.stream_patterns(log_files(spark, sf), 86400))
+    return drained_parts(spark, sf, lambda log: stateful.stream_patterns(log, 86400))
 
 
 @query
@@ -777,7 +785,7 @@ def stream_patterns_complete(spark, sf):
 
 @query
 def stream_sessions(spark, sf):
-    return drained(spark, stateful.stream_sessions(log_files(spark, sf), 60))
+    return drained_parts(spark, sf, lambda log: stateful.stream_sessions(log, 60))
 
 
 @query
@@ -800,7 +808,8 @@ def stream_overlap(spark, sf):
 def watch_cycles(spark, sf):
     """Alerts of single events over three cycles of the watch loop, one by one although some are equal."""
     root = scratch(spark)
-    W.start_watch(log_files(spark, sf), root, "watch", PARAMS, once=True).awaitTermination()
+    for stream in log_parts(spark, sf):
+        W.start_watch(stream, root, "watch", PARAMS, once=True).awaitTermination()
     found = tables.read_alerts(spark, root).where(~F.col("summary").rlike("^(Spike|Repeated)"))
     return found.groupBy("severity", "summary").agg(F.count(F.lit(1)).alias("n"))
 

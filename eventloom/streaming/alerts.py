@@ -236,8 +236,8 @@ def _run_cycle(batch: DataFrame, batch_id: int, root: str, run_id: str, params:
     events = batch
     if batch_id > 0:
         events = spark.read.schema(batch.schema).parquet(f"{before}/tail").unionByName(batch)
-    # read by every detector and by the next cycle
-    events = materialize(events, "slice")
+    # read by every detector and by the next cycle; in even parts, however few files or row groups the batch came in
+    events = materialize(events.hint("rebalance"), "slice")
 
     hits = []
     for name, detect in alert_detectors(params).items():

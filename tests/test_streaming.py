@@ -138,6 +138,25 @@ def test_a_wrong_clock_does_not_end_the_overlap(spark, tmp_path):
     assert spark.read.parquet(f"{root}/watch/w1/3/tail").where("seq = 3").isEmpty()
 
 
+def test_a_cycle_spreads_a_batch_of_one_file(spark, tmp_path, monkeypatch):
+    """A batch that one task reads reaches the detectors in many parts."""
+    path, real, parts = f"{tmp_path}/in", W.materialize, {}
+    rows = spark.range(400_000).select(
+        F.col("id").alias("seq"), (F.lit(BASE) + F.make_dt_interval(secs=F.col("id") * 100)).alias("time"),
+        F.lit("shop").alias("app"), F.sha2(F.col("id").cast("string"), 512).alias("_raw"))
+    rows.coalesce(1).write.parquet(path)
+
+    def seen(df, name):
+        table = real(df, name)
+        parts[name] = len(table.inputFiles())
+        return table
+
+    monkeypatch.setattr(W, "materialize", seen)
+    stream = W.stream_source(spark, path, rows.schema, maxFilesPerTrigger="1")
+    W.start_watch(stream, f"{tmp_path}/state", "w1", PARAMS, once=True).awaitTermination()
+    assert parts["slice"] > 1
+
+
 def test_late_events_within_the_overlap_complete_a_burst(spark, tmp_path):
     alerts, _ = watch(spark, tmp_path, [[event(1, 0), event(2, 50)], [event(3, 20), event(4, 30)]])
     assert [r["summary"].split(" ")[1] for r in alerts.collect() if r["summary"].startswith("Spike")] == ["4"]
