@@ -68,12 +68,17 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     or where recomputing would repeat an expensive stage. Unlike an executor-local cache the
     written table survives the loss of executors, and its readers still prune columns.
     """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the scratch folder, removed with the scope it is made in."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     if _written.get() is not None:
         _written.get().append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

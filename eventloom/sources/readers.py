@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.functions import relative_time
+from eventloom.sources.json_pieces import event_lines
 
 
 logger = logging.getLogger(__name__)
@@ -148,13 +149,20 @@ def read_events_json(spark: SparkSession, path: str, schema: T.StructType | str
 
     Lines are splittable and the form to use for large inputs. ``schema`` (for instance from the
     schema catalogue) saves the inference pass. Where a field is a scalar in one event and a list
-    in another, it is read as text. Any other shape gives no events. Fields that differ only by case need
+    in another, it is read as text. Envelopes and lists are cut into lines first, which are written in the scratch folder
+    (see ``spark.checkpoint.dir`` in the README). Any other shape gives no events. Fields that differ only by case need
     ``spark.sql.caseSensitive``, which ``build_session`` sets; readers leave the session as it is.
     """
     reader = spark.read.option("multiLine", not lines)
     if lines:
         return (reader.schema(schema) if schema is not None else reader).json(path)
-    if _head(spark, path).startswith("["):
+    head = _head(spark, path)
+    # cut into events by many tasks; what is no such document, or not in UTF-8, is read whole by one
+    cut = event_lines(spark, path, not head.startswith("[")) if head[:1] in ("[", "{") and "\0" not in head else None
+    if cut is not None:
+        found = spark.read if schema is None else spark.read.schema(schema)
+        return found.json(cut)
+    if head.startswith("["):
         return (reader.schema(schema) if schema is not None else reader).json(path)
     if schema is not None:
         inner = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
