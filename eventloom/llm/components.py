@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from eventloom.session import materialize
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each ``u`` has one edge, to a node that is no ``u`` itself."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.agg(F.coalesce(F.max(F.col("up") + F.least("up", "down")), F.lit(0))).first()[0] <= 1
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` for each node of ``edges (u, v)``; ``root`` is the component's smallest node.
+def star_forest(edges: DataFrame) -> DataFrame:
+    """``node, root`` for each node of ``edges (u, v)`` but the roots; ``root`` is the component's smallest node.
 
     Large stars link each larger neighbour of a node to the smallest one, small stars the smaller ones; a number of
     rounds that grows with the logarithm of the diameter leaves stars only. Minima combine before the shuffle,
@@ -21,18 +25,18 @@ def components(edges: DataFrame) -> DataFrame:
     """
     stars = materialize(edges.where("u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = _state(stars)
-    while state[0]:
+    while not _are_stars(stars):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "large-stars")
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                                                             F.struct("u", F.col("m").alias("v")))).alias("e"))
         stars = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
-        before, state = state, _state(stars)
-        if before == state:
-            break
-    roots = stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node, root`` for each node of ``edges (u, v)``, roots included."""
+    stars = star_forest(edges)
+    return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.components import components
+from eventloom.llm.components import star_forest
 from eventloom.llm.frames import pick, place, positional, slices
 from eventloom.llm.words import split
 from eventloom.session import materialize
@@ -46,6 +46,8 @@ ROWS = 6
 LONG_REGISTERS = 1024
 TILE = 512
 REGISTERS_AT_ONCE = 1 << 19
+#: Arrivals drawn at once while few shingles go on; without it a text of one shingle takes thousands of steps.
+ARRIVALS_AT_ONCE = 1 << 12
 SLICE_BYTES = 4 << 20
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F],
                np.uint64)
@@ -98,19 +100,24 @@ def _signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int) -> np
         time = np.zeros(len(text))
         arrival = 0
         while len(text):
-            arrival += 1
-            draw = mixed(element + np.uint64(arrival * 0x9E3779B97F4A7C15 % (1 << 64)))
+            block = max(1, ARRIVALS_AT_ONCE // len(text))
+            number = np.arange(arrival + 1, arrival + block + 1, dtype=np.uint64) * ODD[0]
+            arrival += block
+            draw = mixed(element[:, None] + number)
             register = ((draw & np.uint64(0xFFFF)) * np.uint64(registers)) >> np.uint64(16)
-            time += -np.log(((draw >> np.uint64(16)).astype(np.float64) + 0.5) / (1 << 48)) / rate
+            steps = -np.log(((draw >> np.uint64(16)).astype(np.float64) + 0.5) / (1 << 48)) / rate[:, None]
+            steps[:, 0] += time
+            times = np.cumsum(steps, axis=1)
             # positive floats order as their bits do, so one minimum keeps the earliest time and its shingle
-            bits = time.astype(np.float32).view(np.uint32).astype(np.uint64)
-            packed = (bits << np.uint64(32)) | (element & np.uint64(0xFFFFFFFF))
-            np.minimum.at(first, text * registers + register.astype(np.int64), packed)
+            bits = times.astype(np.float32).view(np.uint32).astype(np.uint64)
+            packed = (bits << np.uint64(32)) | (element & np.uint64(0xFFFFFFFF))[:, None]
+            at = (text * registers)[:, None] + register.astype(np.int64)
+            np.minimum.at(first, at.reshape(-1), packed.reshape(-1))
             open_texts = text[np.flatnonzero(np.diff(text, prepend=-1))]
             latest = np.zeros(n, np.uint64)
             latest[open_texts] = first.reshape(n, registers)[open_texts].max(axis=1) >> np.uint64(32)
-            going = bits < latest[text]
-            text, element, rate, time = text[going], element[going], rate[going], time[going]
+            going = bits[:, -1] < latest[text]
+            text, element, rate, time = text[going], element[going], rate[going], times[going, -1]
     first[first == empty] = 0
     return (first & np.uint64(0xFFFFFFFF)).astype(np.uint32).reshape(n, registers)
 
@@ -187,7 +194,7 @@ def _verify(similarity: float):
                     keep[i] = probability_jaccard(known, other) >= similarity
                 mask = pa.array(keep)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("a").filter(mask), batch.column("b").filter(mask)], ["u", "v"])
+                    [batch.column("u").filter(mask), batch.column("v").filter(mask)], ["u", "v"])
     return run
 
 
@@ -215,11 +222,11 @@ class Verifier:
         self.similarity = similarity
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """``u, v``: those of the ``pairs (a, b)`` that are similar enough."""
+        """``u, v`` of those ``pairs (a, b, u, v)`` whose contents ``a`` and ``b`` are similar enough."""
         a = self.texts.select(F.col("content").alias("a"), F.col("text").alias("a_text"))
         b = self.texts.select(F.col("content").alias("b"), F.col("text").alias("b_text"))
-        joined = pairs.join(b, "b").join(a, "a").select("a", "b", "a_text", "b_text")
-        return materialize(joined.mapInArrow(_verify(self.similarity), "u bigint, v bigint"), "links")
+        joined = pairs.join(b, "b").join(a, "a").select("a", "u", "v", "a_text", "b_text")
+        return joined.mapInArrow(_verify(self.similarity), "u bigint, v bigint")
 
 
 def _long_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,8 +275,9 @@ def _compare(low: float, high: float):
         """Rows come sorted by band and tiles; a group may go on in the next batch."""
         def pairs(group: pa.Table) -> pa.RecordBatch:
             a, b = _pairs_of_tiles(group, low, high)
-            content = group.column("content").to_numpy()
-            return pa.RecordBatch.from_arrays([pa.array(content[a]), pa.array(content[b])], ["a", "b"])
+            content, root = (group.column(name).to_numpy() for name in ("content", "root"))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (content[a], content[b], root[a], root[b])],
+                                              ["a", "b", "u", "v"])
 
         kept: pa.Table | None = None
         for batch in batches:
@@ -286,10 +294,14 @@ def _compare(low: float, high: float):
     return run
 
 
-def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+def _relabelled(labelled: DataFrame, forest: DataFrame) -> DataFrame:
+    """``labelled`` with each ``root`` that is a node of the ``forest`` replaced by that node's root."""
+    above = forest.select(F.col("node").alias("root"), F.col("root").alias("above"))
+    return labelled.join(above, "root", "left").withColumn("root", F.coalesce("above", "root")).select(*labelled.columns)
+
+
+def _open(labelled: DataFrame) -> DataFrame:
     """``band, content, root`` of the bands whose contents lie in several components."""
-    labelled = members.join(roots, F.col("content") == F.col("node"), "left").select(
-        "band", "content", F.coalesce("root", "content").alias("root"))
     several = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     return labelled.join(several.select("band"), "band", "left_semi")
 
@@ -319,15 +331,14 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, version, content, root``: rows of one near-duplicate class share ``root``."""
     rows = signed(docs)
     banded = rows.select("content", F.explode("bands").alias("band"))
-    buckets = materialize(
-        banded.groupBy("band").agg(F.min("content").alias("leader"), F.max("content").alias("last"))
-        .where("leader < last").select("band", "leader"), "bands")
+    buckets = banded.groupBy("band").agg(F.min("content").alias("leader"), F.max("content").alias("last")).where(
+        "leader < last").select("band", "leader")
     members = materialize(banded.join(buckets, "band").select("band", "leader", "content").distinct(), "band-members")
     pairs = members.where("leader <> content").select(F.col("leader").alias("a"), F.col("content").alias("b")).distinct()
     verifier = Verifier(docs, rows, members.select("content").distinct(), similarity)
-    links = verifier.links(pairs)
-    roots = materialize(components(links), "roots")
-    left = materialize(_open(members, roots), "open-bands")
+    roots = star_forest(verifier.links(pairs.select("a", "b", F.col("a").alias("u"), F.col("b").alias("v"))))
+    left = materialize(_open(_relabelled(members.select("band", "content", F.col("content").alias("root")), roots)),
+                       "open-bands")
     if not left.isEmpty():
         signs = materialize(
             verifier.texts.join(left.select("content").distinct(), "content", "left_semi")
@@ -337,17 +348,21 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             tiles = _tiled(left).join(signs, "content")
             dealt = tiles.repartition("band", "t1", "t2").sortWithinPartitions("band", "t1", "t2", "tile")
             more = dealt.select("band", "t1", "t2", "tile", "content", "root", "sign", "bands").mapInArrow(
-                _compare(low, high), "a bigint, b bigint")
-            links = links.unionByName(verifier.links(more))
-            roots = materialize(components(links), "roots")
-            left = materialize(_open(members, roots), "open-bands")
+                _compare(low, high), "a bigint, b bigint, u bigint, v bigint")
+            # links between components of before: their graph has as many edges as there is left to join
+            joined = star_forest(verifier.links(more))
+            roots = _relabelled(roots, joined).unionByName(joined)
+            if high > similarity:
+                left = materialize(_open(_relabelled(left, joined)), "open-bands")
+                if left.isEmpty():
+                    break
     return rows.join(roots, F.col("content") == F.col("node"), "left").select(
         "doc_id", "version", "content", F.coalesce("root", "content").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, class_id`` per row; the class id is the smallest document id of the class."""
-    found = materialize(classes(docs, similarity), "classes")
+    found = classes(docs, similarity)
     names = found.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return found.join(names, "root").select("doc_id", "class_id", "class_size")
 
