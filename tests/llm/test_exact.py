@@ -1,17 +1,23 @@
 """Operators with exact results against SQL, brute force or a round trip."""
 
+import ast
 import hashlib
 import itertools
+import os
 import random
 import re
+import subprocess
+import sys
 import textwrap
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -157,6 +163,24 @@ def test_pieces_restore_every_document(spark):
     assert set(sizes[:-1]) <= {2048} and 0 < sizes[-1] <= 2048
 
 
+def test_cutting_works_in_a_worker_that_has_not_encoded():
+    # as Spark sends them: the function pickled, the rows as a stream; building rows there would load what is missing
+    worker = "import pickle, sys, pyarrow; run, rows = pickle.load(sys.stdin.buffer); " \
+             "print(*(batch.to_pydict() for batch in run(pyarrow.ipc.open_stream(rows))))"
+    ids = np.arange(5, dtype="<u4")
+    row = pa.RecordBatch.from_pydict({"doc_id": [7], "at": [2], "doc_tokens": [5], "width": [4], "ids": [ids.tobytes()]})
+    with pa.ipc.new_stream(sink := pa.BufferOutputStream(), row.schema) as stream:
+        stream.write_batch(row)
+    sent = cloudpickle.dumps((hilbert_packing._cut(4), sink.getvalue().to_pybytes()))
+    root = str(Path(__file__).resolve().parents[2])
+    done = subprocess.run([sys.executable, "-c", worker], input=sent, capture_output=True, timeout=120,
+                          env={**os.environ, "PYTHONPATH": os.pathsep.join([root, *filter(None, sys.path)])})
+    assert done.returncode == 0, done.stderr.decode()
+    assert ast.literal_eval(done.stdout.decode()) == {
+        "doc_id": [7, 7], "start": [0, 2], "length": [2, 3], "ids_crc32": [zlib.crc32(ids[:2]), zlib.crc32(ids[2:])],
+        "doc_tokens": [5, 5], "sequence_id": [0, 1], "offset": [2, 0]}
+
+
 # --- exact search -----------------------------------------------------------
 
 def plain_top(rows, k):
