@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm import hilbert_packing, line_spread, mixing, probminhash, toxicity_pu
-from eventloom.llm.frames import positional, read
-from eventloom.session import materialize
+from eventloom.llm.frames import TEXTS_PER_TASK, positional, read
+from eventloom.session import gathered, materialize
 
 #: The line and mixing stages have SQL of their own (op8, op10); learned scores, sketches and token ids have none.
 ORACLE_SQL = None
@@ -32,24 +32,29 @@ def _measured(docs: DataFrame) -> DataFrame:
         for i, name in enumerate(names)))
 
 
+def _few(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """A stage's result in parts of about ``TEXTS_PER_TASK`` of the documents it was given."""
+    return gathered(out, docs.count(), TEXTS_PER_TASK)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity_pu.without_toxic(docs, read(spark, sf_dir, "labels"))
+    return _few(toxicity_pu.without_toxic(docs, read(spark, sf_dir, "labels")), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _measured(line_spread.without_boilerplate(docs))
+    return _few(_measured(line_spread.without_boilerplate(docs)), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return probminhash.without_near_duplicates(docs)
+    return _few(probminhash.without_near_duplicates(docs), docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _measured(mixing.mixed_documents(docs))
+    return _few(_measured(mixing.mixed_documents(docs)), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return hilbert_packing.pack(docs)
+    return _few(hilbert_packing.pack(docs), docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

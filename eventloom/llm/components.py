@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.session import materialize
+from eventloom.llm.frames import ROWS_PER_TASK
+from eventloom.session import gathered, materialize
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -16,15 +17,20 @@ def _are_stars(edges: DataFrame) -> bool:
     return nodes.agg(F.coalesce(F.max(F.col("up") + F.least("up", "down")), F.lit(0))).first()[0] <= 1
 
 
-def star_forest(edges: DataFrame) -> DataFrame:
+def _written(edges: DataFrame, nodes: int | None) -> DataFrame:
+    return materialize(edges if nodes is None else gathered(edges, nodes, ROWS_PER_TASK), "edges")
+
+
+def star_forest(edges: DataFrame, nodes: int | None = None) -> DataFrame:
     """``node, root`` for each node of ``edges (u, v)`` but the roots; ``root`` is the component's smallest node.
 
     Large stars link each larger neighbour of a node to the smallest one, small stars the smaller ones; a number of
     rounds that grows with the logarithm of the diameter leaves stars only. Minima combine before the shuffle,
     neighbourhoods are never gathered, and each round is written so that a lost executor repeats one round at most.
+    ``nodes``, about how many there are, keeps the rounds of a small graph from writing many files.
     """
-    stars = materialize(edges.where("u <> v").select(
-        F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    stars = _written(edges.where("u <> v").select(
+        F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), nodes)
     while not _are_stars(stars):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -32,7 +38,7 @@ def star_forest(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                                                             F.struct("u", F.col("m").alias("v")))).alias("e"))
-        stars = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        stars = _written(small.select("e.u", "e.v").where("u <> v").distinct(), nodes)
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 

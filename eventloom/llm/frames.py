@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 # Rows of one Arrow batch are worked on in slices of about this many bytes of text.
 SLICE_BYTES = 16 << 20
+# Documents whose texts, or whose narrow rows, one task at least writes (see ``gathered``).
+TEXTS_PER_TASK = 1 << 12
+ROWS_PER_TASK = 1 << 14
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

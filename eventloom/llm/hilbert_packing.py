@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from eventloom.llm.frames import pick, slices
+from eventloom.llm.frames import ROWS_PER_TASK, pick, slices
 from eventloom.llm.tokens import RANKS, TOKENIZER, Encoder
-from eventloom.session import materialize, scratch_root
+from eventloom.session import gathered, materialize, scratch_root
 
 LENGTH = 2048
 END_ID = 1
@@ -116,10 +116,12 @@ def encoded(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str = RANKS, end
 def offsets(rows: DataFrame) -> DataFrame:
     """``row, at``: how many ids lie before the document along the curve."""
     order = ("curve_key", "doc_id", "row")
-    placed = materialize(
+    placed = (
         rows.select("row", "doc_id", "doc_tokens", "curve_key").orderBy(*order)
         .withColumn("place", F.monotonically_increasing_id())
-        .select("row", "doc_tokens", "place", F.shiftright("place", 33).alias("part")), "packing-order")
+        .select("row", "doc_tokens", "place", F.shiftright("place", 33).alias("part"))
+    )
+    placed = materialize(gathered(placed, rows.count(), ROWS_PER_TASK), "packing-order")
     before = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     none = F.lit(0).cast("bigint")
     # one row per sorted part, of which there are as many as shuffle partitions

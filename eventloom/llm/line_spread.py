@@ -21,8 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.frames import pick, place, positional
-from eventloom.session import materialize
+from eventloom.llm.frames import ROWS_PER_TASK, pick, place, positional
+from eventloom.session import gathered, materialize
 
 MIN_SITES = 5
 #: Log2 of a sketch's registers; the relative standard error is 1.04 / sqrt(registers).
@@ -57,15 +57,16 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, log_registers: int
     low, high = min_sites - max(0.5, error), min_sites + max(0.5, error)
     spread = lines(docs).groupBy("line").agg(
         F.hll_sketch_agg("site", F.lit(log_registers)).alias("sites"), F.min(F.struct("id", "version", "at")).alias("first"))
-    wide = materialize(
-        spread.select("line", "first", F.hll_sketch_estimate("sites").alias("about")).where(F.col("about") >= low), "wide-lines")
+    n = docs.count()
+    wide = spread.select("line", "first", F.hll_sketch_estimate("sites").alias("about")).where(F.col("about") >= low)
+    wide = materialize(gathered(wide, n, ROWS_PER_TASK), "wide-lines")
     near = wide.where(F.col("about") <= high)
     exact = (
         lines(docs).join(near.select("line"), "line", "left_semi").select("line", "site").distinct()
         .groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites)
     )
     found = wide.where(F.col("about") > high).unionByName(near.join(exact.select("line"), "line", "left_semi"))
-    return materialize(found.select("line", "first"), "boilerplate")
+    return materialize(gathered(found.select("line", "first"), n, ROWS_PER_TASK), "boilerplate")
 
 
 def removals(docs: DataFrame, **how) -> DataFrame:
@@ -80,7 +81,7 @@ def without_boilerplate(docs: DataFrame, counts: bool = False, **how) -> DataFra
     """``docs`` with the lines removed, all columns kept; with ``counts`` also ``n_lines`` and ``n_removed``."""
     names, row = docs.columns, positional(docs)
     text = F.col(place(docs, "text"))
-    gone = materialize(removals(docs, **how), "line-removals")
+    gone = materialize(gathered(removals(docs, **how), docs.count(), ROWS_PER_TASK), "line-removals")
     version = F.xxhash64(text)
     joined = row.join(gone, (_id(F.col(place(docs, "doc_id"))) == F.col("gone_id")) & (version == F.col("gone_version")), "left")
     parts = _split(text)

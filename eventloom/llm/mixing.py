@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from eventloom.llm.frames import n_words, pick, place, positional
-from eventloom.session import materialize
+from eventloom.llm.frames import ROWS_PER_TASK, n_words, pick, place, positional
+from eventloom.session import gathered, materialize
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -88,11 +88,13 @@ def cuts(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] =
     more, rows at ``cut_at`` to ``cut_words`` words each; no cut where the epochs meet the budget.
     """
     named = pick(docs, "doc_id", "text", "source")
-    rows = materialize(
+    n_docs = docs.count()
+    rows = (
         named.select("source", _key(F.col("doc_id")).alias("key"), _id(F.col("doc_id")).alias("id"),
                      (n_words(F.col("text")) if size is None else size).alias("size"))
-        .groupBy("source", "key", "id", "size").agg(F.count(F.lit(1)).alias("n")),
-        "mix-rows")
+        .groupBy("source", "key", "id", "size").agg(F.count(F.lit(1)).alias("n"))
+    )
+    rows = materialize(gathered(rows, n_docs, ROWS_PER_TASK), "mix-rows")
     sizes = rows.groupBy("source").agg(
         F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_rows"))
     wanted = materialize(targets(sizes, weights, max_epochs), "mix-targets")
@@ -120,7 +122,8 @@ def cuts(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] =
                 F.floor((F.col("rest") - F.col("before")) / F.col("n")).cast("bigint").alias("cut_words"))
     )
     joined = wanted.join(last, F.col("source").eqNullSafe(F.col("cut_source")), "left")
-    return materialize(joined.select("source", "source_size", "target", "epochs", "cut_at", "cut_words"), "mix-cuts")
+    found = joined.select("source", "source_size", "target", "epochs", "cut_at", "cut_words")
+    return materialize(gathered(found, n_docs, ROWS_PER_TASK), "mix-cuts")
 
 
 def _partial(key: Column, ident: Column, size: Column) -> Column:

@@ -34,9 +34,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.components import star_forest
-from eventloom.llm.frames import pick, place, positional, slices
+from eventloom.llm.frames import ROWS_PER_TASK, TEXTS_PER_TASK, pick, place, positional, slices
 from eventloom.llm.words import split
-from eventloom.session import materialize
+from eventloom.session import gathered, materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -218,7 +218,8 @@ class Verifier:
         one = rows.groupBy("content").agg(F.min(F.struct(_id(F.col("doc_id")).alias("id"), "version")).alias("row"))
         one = one.join(wanted, "content", "left_semi").select("row.id", F.col("row.version").alias("of"))
         texts = named.join(one, ["id", "of"], "left_semi").select("text")
-        self.texts = materialize(texts.mapInArrow(_contents, "content bigint, text string"), "near-texts")
+        self.texts = materialize(gathered(texts, rows.count(), TEXTS_PER_TASK).mapInArrow(
+            _contents, "content bigint, text string"), "near-texts")
         self.similarity = similarity
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -330,18 +331,20 @@ def _tiled(left: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, version, content, root``: rows of one near-duplicate class share ``root``."""
     rows = signed(docs)
+    n = rows.count()
     banded = rows.select("content", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("content").alias("leader"), F.max("content").alias("last")).where(
         "leader < last").select("band", "leader")
-    members = materialize(banded.join(buckets, "band").select("band", "leader", "content").distinct(), "band-members")
+    members = banded.join(buckets, "band").select("band", "leader", "content").distinct()
+    members = materialize(gathered(members, n, ROWS_PER_TASK), "band-members")
     pairs = members.where("leader <> content").select(F.col("leader").alias("a"), F.col("content").alias("b")).distinct()
     verifier = Verifier(docs, rows, members.select("content").distinct(), similarity)
-    roots = star_forest(verifier.links(pairs.select("a", "b", F.col("a").alias("u"), F.col("b").alias("v"))))
-    left = materialize(_open(_relabelled(members.select("band", "content", F.col("content").alias("root")), roots)),
-                       "open-bands")
+    roots = star_forest(verifier.links(pairs.select("a", "b", F.col("a").alias("u"), F.col("b").alias("v"))), n)
+    left = _open(_relabelled(members.select("band", "content", F.col("content").alias("root")), roots))
+    left = materialize(gathered(left, n, ROWS_PER_TASK), "open-bands")
     if not left.isEmpty():
         signs = materialize(
-            verifier.texts.join(left.select("content").distinct(), "content", "left_semi")
+            gathered(verifier.texts.join(left.select("content").distinct(), "content", "left_semi"), n, TEXTS_PER_TASK)
             .mapInArrow(_long_signatures, "content bigint, sign binary, bands binary"), "long-signatures")
         floor = similarity - 4 * (similarity * (1 - similarity) / LONG_REGISTERS) ** 0.5
         for low, high in ((similarity, 2.0), (floor, similarity)):
@@ -350,10 +353,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             more = dealt.select("band", "t1", "t2", "tile", "content", "root", "sign", "bands").mapInArrow(
                 _compare(low, high), "a bigint, b bigint, u bigint, v bigint")
             # links between components of before: their graph has as many edges as there is left to join
-            joined = star_forest(verifier.links(more))
+            joined = star_forest(verifier.links(more), n)
             roots = _relabelled(roots, joined).unionByName(joined)
             if high > similarity:
-                left = materialize(_open(_relabelled(left, joined)), "open-bands")
+                left = materialize(gathered(_open(_relabelled(left, joined)), n, ROWS_PER_TASK), "open-bands")
                 if left.isEmpty():
                     break
     return rows.join(roots, F.col("content") == F.col("node"), "left").select(
@@ -370,9 +373,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 def without_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with the document of smallest id of each class only, all columns kept."""
     found = classes(docs, similarity)
-    keepers = materialize(
-        found.groupBy("root").agg(F.min(F.struct(_id(F.col("doc_id")).alias("id"), "version")).alias("keep"))
-        .select(F.col("keep.id").alias("keep_id"), F.col("keep.version").alias("keep_version")), "keepers")
+    keepers = found.groupBy("root").agg(F.min(F.struct(_id(F.col("doc_id")).alias("id"), "version")).alias("keep")).select(
+        F.col("keep.id").alias("keep_id"), F.col("keep.version").alias("keep_version"))
+    keepers = materialize(gathered(keepers, docs.count(), ROWS_PER_TASK), "keepers")
     row = positional(docs)
     doc_id, text = (F.col(place(docs, x)) for x in ("doc_id", "text"))
     marked = row.withColumn("keep_id", _id(doc_id)).withColumn("keep_version", F.xxhash64(text))

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from eventloom.llm.frames import held_out, pick, slices
 from eventloom.llm.hashing import chosen
 from eventloom.llm.words import Recent, split
-from eventloom.session import materialize
+from eventloom.session import gathered, materialize
 
 #: Bounds of the two training samples, in documents.
 MAX_POSITIVE = 6_000
@@ -44,6 +44,8 @@ STEPS = 300
 RATE = 0.05
 DECAY = 1e-3
 SLICE_BYTES = 2 << 20
+#: Sample texts that one task at least describes.
+SAMPLE_PER_TASK = 1 << 11
 #: Words of each generation that a task remembers features of.
 KNOWN_WORDS = 60_000
 NOTHING = np.zeros(0, np.int64)
@@ -110,7 +112,8 @@ def samples(docs: DataFrame, labels: DataFrame) -> DataFrame:
         "text", F.col("of").isNotNull().alias("positive"), drawn.alias("unlabelled"))
     once = marked.where("positive or unlabelled").groupBy(F.xxhash64("text"), "text").agg(
         F.max("positive").alias("positive"), F.max("unlabelled").alias("unlabelled"))
-    return materialize(once.select("text", "positive", "unlabelled").mapInArrow(
+    dealt = gathered(once.select("text", "positive", "unlabelled"), MAX_POSITIVE + MAX_UNLABELLED, SAMPLE_PER_TASK)
+    return materialize(dealt.mapInArrow(
         _describe, "positive boolean, unlabelled boolean, features array<bigint>"), "toxic-sample")
 
 

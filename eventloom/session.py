@@ -73,6 +73,18 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame, sources: int, each: int) -> DataFrame:
+    """``df`` in no more parts than one per ``each`` of the ``sources`` rows that it is made from, or one per core.
+
+    For tables about to be written. Where Spark does not merge small shuffle partitions itself, every one of them writes a
+    file of its own, however small the table, and each file costs calls of the file system (on a local disk without
+    Hadoop's native library three processes that the executor starts). Parts are worked on one after another in a task
+    and never split or moved, so memory is that of one part.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(1, cores, -(-sources // each)))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the scratch folder, removed with the scope it is made in."""
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"

@@ -1,10 +1,13 @@
 """Every operator and stage on odd rows, and on tables without rows."""
 
+from pathlib import Path
+
 import pytest
 
 from corpus_pipeline import STAGES
 from eventloom.llm import (hilbert_packing, language_crf, license_zstd, line_spread, mixing, pii, pivot_search,
                            probminhash, quality_rules, toxicity_pu)
+from eventloom.session import scratch_root
 from tests.llm import cases
 from pyspark.sql import functions as F
 
@@ -65,6 +68,31 @@ def test_stages_keep_columns(spark, tmp_path, rows):
     assert (docs.count() > 0) == (rows is None)
 
 
+def test_small_tables_are_few_files(spark, tmp_path):
+    """Also where Spark does not merge small shuffle partitions itself; each file costs the executor several calls."""
+    rows = [(i, f"{cases.prose(i, 60)}\nbanner {i % 20}", "en", f"s{i % 6}") for i in range(240)]
+    rows += [(1000 + i, f"{cases.prose(i % 40, 60)} tail{i}\nbanner {i % 20}", "en", f"s{i % 6}") for i in range(240)]
+    cases.docs(spark, rows).repartition(4).write.parquet(f"{tmp_path}/docs.parquet")
+    cases.labels(spark, [(i, 1, int(i % 6 == 0), "e") for i in range(240)]).write.parquet(f"{tmp_path}/labels.parquet")
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key, None) for key in conf}
+    scratch = Path(scratch_root(spark).removeprefix("file://"))
+    earlier = set(scratch.iterdir()) if scratch.exists() else set()
+    try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        docs = spark.read.parquet(f"{tmp_path}/docs.parquet")
+        for k, (name, stage) in enumerate(STAGES):
+            stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/out-{k}")
+            docs = spark.read.parquet(f"{tmp_path}/out-{k}")
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    tables = {*scratch.iterdir(), *tmp_path.glob("out-*")} - earlier
+    files = {path.name: len(list(path.glob("part-*"))) for path in tables}
+    assert len(files) > 15 and max(files.values()) <= 12, files
+
+
 def test_search_over_odd_vectors(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (100, [0.5]), (1, [1.0, 2.0]), (2, None), (3, [None, 1.0]), (4, [inf, 0.0]),
